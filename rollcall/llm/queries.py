@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import langid, sharding, toxicity
+from . import bpe, langid, packing, quotes, sharding, tiff, toxicity
 
 QUERIES = {
+    "op1_quotation_linking": quotes.query,
     "op3_toxicity": toxicity.query,
+    "op4_packing": packing.query,
+    "op5_tiff": tiff.query,
     "op8_language_id": langid.query,
+    "op9_bpe": bpe.query,
     "op10_sharding": sharding.query,
 }
 
