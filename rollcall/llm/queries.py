@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, packing, quotes, sharding, tiff, toxicity
+from . import bpe, langid, minhash, packing, quotes, sharding, tiff, toxicity
 
 QUERIES = {
     "op1_quotation_linking": quotes.query,
+    "op2_minhash": minhash.query,
     "op3_toxicity": toxicity.query,
     "op4_packing": packing.query,
     "op5_tiff": tiff.query,
