@@ -129,7 +129,9 @@ def utf8(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column (null: empty) as one array, and its n + 1 offsets."""
     if isinstance(arr, pa.ChunkedArray):
         arr = arr.combine_chunks()
-    arr = pc.fill_null(arr, "").cast(pa.large_string()).cast(pa.large_binary())
+    if not pa.types.is_binary(arr.type):
+        arr = pc.fill_null(arr, "").cast(pa.large_string())
+    arr = arr.cast(pa.large_binary())
     off = np.frombuffer(arr.buffers()[1], np.int64)[arr.offset: arr.offset + len(arr) + 1]
     data = np.frombuffer(arr.buffers()[2] or b"", np.uint8)[off[0]: off[-1]]
     return data, off - off[0]

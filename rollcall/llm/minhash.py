@@ -5,8 +5,10 @@ toggles one bit of a parity bitmap, so the population count of two bitmaps' XOR
 estimates a high similarity more precisely than the bands do. Candidates from equal bands pass the sketch first and are
 confirmed on their full sets. Texts with equal sets are one class from the start.
 
-Groups of copies don't become all pairs: first each text is tried against one representative of its bands and the linked
-ones coalesce; then only texts of one band that are still in different components are compared.
+Groups of copies don't become all pairs: first each text is tried against one hub of its bands, a text that shares the
+most bands with others, and the linked ones coalesce; then only texts of one band that are still in different components
+are compared, each pair in the first band it shares. Texts tried against the same hub keep how they differ from it, and
+from these short differences the join itself tells the exact similarity of the two.
 """
 
 from __future__ import annotations
@@ -21,10 +23,12 @@ from pyspark.sql import functions as F
 from . import common
 
 BANDS, ROWS = 32, 4
-K = BANDS * ROWS
-BITS = 512
-MARGIN = 0.3  # a candidate is dropped if its estimate is below the threshold by more: over 5 standard deviations
+BAND_SAMPLES = BANDS * ROWS
+K = 512  # MinHash samples: the first BAND_SAMPLES make bands, all are folded into the sketch
+BITS = 2048
+MARGIN = 0.12  # a candidate is dropped if its estimate is below the threshold by more: 5 standard deviations
 SET_BITS = 54
+DELTA = 256  # a longer difference isn't carried; the full sets decide then
 
 _rng = np.random.default_rng(97)
 _A = (_rng.integers(0, 1 << 31, K, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -68,7 +72,7 @@ def signatures(starts: np.ndarray, h: np.ndarray) -> np.ndarray:
 def odd_sketch(sig: np.ndarray) -> np.ndarray:
     """rows x BITS/64: sample j with value v toggles one bit chosen by (j, v)."""
     n = sig.shape[1]
-    place = common.mix((sig.astype(np.uint64) << np.uint64(8)) | np.arange(K, dtype=np.uint64)[:, None]) % np.uint64(BITS)
+    place = common.mix((sig.astype(np.uint64) << np.uint64(16)) | np.arange(K, dtype=np.uint64)[:, None]) % np.uint64(BITS)
     at = (np.arange(n)[None, :] * BITS + place.astype(np.int64)).ravel()
     odd = (np.bincount(at, minlength=n * BITS) & 1).astype(np.uint8)
     return np.packbits(odd.reshape(n, BITS), axis=1).view(np.int64)
@@ -97,7 +101,7 @@ def _features(width: int):
                         odd[full] = odd_sketch(sig)
                         b = np.zeros((BANDS, len(full)), np.uint64)
                         for r in range(ROWS):
-                            b = common.mix(b + sig[r::ROWS].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.arange(BANDS, dtype=np.uint64)[:, None])
+                            b = common.mix(b + sig[r:BAND_SAMPLES:ROWS].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.arange(BANDS, dtype=np.uint64)[:, None])
                         bands[full] = b.T.view(np.int64)
                         m = common.mix(h + np.uint64(1))
                         k1[full] = np.add.reduceat(m, at).view(np.int64)
@@ -123,36 +127,36 @@ def _sets_only(width: int):
 
 
 def _confirm(percent: int):
+    """a, b and their sets x, y -> a, b, linked, and delta: what is in one set only, if that is short."""
     def run(batches):
         for batch in batches:
-            x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
-            keep = np.zeros(len(x), dtype=bool)
-            for i, (p, q) in enumerate(zip(x, y, strict=True)):
+            linked, delta = [], []
+            for p, q in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 both = np.concatenate([np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)])
                 both.sort(kind="stable")
-                common_items = int((both[1:] == both[:-1]).sum())
-                keep[i] = 100 * common_items >= percent * (len(both) - common_items)
-            at = pa.array(np.flatnonzero(keep))
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], names=["a", "b"])
+                same = both[1:] == both[:-1]
+                n = int(same.sum())
+                linked.append(100 * n >= percent * (len(both) - n))
+                short = len(both) - 2 * n <= DELTA
+                delta.append(both[~(np.r_[same, False] | np.r_[False, same])].view(np.int64) if short else None)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(delta, pa.list_(pa.int64()))],
+                                             names=["a", "b", "linked", "delta"])
 
     return run
 
 
-def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The (a, b) of pairs whose sets are similar enough: odd sketches first, then the full sets, made anew for these."""
-    odd = reps.select("doc_id", "odd")
-    near = (pairs.join(odd.select(F.col("doc_id").alias("a"), F.col("odd").alias("oa"), ), "a")
-            .join(odd.select(F.col("doc_id").alias("b"), F.col("odd").alias("ob")), "b"))
-    differ = sum((F.bit_count(F.get("oa", F.lit(i)).bitwiseXOR(F.get("ob", F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
-    near = common.save(near.filter(differ <= sketch_limit(percent / 100 - MARGIN)).select("a", "b"))
-    ids = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct()
-    some = docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets_only(width), "doc_id long, items binary").dropDuplicates(["doc_id"])
-    some = common.save(some)
-    both = (near.join(some.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a")
-            .join(some.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y"))
-    out = common.save(both.mapInArrow(_confirm(percent), "a long, b long"), free=True)
+def _close(percent: int):
+    """Column: the sketches x.odd and y.odd differ in few enough bits for the similarity, less MARGIN."""
+    differ = sum((F.bit_count(F.get("x.odd", F.lit(i)).bitwiseXOR(F.get("y.odd", F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
+    return differ <= sketch_limit(percent / 100 - MARGIN)
+
+
+def _verify(near: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+    """near, a saved table of (a, b), with `linked` by their full sets, and `delta`."""
+    both = (near.join(items.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a")
+            .join(items.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y"))
+    out = common.save(both.mapInArrow(_confirm(percent), "a long, b long, linked boolean, delta array<long>"), free=True)
     common.drop(near)
-    common.drop(some)
     return out
 
 
@@ -171,22 +175,43 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # (k1, k2, n) identify a set; the class is represented by its smallest doc_id.
     classes = made.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("bands", "odd")).alias("s"))
     reps = common.save(classes.select("k1", "k2", "n", "doc_id", "s.bands", "s.odd"), free=True)
-    bands = reps.select("doc_id", F.explode("bands").alias("band"))
-    shared = bands.groupBy("band").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("band", "first")
+    bands = reps.select("doc_id", F.posexplode("bands").alias("nth", "band"))
+    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     live = common.save(bands.join(shared, "band"), free=True)
-    best = (live.filter("doc_id > first").groupBy("doc_id", "first").count()
-            .groupBy("doc_id").agg(F.max_by("first", F.struct("count", -F.col("first"))).alias("a")).select("a", F.col("doc_id").alias("b")))
-    links = _verify(best, reps, docs, width, percent)
+    items = common.save(docs.join(live.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sets_only(width), "doc_id long, items binary")
+                        .dropDuplicates(["doc_id"]), free=True)
+    met = live.groupBy("doc_id").agg(F.sum("size").alias("met"))
+    hubs = live.join(met, "doc_id").groupBy("band").agg(F.max_by("doc_id", F.struct("met", -F.col("doc_id"))).alias("hub"))
+    tried = (live.join(hubs, "band").filter("doc_id != hub").groupBy("doc_id", "hub").count()
+             .groupBy("doc_id").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("hub")))
+    odd = reps.select("doc_id", "odd")
+    x, y = odd.alias("x"), odd.alias("y")
+    near = tried.join(x, tried.doc_id == F.col("x.doc_id")).join(y, (tried.hub == F.col("y.doc_id")) & _close(percent)).select(
+        tried.doc_id.alias("a"), F.col("hub").alias("b"))
+    first = _verify(common.save(near, free=True), items, percent)
+    links = first.filter("linked").select("a", "b")
     comp = common.components(links)
-    placed = live.select("band", "doc_id").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-    apart = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("band")
-    rest = common.save(placed.join(apart, "band"))
-    x, y = rest.alias("x"), rest.alias("y")
-    pairs = (x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.comp") != F.col("y.comp")))
-             .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct())
-    comp = common.components(links.union(_verify(pairs, reps, docs, width, percent)))
-    common.drop(rest)
-    common.drop(live)
+    placed = live.select("band", "nth", "doc_id").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+    parts = placed.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("size")).groupBy("band").agg(
+        F.count(F.lit(1)).alias("parts"), F.max_by("comp", F.struct("size", -F.col("comp"))).alias("main")).filter("parts > 1").select("band", "main")
+    # How a text differs from its hub; a hub is its own.
+    deltas = first.select(F.col("a").alias("doc_id"), F.col("b").alias("hub"), "delta").join(first.select(F.col("b").alias("doc_id")), "doc_id", "left_anti").union(
+        first.select(F.col("b").alias("doc_id")).distinct().select("doc_id", F.col("doc_id").alias("hub"), F.array().cast("array<long>").alias("delta")))
+    facts = reps.select("doc_id", "n", "odd", F.transform("bands", lambda v: F.shiftright(v, 32).cast("int")).alias("all")).join(deltas, "doc_id", "left")
+    rest = common.save(placed.join(parts, "band").join(facts, "doc_id"), free=True)
+    x, y = rest.filter("comp != main").alias("x"), rest.alias("y")
+    earlier = F.exists(F.sequence(F.lit(1), F.col("x.nth")), lambda i: F.element_at("x.all", i) == F.element_at("y.all", i)) & (F.col("x.nth") > 0)
+    once = (F.col("y.comp") == F.col("y.main")) | (F.col("x.doc_id") < F.col("y.doc_id"))
+    total = F.col("x.n") + F.col("y.n")
+    apart = F.size("x.delta") + F.size("y.delta") - 2 * F.size(F.array_intersect("x.delta", "y.delta"))
+    known = (F.col("x.hub") == F.col("y.hub")) & F.col("x.delta").isNotNull() & F.col("y.delta").isNotNull()
+    room = F.when(F.coalesce(known, F.lit(False)), (total - apart) * 100 >= (total + apart) * percent).otherwise(True)
+    near = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.comp") != F.col("y.comp")) & once & ~earlier & _close(percent) & room).select(
+        F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+    second = _verify(common.save(near, free=True), items, percent).filter("linked").select("a", "b")
+    comp = common.components(links.union(second))
+    for t in (rest, live, items):
+        common.drop(t)
     final = reps.select("k1", "k2", F.col("n").alias("rn"), "doc_id").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "k1", "k2", "rn", F.coalesce("comp", "doc_id").alias("component_id"))
     m, f = made.select("doc_id", "n", "k1", "k2").alias("m"), final.alias("f")
