@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, minhash, packing, quotes, sharding, suffixes, tiff, toxicity
+from . import bpe, langid, minhash, nndescent, packing, quotes, sharding, suffixes, tiff, toxicity
 
 QUERIES = {
     "op1_quotation_linking": quotes.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_toxicity": toxicity.query,
     "op4_packing": packing.query,
     "op5_tiff": tiff.query,
+    "op6_nn_descent": nndescent.query,
     "op7_suffix_array": suffixes.query,
     "op8_language_id": langid.query,
     "op9_bpe": bpe.query,
