@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 import zipfile
 from functools import reduce
@@ -40,8 +41,10 @@ def save(df: DataFrame, free: bool = False) -> DataFrame:
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     if free:
-        gc.collect()
-        spark._jvm.System.gc()
+        for _ in range(2):  # the first pass may come before the listeners have let go of the query
+            time.sleep(0.4)
+            gc.collect()
+            spark._jvm.System.gc()
     return out
 
 
