@@ -10,22 +10,22 @@ unopened candidates, joins their neighbours and keeps the best, until nothing un
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-DEGREE = 16  # neighbours kept a node
-REVERSE = 12  # nodes it is a neighbour of that are introduced, a round
+DEGREE = 24  # neighbours kept a node
+REVERSE = 20  # nodes it is a neighbour of that are introduced, a round
 ORDERS = 4  # random orders the graph starts from
 BLOCK = 96  # vectors of a block in them
-ROUNDS = 4
-BEAM = 40  # candidates a query keeps
-OPEN = 8  # opened at once
+BEST = 10  # others that a node is introduced to in one group
+ROUNDS = 6
+BEAM = 100  # candidates a query keeps
+OPEN = 20  # opened at once
 ENTRIES = 16  # nodes all queries start from, besides their own
-STEPS = 12
+STEPS = 8
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -72,12 +72,40 @@ def _blocks(batches):
         yield _edges(*_nearest(np.asarray(t.column("node")), _matrix(t.column("v")), DEGREE))
 
 
-def _introduce(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A node and those around it: all pairs that may better one of the two's worst kept distance."""
-    ids, x, worst = pdf["near"].to_numpy(), np.stack(pdf["v"].to_numpy()).astype(np.float64), pdf["worst"].to_numpy()
-    d = distances(x, x)
-    i, j = np.nonzero((d < worst[:, None]) & (ids[:, None] != ids[None, :]))
-    return pd.DataFrame({"node": ids[i], "near": ids[j], "dist": d[i, j]})
+def _introduce(batches):
+    """Rows (node, near, v, worst) sorted by node -> for each of those around a node the BEST nearest others there, if they
+    better the worst distance it keeps."""
+    def give(node, near, v, worst):
+        start = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+        rows, cols, dist = [], [], []
+        for s, e in zip(start, np.r_[start[1:], len(node)], strict=True):
+            d = distances(v[s:e], v[s:e])
+            np.fill_diagonal(d, np.inf)
+            k = min(BEST, e - s - 1)
+            if k < 1:
+                continue
+            at = np.argpartition(d, k - 1, axis=1)[:, :k]
+            i = np.repeat(np.arange(e - s), k)
+            j = at.ravel()
+            better = d[i, j] < worst[s:e][i]
+            rows.append(near[s:e][i[better]])
+            cols.append(near[s:e][j[better]])
+            dist.append(d[i, j][better])
+        one = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
+        return _edges(one(rows, np.int64), one(cols, np.int64), one(dist, np.float64))
+
+    held, n = [], 0
+    for batch in batches:
+        held.append([np.asarray(batch.column("node")), np.asarray(batch.column("near")), _matrix(batch.column("v")), np.asarray(batch.column("worst"))])
+        n += batch.num_rows
+        if n >= 4096:
+            cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+            cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))
+            if cut:
+                yield give(*[c[:cut] for c in cols])
+            held, n = [[c[cut:] for c in cols]], len(cols[0]) - cut
+    if n:
+        yield give(*[np.concatenate(c) for c in zip(*held, strict=True)])
 
 
 def _keep(edges: DataFrame, k: int) -> DataFrame:
@@ -129,7 +157,8 @@ def build(rows: DataFrame, top: int) -> tuple[DataFrame, DataFrame, DataFrame]:
         back = (back.withColumn("salt", F.pmod(F.xxhash64("near"), F.lit(64))).withColumn("r", F.row_number().over(Window.partitionBy("node", "salt").orderBy(F.xxhash64("near", F.lit(turn)))))
                 .filter(F.col("r") <= REVERSE).withColumn("r", F.row_number().over(some)).filter(F.col("r") <= REVERSE).select("node", "near"))
         around = graph.select("node", "near").union(back).union(nodes.select("node", F.col("node").alias("near"))).distinct()
-        met = around.join(facts, "near").groupBy("node").applyInPandas(_introduce, "node long, near long, dist double")
+        met = (around.join(facts, "near").select("node", "near", "v", "worst").repartition(parts, "node").sortWithinPartitions("node")
+               .mapInArrow(_introduce, "node long, near long, dist double"))
         # An edge that betters a node's worst is rare after the first rounds, so little is shuffled.
         new = common.save(_keep(graph.union(met), DEGREE).drop("r"), free=True)
         common.drop(graph)
@@ -157,7 +186,7 @@ def search(queries: DataFrame, nodes: DataFrame, members: DataFrame, graph: Data
                  .join(beam.select("query_id", "node"), ["query_id", "node"], "left_anti").withColumn("opened", F.lit(False)))
         kept = beam.join(opened.withColumn("now", F.lit(True)), ["query_id", "node"], "left").select(
             "query_id", "node", (F.col("opened") | F.coalesce("now", F.lit(False))).alias("opened"), "score")
-        new = common.save(kept.unionByName(scored(fresh)).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= BEAM).drop("r"), free=True)
+        new = common.save(kept.unionByName(scored(fresh)).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= BEAM).drop("r"))
         common.drop(beam)
         beam = new
         if not beam.filter(~F.col("opened")).limit(1).count():
