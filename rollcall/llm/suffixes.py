@@ -272,12 +272,13 @@ def intervals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     least = keyed.groupBy("key").agg(F.min("doc_id").alias("least"))
     by_hot = keyed.join(least, "key").filter("least < doc_id").groupBy("name", "context").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
     shared = by_prefix.unionByName(by_hot).groupBy("name", "context").agg(F.min("lo").alias("s_lo"), F.max("hi").alias("s_hi"))
-    lost = classes.select("name", "context", "first").join(shared, ["name", "context"], "left")
+    # Written, so that the join below has plain shuffles on both sides and Spark can split those of a hot class.
+    lost = common.save(classes.select("name", "context", "first").join(shared, ["name", "context"], "left"), free=True)
     later = F.col("doc_id") > F.col("first")
     out = common.save(rows.select("name", "context", "doc_id", "pos").join(lost, ["name", "context"]).filter(later | F.col("s_lo").isNotNull()).select(
         "doc_id", (F.col("pos") - BACK + F.when(later, 0).otherwise(F.col("s_lo"))).alias("lo"),
         (F.col("pos") - BACK + LENGTH + F.when(later, BACK).otherwise(F.col("s_hi"))).alias("hi")), free=True)
-    for t in (found, classes, around):
+    for t in (found, classes, around, lost):
         common.drop(t)
     return out, copies
 
