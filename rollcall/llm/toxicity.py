@@ -8,6 +8,8 @@ vectors exist only for terms whose weights survived, so long texts do not collec
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,10 +47,15 @@ def _training_rows(batches):
 def train(y: np.ndarray, rows: list[np.ndarray], epochs: int = 6, batch: int = 64, alpha: float = 0.5, l1: float = 8.0,
           l2: float = 1e-4, seed: int = 11) -> dict:
     """y: 0/1, rows: term buckets. First FTRL on the additive part, then AdaGrad on weights and vectors together."""
+    df = np.zeros(1 << DIM_BITS, dtype=np.int32)
+    for r in rows:
+        df[r] += 1
+    vocab = np.flatnonzero(df >= MIN_ROWS)
+    place = np.full(1 << DIM_BITS, -1, dtype=np.int32)
+    place[vocab] = np.arange(len(vocab), dtype=np.int32)
+    rows = [p[p >= 0] for p in (place[r] for r in rows)]
     lens = np.array([len(r) for r in rows], dtype=np.int64)
-    terms = np.concatenate(rows) if len(rows) else np.zeros(0, np.int64)
-    vocab, compact, df = np.unique(terms, return_inverse=True, return_counts=True)
-    frequent = df >= MIN_ROWS
+    compact = np.concatenate(rows) if len(rows) else np.zeros(0, np.int32)
     ptr = np.r_[0, np.cumsum(lens)]
     d = len(vocab)
     rng = np.random.default_rng(seed)
@@ -70,14 +77,13 @@ def train(y: np.ndarray, rows: list[np.ndarray], epochs: int = 6, batch: int = 6
             p = 1 / (1 + np.exp(-np.clip(b + np.bincount(row, w[idx], len(ids)), -30, 30)))
             g = p - y[ids]
             gw = np.bincount(idx, g[row], d)
-            gw[~frequent] = 0
             z += gw - (np.sqrt(n + gw * gw) - np.sqrt(n)) / alpha * w
             n += gw * gw
             nb += g.sum() ** 2
             b -= 0.5 * g.sum() / np.sqrt(nb)
     w = solve(z, n)
-    live = np.flatnonzero((w != 0) & frequent)
-    at = np.full(d, -1)
+    live = np.flatnonzero(w)
+    at = np.full(d, -1, dtype=np.int32)
     at[live] = np.arange(len(live))
     w, k = w[live].copy(), len(live)
     v = rng.normal(0, 0.05, (k, RANK))
@@ -118,8 +124,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_on, max_rows: int = MAX_ROWS)
     got = some.mapInArrow(_training_rows, "doc_id long, toxic int, idx array<int>").toArrow().to_pandas()
     got = got.sort_values("doc_id", kind="stable").reset_index(drop=True)
     # Copies count once, so that a large group of them cannot be learnt by heart.
-    once = {(np.asarray(i).tobytes(), int(y)): None for y, i in zip(got["toxic"], got["idx"], strict=True)}
-    return train(np.array([y for _, y in once], dtype=float), [np.frombuffer(i, np.int32).astype(np.int64) for i, _ in once])
+    once = {(hashlib.sha256(np.asarray(i).tobytes()).digest(), int(y)): n for n, (y, i) in enumerate(zip(got["toxic"], got["idx"], strict=True))}
+    kept = got.iloc[sorted(once.values())]
+    return train(kept["toxic"].to_numpy(dtype=float), [np.asarray(i) for i in kept["idx"]])
 
 
 def _score(model):
