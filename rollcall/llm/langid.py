@@ -149,6 +149,8 @@ def fit(docs: DataFrame, train, per_language: int = PER_LANGUAGE) -> dict:
     w, b = ftrl(learn or hold, len(langs))
     logits = np.array([v @ w[i] + b for _, i, v in hold]).reshape(len(hold), len(langs))
     t = temperature(logits, np.array([y for y, _, _ in hold], dtype=int))
+    del got, sample, learn, hold
+    common.tidy()
     return {"langs": langs, "weights": (w * idf[:, None] * SCALE).astype(np.float32), "bias": b, "temperature": t,
             "nonzero": int((w != 0).any(axis=1).sum())}
 

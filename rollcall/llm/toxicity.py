@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from . import common
 
 DIM_BITS = 20
-MAX_ROWS = 20000  # bound of the labelled sample that is fitted
+MAX_ROWS = 15000  # bound of the labelled sample that is fitted
 RANK = 8
 HEADS = (4, 6)  # the first bytes of a longer word are terms too, so inflected forms share weight
 MIN_ROWS = 8  # terms of fewer sample rows are left out: they would only memorise them
@@ -121,12 +121,17 @@ def fit(docs: DataFrame, labels: DataFrame, train_on, max_rows: int = MAX_ROWS)
               .select("doc_id", "toxic"))
     # max_rows ids at most: the broadcast is bounded.
     some = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    got = some.mapInArrow(_training_rows, "doc_id long, toxic int, idx array<int>").toArrow().to_pandas()
-    got = got.sort_values("doc_id", kind="stable").reset_index(drop=True)
+    got = some.mapInArrow(_training_rows, "doc_id long, toxic int, idx array<int>").toArrow().combine_chunks()
+    lists = got.column("idx").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
+    values, off = np.asarray(lists.values), np.asarray(lists.offsets)
+    y, ids = np.asarray(got.column("toxic")), np.asarray(got.column("doc_id"))
     # Copies count once, so that a large group of them cannot be learnt by heart.
-    once = {(hashlib.sha256(np.asarray(i).tobytes()).digest(), int(y)): n for n, (y, i) in enumerate(zip(got["toxic"], got["idx"], strict=True))}
-    kept = got.iloc[sorted(once.values())]
-    return train(kept["toxic"].to_numpy(dtype=float), [np.asarray(i) for i in kept["idx"]])
+    once = {(hashlib.sha256(values[off[n]: off[n + 1]].tobytes()).digest(), int(y[n])): n for n in np.argsort(ids, kind="stable")}
+    kept = list(once.values())
+    model = train(y[kept].astype(float), [values[off[n]: off[n + 1]] for n in kept])
+    del got, lists, values
+    common.tidy()
+    return model
 
 
 def _score(model):
