@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from . import common
 
 DIM_BITS = 20
-MAX_ROWS = 15000  # bound of the labelled sample that is fitted
+MAX_ROWS = 20000  # bound of the labelled sample that is fitted; toxic rows come first, up to half of it
 RANK = 8
 HEADS = (4, 6)  # the first bytes of a longer word are terms too, so inflected forms share weight
 MIN_ROWS = 8  # terms of fewer sample rows are left out: they would only memorise them
@@ -112,13 +112,24 @@ def train(y: np.ndarray, rows: list[np.ndarray], epochs: int = 6, batch: int = 6
     return {"bias": float(b), "bucket": vocab[live].astype(np.int64), "w": w, "v": v}
 
 
+def _smallest(rows: DataFrame, n: int, most: int) -> DataFrame:
+    """The `most` smallest hashes h of n rows; the margin is eight standard deviations."""
+    if n <= most:
+        return rows
+    return rows.filter(F.col("h") <= min(1.0, (most + 8 * most ** 0.5 + 16) / n)).orderBy("h", "doc_id").limit(most)
+
+
 def fit(docs: DataFrame, labels: DataFrame, train_on, max_rows: int = MAX_ROWS) -> dict:
-    """labels: doc_id, toxic. train_on: Column over doc_id. The sample is the max_rows smallest hashes of doc_id."""
+    """labels: doc_id, toxic. train_on: Column over doc_id. The sample is max_rows rows at most: the smallest hashes of
+    doc_id of each class. Toxic rows fill up to half of it before clean ones (either more, where the other has fewer)."""
     known = (labels.filter(train_on & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
              .withColumn("h", F.xxhash64("doc_id") / F.lit(2.0 ** 64) + 0.5))
-    n = known.count()
-    picked = (known.filter(F.col("h") <= min(1.0, 2 * common.bound_of(n, max_rows))).orderBy("h", "doc_id").limit(max_rows)
-              .select("doc_id", "toxic"))
+    n = {bool(r["t"]): r["n"] for r in known.groupBy((F.col("toxic") > 0).alias("t")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    toxic, clean = n.get(True, 0), n.get(False, 0)
+    most = min(toxic, max(max_rows // 2, max_rows - clean))
+    quota = {True: most, False: min(clean, max_rows - most)}
+    picked = [_smallest(known.filter((F.col("toxic") > 0) == t), n[t], quota[t]).select("doc_id", "toxic") for t in sorted(n)]
+    picked = picked[0].union(picked[1]) if len(picked) == 2 else picked[0] if picked else known.select("doc_id", "toxic")
     # max_rows ids at most: the broadcast is bounded.
     some = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     got = some.mapInArrow(_training_rows, "doc_id long, toxic int, idx array<int>").toArrow().combine_chunks()
@@ -126,9 +137,12 @@ def fit(docs: DataFrame, labels: DataFrame, train_on, max_rows: int = MAX_ROWS)
     values, off = np.asarray(lists.values), np.asarray(lists.offsets)
     y, ids = np.asarray(got.column("toxic")), np.asarray(got.column("doc_id"))
     # Copies count once, so that a large group of them cannot be learnt by heart.
-    once = {(hashlib.sha256(values[off[n]: off[n + 1]].tobytes()).digest(), int(y[n])): n for n in np.argsort(ids, kind="stable")}
+    once = {(hashlib.sha256(values[off[i]: off[i + 1]].tobytes()).digest(), int(y[i])): i for i in np.argsort(ids, kind="stable")}
     kept = list(once.values())
-    model = train(y[kept].astype(float), [values[off[n]: off[n + 1]] for n in kept])
+    model = train(y[kept].astype(float), [values[off[i]: off[i + 1]] for i in kept])
+    if n and quota != n and all(quota.values()):
+        # The classes were sampled at different rates, which moves nothing but the odds before any term is seen.
+        model["bias"] += float(np.log(toxic / clean) - np.log(quota[True] / quota[False]))
     del got, lists, values
     common.tidy()
     return model

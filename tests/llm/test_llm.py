@@ -205,6 +205,19 @@ def test_toxicity_learns_interactions():
     assert m["v"][at[1]] @ m["v"][at[2]] > 0.5
 
 
+def test_toxicity_sample_takes_toxic_rows_first(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda y, rows, **k: seen.append(y) or {"bias": 0.0})
+    docs = docs_of(spark, [f"word{i} and x{i}" for i in range(1000)])
+    for toxic, want in ((30, (30, 30)), (500, (30, 30)), (990, (50, 10))):
+        labels = spark.createDataFrame([(i, int(i < toxic)) for i in range(1000)], "doc_id long, toxic int")
+        model = toxicity.fit(docs, labels, F.lit(True), max_rows=60)
+        y = seen.pop()
+        assert (sum(y), len(y) - sum(y)) == want
+        assert abs(model["bias"] - np.log(toxic / (1000 - toxic) * want[1] / want[0])) < 1e-9
+    assert toxicity.MAX_ROWS >= 20000
+
+
 def test_toxicity_scores(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = toxicity.rate(docs.select("doc_id", "text").limit(10000), labels).join(labels, "doc_id").filter("held_out").groupBy("toxic").agg(F.avg("predicted").alias("p")).collect()
