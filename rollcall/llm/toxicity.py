@@ -2,8 +2,9 @@
 
 A term is a lower-cased word or the head of one, hashed into 2**DIM_BITS buckets; a text is the set of its terms. Besides additive
 weights the machine has a short vector per term, and the dot product of two terms' vectors is their interaction, so
-an insult next to a group mention can weigh more than both alone. Additive weights are kept sparse by FTRL with L1;
-vectors exist only for terms whose weights survived, so long texts do not collect noise from common words.
+an insult next to a group mention can weigh more than both alone. Additive weights are kept sparse by FTRL with L1.
+Vectors exist for terms whose weights survived, and for both terms of every pair whose rows the additive weights get
+wrong by more than chance, neutral as each may be alone; so long texts do not collect noise from common words.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ MAX_ROWS = 20000  # bound of the labelled sample that is fitted; toxic rows come
 RANK = 8
 HEADS = (4, 6)  # the first bytes of a longer word are terms too, so inflected forms share weight
 MIN_ROWS = 8  # terms of fewer sample rows are left out: they would only memorise them
+PAIR_Z = 6.0  # standard deviations from which rows that hold both terms are more than chance; there are up to 1e9 pairs
 THRESHOLD = 0.7
 
 
@@ -44,6 +46,49 @@ def _training_rows(batches):
                 names=["doc_id", "toxic", "idx"])
 
 
+def _paired(term: np.ndarray, row: np.ndarray, d: int, r: np.ndarray, block: int = 512) -> np.ndarray:
+    """Terms (of 0..d-1) of pairs that the additive weights miss; r: residuals y - p of the rows, (term, row): what they hold.
+
+    The residuals of the rows that hold both terms sum up to more than MIN_ROWS / 2 and PAIR_Z deviations, also beyond
+    what either term's own residuals explain. No pair that can pass is left out: a term whose residuals of one sign
+    don't reach the sum alone has none.
+    """
+    var = np.abs(r) * (1 - np.abs(r))
+    up, down = np.bincount(term, np.maximum(r, 0)[row], d), np.bincount(term, np.maximum(-r, 0)[row], d)
+    rate = (up - down) / np.maximum(np.bincount(term, var[row], d), 1e-9)
+    able = np.flatnonzero(np.maximum(up, down) >= MIN_ROWS / 2)
+    at = np.full(d, -1, dtype=np.int32)
+    at[able] = np.arange(len(able))
+    mine = at[term] >= 0
+    term, row = at[term[mine]], row[mine]
+    order = np.argsort(term, kind="stable")
+    term, row, rate = term[order], row[order], rate[able]
+    ptr = np.searchsorted(term, np.arange(len(able) + 1))
+
+    def dense(lo):
+        hi = min(lo + block, len(able))
+        x = np.zeros((hi - lo, len(r)), dtype=np.float32)
+        x[term[ptr[lo]: ptr[hi]] - lo, row[ptr[lo]: ptr[hi]]] = 1
+        return x
+
+    found = np.zeros(len(able), dtype=bool)
+    r, var = r.astype(np.float32), var.astype(np.float32)
+    for i in range(0, len(able), block):
+        a = dense(i)
+        ar, av = a * r, a * var
+        for j in range(i, len(able), block):
+            b = dense(j) if j > i else a
+            s, v = ar @ b.T, av @ b.T
+            least = np.maximum(MIN_ROWS / 2, PAIR_Z * np.sqrt(v + 1))
+            sign = np.sign(s)
+            hit = (s * sign >= least)
+            for own in (rate[i: i + len(a), None], rate[None, j: j + len(b)]):
+                hit &= (s - v * own) * sign >= least
+            found[i: i + len(a)] |= hit.any(axis=1)
+            found[j: j + len(b)] |= hit.any(axis=0)
+    return able[found]
+
+
 def train(y: np.ndarray, rows: list[np.ndarray], epochs: int = 6, batch: int = 64, alpha: float = 0.5, l1: float = 8.0,
           l2: float = 1e-4, seed: int = 11) -> dict:
     """y: 0/1, rows: term buckets. First FTRL on the additive part, then AdaGrad on weights and vectors together."""
@@ -82,7 +127,10 @@ def train(y: np.ndarray, rows: list[np.ndarray], epochs: int = 6, batch: int = 6
             nb += g.sum() ** 2
             b -= 0.5 * g.sum() / np.sqrt(nb)
     w = solve(z, n)
-    live = np.flatnonzero(w)
+    row = np.repeat(np.arange(len(y), dtype=np.int32), lens)
+    p = 1 / (1 + np.exp(-np.clip(b + np.bincount(row, w[compact], len(y)), -30, 30)))
+    live = np.union1d(np.flatnonzero(w), _paired(compact, row, d, y - p))
+    del row
     at = np.full(d, -1, dtype=np.int32)
     at[live] = np.arange(len(live))
     w, k = w[live].copy(), len(live)

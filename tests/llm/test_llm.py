@@ -205,6 +205,23 @@ def test_toxicity_learns_interactions():
     assert m["v"][at[1]] @ m["v"][at[2]] > 0.5
 
 
+def test_toxicity_learns_neutral_pair():
+    """Production parameters; toxic where terms 1 and 2 are both there or both missing: neutral each alone."""
+    rng = np.random.default_rng(8)
+    has = rng.random((6000, 2)) < 0.5
+    rows = [np.unique(np.r_[rng.integers(10, 60, 8), [1] * int(a), [2] * int(b)].astype(np.int64)) for a, b in has]
+    y = (has[:, 0] == has[:, 1]).astype(float)
+    m = toxicity.train(y[:4000], rows[:4000])
+    at = {int(k): i for i, k in enumerate(m["bucket"])}
+    assert m["v"][at[1]] @ m["v"][at[2]] > 0.5
+    right = 0
+    for t, r in zip(y[4000:], rows[4000:], strict=True):
+        i = [at[k] for k in r.tolist() if k in at]
+        x, s = m["v"][i], m["v"][i].sum(axis=0)
+        right += (m["bias"] + m["w"][i].sum() + 0.5 * (s @ s - (x * x).sum()) > 0) == (t > 0)
+    assert right / 2000 > 0.9
+
+
 def test_toxicity_sample_takes_toxic_rows_first(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(toxicity, "train", lambda y, rows, **k: seen.append(y) or {"bias": 0.0})
