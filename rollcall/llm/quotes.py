@@ -1,8 +1,10 @@
 """Quotation linking: nested quotes in messages are tied to the messages they quote.
 
 Lines that begin with `>` marks are quotes, one level a mark. Each run of lines of one level is a passage; its text,
-normalised, is hashed and looked up among the paragraphs and bodies that messages of the same conversation wrote
-themselves. Quote-free messages in reply order come out.
+normalised, is hashed and looked up among all runs of whole lines that messages of the same conversation wrote
+themselves: single and adjacent lines, paragraphs, bodies, however the quote is wrapped. To look at those runs only that
+can match, they are hashed for the numbers of words that passages of the conversation have. Quote-free messages in reply
+order come out.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,24 +53,44 @@ def parse(text: str) -> tuple[str, list[tuple[int, str]]]:
     return "\n".join(body).strip(), quotes
 
 
-def _digest(text: str) -> bytes | None:
-    norm = normal(text)
-    return hashlib.sha256(norm.encode("utf-8", "surrogatepass")).digest()[:16] if norm else None
+def _digest(norm: str) -> bytes:
+    return hashlib.sha256(norm.encode("utf-8", "surrogatepass")).digest()[:16]
+
+
+def windows(body: str, widths: list[int]) -> set[bytes]:
+    """Hashes of all runs of whole lines of body that have one of these numbers of words."""
+    lines = [w for line in body.splitlines() if (w := _WORD.findall(line.casefold()))]
+    words = [w for line in lines for w in line]
+    ends = np.r_[0, np.cumsum([len(w) for w in lines], dtype=np.int64)]
+    out = set()
+    for width in widths:
+        last = ends[:-1] + width
+        at = np.minimum(np.searchsorted(ends, last), len(ends) - 1)
+        out.update(_digest(" ".join(words[s: s + width])) for s in ends[:-1][ends[at] == last].tolist())
+    return out
 
 
 def _parsed(batches):
     for batch in batches:
         for part in common.pieces(batch):
-            body, own, quoted = [], [], []
+            body, quoted = [], []
             for text in part.column("text").to_pylist():
                 b, quotes = parse(text or "")
                 body.append(b)
-                own.append(sorted({d for p in [b, *re.split(r"\n\s*\n|\n", b)] if (d := _digest(p))}))
-                quoted.append([{"level": lv, "hash": d} for lv, q in quotes if (d := _digest(q))])
+                quoted.append([{"level": lv, "words": n.count(" ") + 1, "hash": _digest(n)} for lv, q in quotes if (n := normal(q))])
             yield pa.RecordBatch.from_arrays(
-                [part.column("conv_id"), part.column("turn"), part.column("role"), pa.array(body, pa.string()), pa.array(own, pa.list_(pa.binary())),
-                 pa.array(quoted, pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.binary())])))],
-                names=["conv_id", "turn", "role", "body", "own", "quoted"])
+                [part.column("conv_id"), part.column("turn"), part.column("role"), pa.array(body, pa.string()),
+                 pa.array(quoted, pa.list_(pa.struct([("level", pa.int32()), ("words", pa.int32()), ("hash", pa.binary())])))],
+                names=["conv_id", "turn", "role", "body", "quoted"])
+
+
+def _wrote(batches):
+    for batch in batches:
+        for part in common.pieces(batch, "body"):
+            found = [windows(b, w) for b, w in zip(part.column("body").to_pylist(), part.column("widths").to_pylist(), strict=True)]
+            row = np.repeat(np.arange(part.num_rows), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([part.column("conv_id").take(pa.array(row)), part.column("turn").take(pa.array(row)),
+                                              pa.array([h for f in found for h in f], pa.binary())], names=["conv_id", "turn", "hash"])
 
 
 def link(messages: DataFrame) -> DataFrame:
@@ -83,11 +106,13 @@ def link(messages: DataFrame) -> DataFrame:
     """
     common.ready(messages.sparkSession)
     rows = messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
-    read = common.save(rows.mapInArrow(_parsed, "conv_id long, turn long, role string, body string, own array<binary>, quoted array<struct<level:int,hash:binary>>"))
+    read = common.save(rows.mapInArrow(_parsed, "conv_id long, turn long, role string, body string, quoted array<struct<level:int,words:int,hash:binary>>"))
     said = read.filter(F.exists("quoted", lambda q: q["hash"].isNotNull()))
-    asks = said.select("conv_id", "turn", F.explode("quoted").alias("q")).select("conv_id", "turn", "q.level", "q.hash").distinct()
-    wrote = read.select("conv_id", "turn", F.explode("own").alias("hash")).groupBy("conv_id", "hash").agg(F.min("turn").alias("original"))
-    linked = common.save(asks.join(wrote, ["conv_id", "hash"]).filter("original < turn"))
+    asks = said.select("conv_id", "turn", F.explode("quoted").alias("q")).select("conv_id", "turn", "q.level", "q.words", "q.hash").distinct()
+    widths = asks.groupBy("conv_id").agg(F.collect_set("words").alias("widths"))
+    bodies = read.filter((F.col("body") != "") & F.col("turn").isNotNull()).select("conv_id", "turn", "body").join(widths, "conv_id")
+    wrote = bodies.mapInArrow(_wrote, "conv_id long, turn long, hash binary").groupBy("conv_id", "hash").agg(F.min("turn").alias("original"))
+    linked = common.save(asks.drop("words").join(wrote, ["conv_id", "hash"]).filter("original < turn"))
     parents = (linked.groupBy("conv_id", "turn", "level").agg(F.max("original").alias("original"), F.count(F.lit(1)).alias("k"))
                .groupBy("conv_id", "turn").agg(F.min_by("original", "level").alias("parent"), F.sum("k").alias("n_linked")))
     parents = common.save(parents)
