@@ -3,8 +3,9 @@
 Equal vectors are one node, so copies neither crowd a node's neighbours nor a task. The graph starts from the nearest
 among blocks of vectors that lie together in a few random orders. Then rounds of joins introduce the neighbours of each
 node (and some of those it is a neighbour of) to each other, in the node's own group of a bounded number of vectors; a
-node keeps its nearest. A query walks the graph from its own node and a few shared entries: it opens its nearest
-unopened candidates, joins their neighbours and keeps the best, until nothing unopened is left among them.
+node keeps its nearest, until hardly an edge changes. A query walks the graph from its own node and a few shared
+entries: it opens its nearest unopened candidates, joins their neighbours and keeps the best, until nothing unopened is
+left among them.
 """
 
 from __future__ import annotations
@@ -21,11 +22,10 @@ REVERSE = 20  # nodes it is a neighbour of that are introduced, a round
 ORDERS = 4  # random orders the graph starts from
 BLOCK = 96  # vectors of a block in them
 BEST = 10  # others that a node is introduced to in one group
-ROUNDS = 6
+CHANGED = 0.001  # share of the edges; the rounds end when fewer are new
 BEAM = 100  # candidates a query keeps
 OPEN = 20  # opened at once
 ENTRIES = 16  # nodes all queries start from, besides their own
-STEPS = 8
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -111,7 +111,7 @@ def _introduce(batches):
 def _keep(edges: DataFrame, k: int) -> DataFrame:
     """The k nearest of each node; a node has a bounded number of edges each round, whatever the table."""
     w = Window.partitionBy("node").orderBy("dist", "near")
-    return edges.groupBy("node", "near").agg(F.min("dist").alias("dist")).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k)
+    return edges.groupBy("node", "near").agg(F.min("dist").alias("dist"), F.min("new").alias("new")).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k)
 
 
 def usable(vectors: DataFrame, id_col: str, vec: str) -> DataFrame:
@@ -146,8 +146,9 @@ def build(rows: DataFrame, top: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     graph = starts[0]
     for s in starts[1:]:
         graph = graph.union(s)
-    graph = common.save(_keep(graph, DEGREE).drop("r"))
-    for turn in range(ROUNDS):
+    graph = common.save(_keep(graph.withColumn("new", F.lit(1)), DEGREE).drop("r"))
+    turn = 0
+    while True:
         worst = graph.groupBy("node").agg(F.max("dist").alias("worst"), F.count(F.lit(1)).alias("k")).select(
             "node", F.when(F.col("k") < DEGREE, float("inf")).otherwise(F.col("worst")).alias("worst"))
         facts = nodes.join(worst, "node", "left").select(F.col("node").alias("near"), "v", F.coalesce("worst", F.lit(float("inf"))).alias("worst"))
@@ -160,16 +161,20 @@ def build(rows: DataFrame, top: int) -> tuple[DataFrame, DataFrame, DataFrame]:
         met = (around.join(facts, "near").select("node", "near", "v", "worst").repartition(parts, "node").sortWithinPartitions("node")
                .mapInArrow(_introduce, "node long, near long, dist double"))
         # An edge that betters a node's worst is rare after the first rounds, so little is shuffled.
-        new = common.save(_keep(graph.union(met), DEGREE).drop("r"), free=True)
+        both = graph.withColumn("new", F.lit(0)).union(met.withColumn("new", F.lit(1)))
+        new = common.save(_keep(both, DEGREE).drop("r"), free=True)
         common.drop(graph)
-        graph = new
-    return nodes, members, graph
+        graph, turn = new, turn + 1
+        edges, fresh = graph.agg(F.count(F.lit(1)), F.coalesce(F.sum("new"), F.lit(0))).first()
+        if fresh <= CHANGED * edges:
+            return nodes, members, graph
 
 
 def search(queries: DataFrame, nodes: DataFrame, members: DataFrame, graph: DataFrame, top: int) -> DataFrame:
     """queries: (query_id, node, q) -> (query_id, rank, id, score): the `top` nearest members found, but not itself."""
-    links = common.save(graph.select("node", "near").union(graph.select(F.col("near").alias("node"), F.col("node").alias("near"))).distinct()
-                        .withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("near")))).filter(F.col("r") <= 3 * DEGREE).drop("r"))
+    back = graph.select(F.col("near").alias("node"), F.col("node").alias("near"), "dist")
+    back = back.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("dist", "near"))).filter(F.col("r") <= 2 * DEGREE)
+    links = common.save(graph.select("node", "near").union(back.select("node", "near")).distinct())
     entries = nodes.select("node").orderBy(F.xxhash64("node")).limit(ENTRIES)  # ENTRIES rows: a fixed bound
     known = queries.select("query_id", "node").union(queries.select("query_id").crossJoin(F.broadcast(entries))).distinct().withColumn("opened", F.lit(False))
     score = F.sqrt(F.aggregate(F.zip_with("q", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
@@ -180,7 +185,7 @@ def search(queries: DataFrame, nodes: DataFrame, members: DataFrame, graph: Data
         return df.join(nodes, "node").join(vector, "query_id").withColumn("score", score).drop("v", "q")
 
     beam = common.save(scored(known))
-    for _ in range(STEPS):
+    while True:
         opened = beam.filter(~F.col("opened")).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= OPEN).select("query_id", "node")
         fresh = (opened.join(links, "node").select("query_id", F.col("near").alias("node")).distinct()
                  .join(beam.select("query_id", "node"), ["query_id", "node"], "left_anti").withColumn("opened", F.lit(False)))

@@ -261,6 +261,17 @@ def test_nearest(spark):
     assert hit / 60 >= 0.9 and got[100][0] == (50, 0.0)
 
 
+def test_search_opens_a_hubs_own_neighbours(spark):
+    """Nodes 1..24 are linked to the hub 0 alone, which a thousand distant nodes keep as a neighbour too."""
+    place = {0: 0.0} | {i: 0.1 * i for i in range(1, 25)} | {i: float(i) for i in range(100, 1100)}
+    nodes = spark.createDataFrame([(i, [x, 0.0]) for i, x in place.items()], "node long, v array<double>")
+    edges = [(0, i, place[i]) for i in range(1, 25)] + [(i, 0, x) for i, x in place.items() if i]
+    graph = spark.createDataFrame(edges, "node long, near long, dist double")
+    asked = spark.createDataFrame([(0, 0, [0.0, 0.0])], "query_id long, node long, q array<double>")
+    rows = nndescent.search(asked, nodes, nodes.select("node", F.col("node").alias("id")), graph, 10).collect()
+    assert sorted(r["id"] for r in rows) == list(range(1, 11))
+
+
 def test_quotes(spark):
     rows = [(1, 0, "user", "Hello there.\nHow are you?"), (1, 1, "a", "> hello THERE\nFine."), (1, 2, "user", "> > Hello there.\n> Fine.\n\nGood."), (1, 3, "a", "> unknown words\nOh."),
             (1, 4, "user", None), (2, 0, "user", "> Hello there.\nx"), (None, None, None, "> q"), (1, 1, "a", "> hello THERE\nFine.")]
