@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Titles, street words, unit words and states.
 TITLES = ["dr", "doc", "doctor", "prof", "mr", "mrs", "ms", "md", "phd", "do", "rn", "np"]
 STREET_WORDS = {
-    "st": "street", "ave": "avenue", "blvd": "boulevard", "rd": "road", "dr": "drive", "ln": "lane", "ct": "court", "pl": "place",
-    "sq": "square", "ter": "terrace", "pkwy": "parkway", "hwy": "highway", "n": "north", "s": "south", "e": "east", "w": "west",
+    "st": "street", "st.": "street", "ave": "avenue", "ave.": "avenue", "av": "avenue", "blvd": "boulevard", "blvd.": "boulevard",
+    "rd": "road", "rd.": "road", "dr": "drive", "dr.": "drive", "ln": "lane", "ln.": "lane", "ct": "court", "ct.": "court",
+    "pl": "place", "pl.": "place", "sq": "square", "sq.": "square", "ter": "terrace", "ter.": "terrace", "pkwy": "parkway", "pkwy.": "parkway",
+    "hwy": "highway", "hwy.": "highway", "n": "north", "n.": "north", "s": "south", "s.": "south", "e": "east", "e.": "east", "w": "west", "w.": "west",
+    "ne": "northeast", "nw": "northwest", "se": "southeast", "sw": "southwest",
 }
-STREET_PLAIN = {"av": "avenue", "ne": "northeast", "nw": "northwest", "se": "southeast", "sw": "southwest"}  # these take no dot
 UNIT_WORDS = ["suite", "ste", "unit", "apt", "apartment", "fl", "floor", "rm", "room", ""]
 STATES = {
     "alabama": "AL", "alaska": "AK", "arizona": "AZ", "arkansas": "AR", "california": "CA", "colorado": "CO", "connecticut": "CT",
@@ -25,8 +29,22 @@ STATES = {
 }
 
 
-def street_words() -> dict[str, str]:
-    return STREET_WORDS | {f"{k}.": v for k, v in STREET_WORDS.items()} | STREET_PLAIN
+# White space at the ends, as Unicode counts it, and the four separators that also part words.
+SPACES = " \t\n\v\f\r\x1c\x1d\x1e\x1f\x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value evaluated once a row however often body uses it (a Column is pasted wherever it is used)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def derive(df: DataFrame, made: dict[str, Column]) -> DataFrame:
+    """df with the columns of `made`, in place of any of the same name.
+
+    They come out of a generator, through which the optimizer neither pushes filters nor merges projections, so each is
+    evaluated once a row, whatever later steps do with it.
+    """
+    return df.select(*[c for c in df.columns if c not in made], F.inline(F.array(F.struct(*[v.alias(k) for k, v in made.items()]))))
 
 
 def text(c: Column) -> Column:
@@ -35,11 +53,11 @@ def text(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space of any kind at the ends; null becomes empty."""
-    return F.regexp_replace(text(c), r"(?U)^\s+|\s+$", "")
+    return F.btrim(text(c), F.lit(SPACES))
 
 
 def squish(c: Column) -> Column:
-    return strip(F.regexp_replace(text(c), r"(?U)\s+", " "))
+    return strip(F.regexp_replace(text(c), r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def digits(c: Column) -> Column:
@@ -61,19 +79,34 @@ def _words(c: Column) -> Column:
 
 
 def _name_words(c: Column) -> Column:
-    t = strip(c)
-    one = F.length(t) - F.length(F.replace(t, F.lit(","), F.lit(""))) == 1
-    t = F.when(one, F.concat_ws(" ", strip(F.split_part(t, F.lit(","), F.lit(2))), strip(F.split_part(t, F.lit(","), F.lit(1))))).otherwise(t)
-    bare = lambda w: F.regexp_replace(F.lower(w), "^['-]+|['-]+$", "")
-    return F.filter(_words(squish(F.replace(t, F.lit("."), F.lit(" ")))), lambda w: ~bare(w).isin(TITLES))
+    """A single comma swaps its two sides, dots part words, titles go."""
+    def words(t):
+        one = F.length(t) - F.length(F.replace(t, F.lit(","), F.lit(""))) == 1
+        t = F.when(one, F.concat_ws(" ", strip(F.split_part(t, F.lit(","), F.lit(2))), strip(F.split_part(t, F.lit(","), F.lit(1))))).otherwise(t)
+        return F.filter(_words(squish(F.replace(t, F.lit("."), F.lit(" ")))), lambda w: ~F.btrim(F.lower(w), F.lit("'-")).isin(TITLES))
+
+    return let(strip(c), words)
+
+
+def _shown_name(words: Column) -> Column:
+    return F.array_join(F.transform(words, lambda x: _runs(x, "A-Za-z")), " ")
+
+
+def _plain_name(words: Column) -> Column:
+    return F.translate(F.lower(F.array_join(words, " ")), "'-", "")
 
 
 def name_display(c: Column) -> Column:
-    return F.array_join(F.transform(_name_words(c), lambda w: _runs(w, "A-Za-z")), " ")
+    return _shown_name(_name_words(c))
 
 
 def name_compare(c: Column) -> Column:
-    return F.regexp_replace(F.lower(F.array_join(_name_words(c), " ")), "['-]", "")
+    return _plain_name(_name_words(c))
+
+
+def name_forms(c: Column) -> Column:
+    """struct(display, compare)."""
+    return let(_name_words(c), lambda w: F.struct(_shown_name(w).alias("display"), _plain_name(w).alias("compare")))
 
 
 def specialty_display(c: Column) -> Column:
@@ -85,9 +118,8 @@ def specialty_compare(c: Column) -> Column:
 
 
 def phone_compare(c: Column) -> Column:
-    d = digits(c)
-    d = F.when((F.length(d) == 11) & d.startswith("1"), F.substr(d, F.lit(2))).otherwise(d)
-    return F.when(F.length(d) == 10, d).otherwise(F.lit(""))
+    """The ten digits, without a leading country code; anything else is empty."""
+    return F.regexp_extract(digits(c), r"^1?([0-9]{10})$", 1)
 
 
 def phone_display(c: Column) -> Column:
@@ -95,9 +127,8 @@ def phone_display(c: Column) -> Column:
 
 
 def state_code(c: Column) -> Column:
-    s = strip(c)
     names = F.create_map(*[F.lit(x) for kv in STATES.items() for x in kv])
-    return F.when(F.length(s) == 2, F.upper(s)).otherwise(F.coalesce(F.try_element_at(names, F.lower(s)), F.upper(s)))
+    return let(strip(c), lambda s: F.when(F.length(s) == 2, F.upper(s)).otherwise(F.coalesce(F.try_element_at(names, F.lower(s)), F.upper(s))))
 
 
 def zip5(c: Column) -> Column:
@@ -105,43 +136,58 @@ def zip5(c: Column) -> Column:
 
 
 def _is_unit(w: Column) -> Column:
-    return F.regexp_replace(F.lower(w), r"^[.#]+|[.#]+$", "").isin(UNIT_WORDS)
+    return F.btrim(F.lower(w), F.lit(".#")).isin(UNIT_WORDS)
+
+
+def _street(street: Column) -> Column:
+    """struct(compare, unit): a unit after a comma, or else behind a unit word in the street itself, is taken out; common
+    words of the rest are written in full."""
+    table = F.create_map(*[F.lit(x) for kv in STREET_WORDS.items() for x in kv])
+    whole = lambda t: let(F.lower(F.btrim(t, F.lit(","))), lambda b: F.coalesce(F.try_element_at(table, b), b))
 
+    def read(parts):
+        named = F.filter(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: (p != "") & _is_unit(F.split_part(p, F.lit(" "), F.lit(1))))
+        last = let(F.try_element_at(named, F.lit(-1)), lambda p: F.when(p.isNotNull(), F.try_element_at(F.regexp_extract_all(p, F.lit(r"(?U)(\w+)"), F.lit(1)), F.lit(-1))))
+        after = F.when(F.size(parts) > 1, F.coalesce(last, F.lit(""))).otherwise("")
+        return let(_words(F.coalesce(F.get(parts, F.lit(0)), F.lit(""))), lambda tokens: F.struct(
+            after.alias("after"), tokens.alias("tokens"), F.array_position(F.transform(tokens, _is_unit), True).cast("int").alias("at")))
 
-def _street_parts(street: Column) -> tuple[Column, Column]:
-    """(tokens of the street, unit): a unit after a comma, or else behind a unit word in the street itself."""
-    parts = F.transform(F.split(squish(F.replace(squish(street), F.lit("#"), F.lit(" # "))), ","), strip)
-    named = F.filter(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: (p != "") & _is_unit(F.split_part(p, F.lit(" "), F.lit(1))))
-    last = F.regexp_extract_all(F.coalesce(F.get(named, F.size(named) - 1), F.lit("")), F.lit(r"(?U)(\w+)"), F.lit(1))
-    after = F.coalesce(F.get(last, F.size(last) - 1), F.lit(""))
-    tokens = _words(F.coalesce(F.get(parts, F.lit(0)), F.lit("")))
-    at = F.array_position(F.transform(tokens, _is_unit), True).cast("int")
-    scan = (after == "") & (at > 0)
-    inside = F.regexp_replace(F.coalesce(F.get(tokens, at), F.lit("")), "^#+|#+$", "")
-    return (F.when(scan, F.slice(tokens, F.lit(1), F.greatest(at - 1, F.lit(0)))).otherwise(tokens),
-            F.when(scan, inside).otherwise(after))
+    def cut(r):
+        inside = (r["after"] == "") & (r["at"] > 0)
+        kept = F.when(inside, F.slice(r["tokens"], F.lit(1), F.greatest(r["at"] - 1, F.lit(0)))).otherwise(r["tokens"])
+        return F.struct(F.trim(F.array_join(F.transform(kept, whole), " ")).alias("compare"),
+                        F.when(inside, F.btrim(F.coalesce(F.get(r["tokens"], r["at"]), F.lit("")), F.lit("#"))).otherwise(r["after"]).alias("unit"))
+
+    parts = F.transform(F.split(squish(F.replace(text(street), F.lit("#"), F.lit(" # "))), ","), strip)
+    return let(let(parts, read), cut)
+
+
+def street_forms(street: Column) -> Column:
+    """struct(display, compare, unit)."""
+    shown = lambda s: F.array_join(F.transform(_words(s), lambda w: F.when(w.rlike(r"^\d"), w).otherwise(_cap(w))), " ")
+    return let(_street(street), lambda s: F.struct(shown(s["compare"]).alias("display"), s["compare"].alias("compare"), s["unit"].alias("unit")))
 
 
 def street_compare(street: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for kv in street_words().items() for x in kv])
-    bare = lambda t: F.lower(F.regexp_replace(t, "^,+|,+$", ""))
-    return F.trim(F.array_join(F.transform(_street_parts(street)[0], lambda t: F.coalesce(F.try_element_at(table, bare(t)), bare(t))), " "))
+    return _street(street)["compare"]
 
 
 def street_display(street: Column) -> Column:
-    return F.array_join(F.transform(_words(street_compare(street)), lambda w: F.when(w.rlike(r"^\d"), w).otherwise(_cap(w))), " ")
+    return street_forms(street)["display"]
 
 
 def unit(street: Column) -> Column:
-    return _street_parts(street)[1]
+    return _street(street)["unit"]
 
 
 def city_display(c: Column) -> Column:
     return _runs(squish(c), r"\p{L}")
 
 
-def location_key(street: Column, city: Column, state: Column, postal: Column) -> Column:
-    return F.concat_ws("|", street_compare(street), unit(street), F.lower(squish(city)), F.lower(state_code(state)), zip5(postal))
+def location_key(street: Column, city: Column, state: Column, postal: Column, with_unit: bool = True) -> Column:
+    """Street, unit (or nothing in its place), city, state and zip to match by, with bars between."""
+    return let(_street(street), lambda s: F.concat_ws(
+        "|", s["compare"], s["unit"] if with_unit else F.lit(""), F.lower(squish(city)), F.lower(state_code(state)), zip5(postal)))
 
 
 def compare_form(field: str, c: Column) -> Column:
@@ -154,4 +200,12 @@ def compare_form(field: str, c: Column) -> Column:
 def display_form(field: str, c: Column) -> Column:
     """What is stored for a field: the tidy form, or the raw text where there is none."""
     known = {"phone": phone_display, "name": name_display, "specialty": specialty_display, "state": state_code}
-    return F.coalesce(F.nullif(known[field](c), F.lit("")), text(c)) if field in known else text(c)
+    return let(known[field](c), lambda d: F.when(d != "", d).otherwise(text(c))) if field in known else text(c)
+
+
+def display_of(field: Column, fields: list[str], c: Column) -> Column:
+    """display_form where the field is a column's value."""
+    shown = F
+    for f in fields:
+        shown = shown.when(field == f, display_form(f, c))
+    return shown

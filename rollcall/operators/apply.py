@@ -11,8 +11,9 @@ ALLOWED = ["phone", "street", "unit", "city", "state", "zip", "specialty", "is_a
 
 
 def blocked() -> Column:
-    """High-stakes rows that are never applied without a human, whatever their decision says."""
-    return F.coalesce((F.col("decision") == "AUTO_UPDATE") & ((F.col("field") == "name") | ((F.col("field") == "is_active") & (F.col("new_value") == "0"))), F.lit(False))
+    """High-stakes rows, renaming and deactivating, that are never applied without a human, whatever their decision says."""
+    off = (F.col("field") == "is_active") & (F.col("old_value") == "1") & (F.col("new_value") == "0")
+    return F.coalesce((F.col("decision") == "AUTO_UPDATE") & ((F.col("field") == "name") | off), F.lit(False))
 
 
 def route(changes: DataFrame) -> DataFrame:
@@ -23,10 +24,11 @@ def route(changes: DataFrame) -> DataFrame:
 
 
 def merge(providers: DataFrame, routed: DataFrame, now: Column) -> DataFrame:
-    """The directory with applied changes; updated_at moves for touched rows only. Zips are stored as five digits."""
+    """The directory with applied changes; of several changes of a field the one with the last id wins. updated_at moves
+    for touched rows only. Zips are stored as five digits."""
     value = F.when(F.col("field") == "zip", N.zip5(F.col("new_value"))).otherwise(F.col("new_value"))
     sets = (routed.filter("status = 'applied'").groupBy("npi").pivot("field", ALLOWED)
-            .agg(F.max_by(value, F.col("confidence"))).select("npi", *[F.col(f).alias(f"_{f}") for f in ALLOWED], F.lit(True).alias("_hit")))
+            .agg(F.max_by(value, F.col("id"))).select("npi", *[F.col(f).alias(f"_{f}") for f in ALLOWED], F.lit(True).alias("_hit")))
     out = providers.join(sets, "npi", "left")
     made = {f: F.coalesce(F.col(f"_{f}").try_cast(providers.schema[f].dataType), F.col(f)) for f in ALLOWED if f in providers.columns}
     return out.withColumns(made | {"updated_at": F.when(F.col("_hit"), now).otherwise(F.col("updated_at"))}).select(providers.columns)
@@ -46,9 +48,9 @@ def review_queue(routed: DataFrame, providers: DataFrame) -> DataFrame:
     """Pending changes, surest first, with the record's name."""
     names = providers.select("npi", "name")
     return (routed.filter("status = 'pending_review'").join(names, "npi", "left").withColumn("name", F.coalesce("name", F.lit("(unknown)")))
-            .select("npi", "name", "field", "old_value", "new_value", "source", "confidence", "reason").orderBy(F.desc("confidence"), "npi", "field"))
+            .select("id", "npi", "name", "field", "old_value", "new_value", "source", "confidence", "reason").orderBy(F.desc("confidence"), "id"))
 
 
 def tally(queue: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Pending, approved and rejected; decisions: npi, field, decision."""
-    return queue.join(decisions, ["npi", "field"], "left").groupBy(F.coalesce("decision", F.lit("pending")).alias("decision")).agg(F.count(F.lit(1)).alias("n"))
+    """Pending, approved and rejected; decisions: id of the change, decision."""
+    return queue.join(decisions.select("id", "decision"), "id", "left").groupBy(F.coalesce("decision", F.lit("pending")).alias("decision")).agg(F.count(F.lit(1)).alias("n"))

@@ -1,39 +1,71 @@
-"""Directory health: duplicates, shared locations, moves, inactive and stale records."""
+"""Directory health: duplicates, shared locations, moves, inactive and stale records.
+
+Identifiers of a cluster are listed in parts of about BLOCK, so that a name or address that very many records share is
+never gathered in one task; ordinary clusters are one part.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
 
+BLOCK = 10000
 
-def keyed(providers: DataFrame) -> DataFrame:
-    """providers with the normalized keys all detectors share; make it once and persist it."""
-    c = F.col
-    return providers.withColumns({"name_cmp": N.name_compare(c("name")), "phone_cmp": N.phone_compare(c("phone")),
-                                  "location": N.location_key(F.concat_ws(" ", c("street"), F.when(c("unit") != "", F.concat(F.lit("Unit "), c("unit")))), c("city"), c("state"), c("zip"))})
-
-
-def _clusters(rows: DataFrame, key: str, reason: str) -> DataFrame:
-    return (rows.groupBy("name_cmp", key).agg(F.sort_array(F.collect_set("npi")).alias("npis"), F.min_by("name", "npi").alias("name"))
-            .filter(F.size("npis") > 1).select(F.lit(reason).alias("reason"), "name", "npis", F.array_join("npis", ",").alias("npi_set")))
-
-
-def duplicates(keys: DataFrame) -> DataFrame:
-    """Same name and phone; then same name and location, unless the same set was found by phone."""
-    named = keys.filter("name_cmp <> ''")
-    by_phone = _clusters(named.filter("phone_cmp <> ''"), "phone_cmp", "same name and phone")
-    by_place = _clusters(named.filter("replace(location, '|', '') <> ''"), "location", "same name and address")
-    return by_phone.unionByName(by_place.join(by_phone.select("npi_set"), "npi_set", "left_anti"))
 
+def keyed(providers: DataFrame, with_unit: bool = False) -> DataFrame:
+    """providers with the normalized keys the detectors share, each made once a row.
 
-def shared_locations(keys: DataFrame, min_providers: int = 2, collect: bool = True) -> DataFrame:
-    """Addresses of several records. collect=False leaves the list of identifiers out, for very hot addresses."""
+    A building is one location, whatever the units of those in it; with_unit=True parts it by them.
+    """
+    c = F.col
+    street = F.concat_ws(" ", c("street"), F.when(c("unit") != "", F.concat(F.lit("Unit "), c("unit")))) if with_unit else c("street")
+    return N.derive(providers, {"name_cmp": N.name_compare(c("name")), "phone_cmp": N.phone_compare(c("phone")), "location": N.location_key(street, c("city"), c("state"), c("zip"))})
+
+
+def _listed(rows: DataFrame, clusters: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """clusters with part and npis: the distinct identifiers of their rows, sorted, in parts of about BLOCK."""
+    sized = rows.select("npi", *keys).join(clusters, keys)
+    part = F.pmod(F.xxhash64("npi"), F.ceil(F.col(size) / BLOCK)).cast("int")
+    return sized.groupBy(*clusters.columns, part.alias("part")).agg(F.sort_array(F.collect_set("npi")).alias("npis"))
+
+
+def duplicates(keys: DataFrame, lists: bool = True) -> DataFrame:
+    """reason, name, n_records, part, npis: same name and phone; then same name and address, unless the same set was
+    found by phone. lists=False leaves the identifiers out.
+
+    The name is that of the least identifier. Two sets are the same if their sizes and two 64-bit digests are.
+    """
+    pairs = F.array(F.struct(F.lit("same name + same phone").alias("reason"), F.nullif(F.col("phone_cmp"), F.lit("")).alias("key")),
+                    F.struct(F.lit("same name + same address").alias("reason"), F.when(F.replace("location", F.lit("|"), F.lit("")) != "", F.col("location")).alias("key")))
+    rows = keys.filter("name_cmp <> ''").select("npi", "name", "name_cmp", F.inline(pairs)).filter("key is not null")
+    by = ["reason", "name_cmp", "key"]
+    # A repeated identifier counts once: it is one row of the inner aggregate.
+    once = rows.groupBy(*by, "npi").agg(F.min("name").alias("name"))
+    digest = [F.bit_xor(F.xxhash64("npi")).alias("_a"), F.bit_xor(F.xxhash64("npi", F.lit(7))).alias("_b")]
+    found = once.groupBy(*by).agg(F.count(F.lit(1)).alias("n_records"), F.min_by("name", "npi").alias("name"), F.min("npi").alias("least"), *digest).filter("n_records > 1")
+    same = Window.partitionBy("n_records", "_a", "_b")
+    kept = found.withColumn("_phone", F.max(F.col("reason") == "same name + same phone").over(same)).filter("reason = 'same name + same phone' or not _phone")
+    if not lists:
+        return kept.select("reason", "name", "n_records", "least")
+    return _listed(rows.drop("name"), kept.select(*by, "n_records", "name"), by, "n_records").select("reason", "name", "n_records", "part", "npis")
+
+
+def shared_locations(keys: DataFrame, min_providers: int = 2, lists: bool = True) -> DataFrame:
+    """location_label, n_providers, part, npis: addresses of several records, most records first, then by label.
+
+    lists=False leaves the identifiers out.
+    """
     label = F.concat(F.col("street"), F.lit(", "), F.col("city"), F.lit(" "), F.col("state"))
-    aggs = [F.min_by(label, F.col("npi")).alias("location_label"), F.count(F.lit(1)).alias("n_providers")]
-    aggs += [F.sort_array(F.collect_list("npi")).alias("npis")] if collect else []
-    return keys.filter("replace(location, '|', '') <> ''").groupBy("location").agg(*aggs).filter(F.col("n_providers") >= min_providers).drop("location").orderBy(F.desc("n_providers"))
+    rows = keys.filter("replace(location, '|', '') <> ''")
+    found = rows.groupBy("location").agg(F.btrim(F.min_by(label, F.col("npi")), F.lit(", ")).alias("location_label"), F.count(F.lit(1)).alias("n_providers")).filter(
+        F.col("n_providers") >= min_providers)
+    if lists:
+        found = _listed(rows, found, ["location"], "n_providers").select("location_label", "n_providers", "part", "npis", "location")
+    return found.orderBy(F.desc("n_providers"), "location_label", "location", *(["part"] if lists else [])).drop("location")
 
 
 def _place(street: Column, city: Column, state: Column, postal: Column) -> Column:
@@ -43,8 +75,9 @@ def _place(street: Column, city: Column, state: Column, postal: Column) -> Colum
 def moved(providers: DataFrame, external: DataFrame) -> DataFrame:
     """Records that a source places elsewhere; another unit of the same address is no move."""
     c = F.col
-    old = providers.select("npi", "name", _place(c("street"), c("city"), c("state"), c("zip")).alias("a"), F.concat_ws(", ", "street", "city").alias("old"))
-    new = external.select("npi", "source_name", "ordinal", _place(c("street"), c("city"), c("state"), c("zip")).alias("b"), F.concat_ws(", ", "street", "city").alias("new"))
+    place = _place(c("street"), c("city"), c("state"), c("zip"))
+    old = N.derive(providers.select("npi", "name", "street", "city", "state", "zip"), {"a": place}).select("npi", "name", "a", F.concat_ws(", ", "street", "city").alias("old"))
+    new = N.derive(external.select("npi", "source_name", "ordinal", "street", "city", "state", "zip"), {"b": place}).select("npi", "source_name", "ordinal", "b", F.concat_ws(", ", "street", "city").alias("new"))
     return old.join(new.filter("replace(b, '|', '') <> ''"), "npi").filter("a <> b").select("npi", "name", F.col("source_name").alias("source"), "ordinal", "old", "new")
 
 
@@ -60,10 +93,25 @@ def stale(providers: DataFrame, as_of: Column, days: int = 180) -> DataFrame:
     return providers.filter(F.col("updated_at") < as_of - F.make_interval(days=F.lit(days))).select("npi", "name", "updated_at").orderBy("updated_at", "npi")
 
 
-def report(parts: dict[str, DataFrame], top: int = 5) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """Rows found by each detector, and the first few of each."""
-    counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("detector"), "n") for k, df in parts.items()]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
-    return out, {k: df.limit(top) for k, df in parts.items()}
+def counts(parts: dict[str, DataFrame]) -> DataFrame:
+    """detector, n: what each detector found."""
+    return reduce(DataFrame.unionByName, [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("detector"), "n") for k, df in parts.items()])
+
+
+def leading(parts: dict[str, tuple[DataFrame, list[Column], Column]], top: int = 5) -> DataFrame:
+    """detector, place (from 1), item: the first `top` rows of each detector; parts: (rows, order, text of a row).
+
+    Sorting with a limit keeps `top` rows of each task; the window that numbers them sees `top` rows in all.
+    """
+    out = []
+    for k, (df, order, item) in parts.items():
+        first = df.orderBy(*order).limit(top)
+        out.append(first.select(F.lit(k).alias("detector"), F.row_number().over(Window.orderBy(*order)).alias("place"), item.alias("item")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def report(providers: DataFrame, external: DataFrame, as_of: Column) -> dict[str, DataFrame]:
+    """The rows of all five detectors; a cluster is one row."""
+    keys = keyed(providers)
+    return {"duplicates": duplicates(keys, lists=False), "shared_locations": shared_locations(keys, lists=False), "moved": moved(providers, external),
+            "inactive": inactive(providers, external), "stale": stale(providers, as_of)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +52,18 @@ def metrics(decided: DataFrame) -> DataFrame:
     return decided.groupBy("metric").agg(F.count(F.lit(1)).alias("n"))
 
 
+def run_summary(providers: DataFrame, quarantined: DataFrame, routed: DataFrame, external: DataFrame, duplicates: DataFrame, stale: DataFrame) -> DataFrame:
+    """measure, n: what a run held, decided, wrote and found; no_change counts records that sources know and none changes."""
+    c = F.col
+    changes = routed.agg(F.count_if(c("decision") == "AUTO_UPDATE").alias("auto_update"), F.count_if(c("decision") == "NEEDS_REVIEW").alias("needs_review"),
+                         F.count_if(F.lower("reason").contains("conflict")).alias("conflicts"), F.count_if(c("status") == "applied").alias("applied"))
+    rows = [changes.select(F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), c(m).alias("n")) for m in changes.columns])))]
+    untouched = external.select("npi").distinct().join(routed.select("npi"), "npi", "left_anti")
+    tables = {"providers": providers, "quarantined": quarantined, "no_change": untouched, "duplicates": duplicates, "stale": stale}
+    rows += [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(m).alias("measure"), "n") for m, df in tables.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def run_cost(counts: DataFrame, minutes: float = 4.0, hourly: float = 25.0, extracted_share: float = 0.15, per_call: float = 0.0011, compute_per_1k: float = 0.05) -> DataFrame:
     """counts: one row with records and reviews -> review, extraction, compute, total and review-everything cost."""
     n, one = F.col("records"), F.lit(minutes / 60 * hourly)

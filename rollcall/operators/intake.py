@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
@@ -17,25 +19,43 @@ def clean(df: DataFrame, default_specialty: str = "") -> DataFrame:
     made = {
         "npi": N.strip(c("npi")), "name": N.name_display(c("name")), "taxonomy_code": F.upper(N.strip(c("taxonomy_code"))),
         "specialty": F.coalesce(F.nullif(N.specialty_display(c("specialty")), F.lit("")), F.lit(default_specialty)), "phone": N.phone_display(c("phone")),
-        "unit": N.unit(c("street")), "street": N.street_display(c("street")), "city": N.city_display(c("city")), "state": N.state_code(c("state")), "zip": N.zip5(c("zip"))}
-    return df.withColumns(made)
+        "_street": N.street_forms(c("street")), "city": N.city_display(c("city")), "state": N.state_code(c("state")), "zip": N.zip5(c("zip"))}
+    out = N.derive(df, made).withColumns({"unit": c("_street.unit"), "street": c("_street.display")}).drop("_street")
+    return out.select([x for x in PROVIDER if x in out.columns] + [x for x in out.columns if x not in PROVIDER])
 
 
 def gate(df: DataFrame, min_letters: int = 2) -> DataFrame:
-    """df with clean_name, reason (null: accepted) and nth: the row's place among those of its identifier that pass."""
-    df = df.withColumn("npi", F.trim("npi")).withColumn("reason", V.rejection(F.col("npi"), N.name_compare(F.col("name")), min_letters)).withColumn("clean_name", N.name_display(F.col("name")))
-    return df.withColumn("nth", F.row_number().over(Window.partitionBy("npi", F.col("reason").isNull()).orderBy("ordinal")))
+    """df with clean_name, reason (null: accepted) and first: of the rows of its identifier that pass, it has the least
+    ordinal (false for rows that don't pass).
+
+    Rejected rows, whose identifiers may all be null, are in no group; the first of a group comes from partial
+    aggregates, so an identifier that very many rows have is neither sorted nor gathered in one task.
+    """
+    df = N.derive(df, {"npi": N.strip(F.col("npi")), "_name": N.name_forms(F.col("name"))})
+    df = df.withColumn("reason", V.rejection(F.col("npi"), F.col("_name.compare"), min_letters)).withColumn("clean_name", F.col("_name.display")).drop("_name")
+    firsts = df.filter("reason is null").groupBy("npi").agg(F.min("ordinal").alias("_first"))
+    # A rejected row looks for a key that no group has, spread by its ordinal.
+    key = F.when(F.col("reason").isNull(), F.col("npi")).otherwise(F.concat(F.lit("rejected "), F.coalesce(F.col("ordinal").cast("string"), F.lit(""))))
+    both = df.withColumn("_key", key).join(firsts.withColumnRenamed("npi", "_key"), "_key", "left")
+    return both.withColumn("first", F.coalesce(F.col("ordinal") == F.col("_first"), F.lit(False))).drop("_key", "_first")
 
 
 def accepted(gated: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """First row of each valid identifier that the directory doesn't hold yet."""
-    new = gated.filter(F.col("reason").isNull() & (F.col("nth") == 1))
+    new = gated.filter(F.col("reason").isNull() & F.col("first"))
     return new if existing is None else new.join(existing.select("npi"), "npi", "left_anti")
 
 
+def constrain(records: DataFrame) -> DataFrame:
+    """Directory rows with reason: the table constraints they break, or null for those that may be stored."""
+    c = F.col
+    broken = V.violations(c("npi"), c("name"), c("is_active"), c("state"), c("zip"))
+    return N.derive(records, {"reason": F.nullif(F.concat(F.lit("Constraint failed: "), F.array_join(broken, ",")), F.lit("Constraint failed: "))})
+
+
 def quarantine(gated: DataFrame, raw: list[str]) -> DataFrame:
     return gated.filter(F.col("reason").isNotNull()).select(
-        "ordinal", "npi", "name", F.to_json(F.struct(*raw)).alias("raw_record"), F.col("reason").alias("rejection_reason"), F.lit("Rejected").alias("status"))
+        *[x for x in ("ordinal",) if x in gated.columns], "npi", "name", F.to_json(F.struct(*raw)).alias("raw_record"), F.col("reason").alias("rejection_reason"), F.lit("Rejected").alias("status"))
 
 
 def audit(gated: DataFrame, existing: DataFrame | None = None) -> DataFrame:
@@ -46,8 +66,15 @@ def audit(gated: DataFrame, existing: DataFrame | None = None) -> DataFrame:
 
 def counters(gated: DataFrame) -> DataFrame:
     """received, accepted, quarantined and duplicates in one pass."""
-    return gated.agg(F.count(F.lit(1)).alias("received"), F.count_if(F.col("reason").isNull() & (F.col("nth") == 1)).alias("accepted"),
-                     F.count_if(F.col("reason").isNotNull()).alias("quarantined"), F.count_if(F.col("reason").isNull() & (F.col("nth") > 1)).alias("duplicates"))
+    passed = F.col("reason").isNull()
+    return gated.agg(F.count(F.lit(1)).alias("received"), F.count_if(passed & F.col("first")).alias("accepted"),
+                     F.count_if(~passed).alias("quarantined"), F.count_if(passed & ~F.col("first")).alias("duplicates"))
+
+
+def totals(**tables: DataFrame) -> DataFrame:
+    """table, n: the rows of each table, one partial count each."""
+    each = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("table_name"), "n") for k, df in tables.items()]
+    return reduce(DataFrame.unionByName, each)
 
 
 def require_rows(df: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Reconciliation: which values do the sources propose, how sure is each, and may it be applied without a human?
 
-Compare and display forms are made once a row, before the join. The join, the groups and the windows all hash by npi, so
-Spark shuffles each side once.
+The join, the groups and the windows all hash by npi, so Spark shuffles each side once. Compare forms are made once a
+value, and only for reports that are not word for word what the directory holds; display forms only for what differs.
 """
 
 from __future__ import annotations
@@ -22,13 +22,19 @@ def candidates(providers: DataFrame, external: DataFrame, fields: list[str] = CO
     Blank reports, reports equal to the stored value, and unusable ones where a value is stored are left out.
     """
     text = lambda f: F.col(f).cast("string")
-    stored = providers.select("npi", F.create_map(*[x for f in fields for x in (F.lit(f), F.struct(text(f).alias("raw"), N.compare_form(f, text(f)).alias("cmp")))]).alias("old"))
-    said = F.array(*[F.struct(F.lit(f).alias("field"), text(f).alias("raw"), N.compare_form(f, text(f)).alias("value"), N.display_form(f, text(f)).alias("display")) for f in fields])
-    rows = external.select("npi", "source_name", "ordinal", F.inline(F.filter(said, lambda s: s["raw"].isNotNull() & (N.strip(s["raw"]) != ""))))
-    both = rows.join(stored, "npi").withColumn("_o", F.try_element_at("old", F.col("field")))
-    new, old = F.lower(N.strip(F.col("value"))), F.lower(N.strip(F.col("_o.cmp")))
-    return both.filter((new != old) & ~((new == "") & (old != ""))).select(
-        "npi", "field", "source_name", "ordinal", "value", "display", F.col("_o.raw").alias("old_value"))
+    plain = lambda c: F.lower(N.strip(c))
+    stored = N.derive(providers.select("npi", *fields), {f"_{f}": F.struct(text(f).alias("raw"), plain(N.compare_form(f, text(f))).alias("cmp")) for f in fields}).select(
+        "npi", *[f"_{f}" for f in fields])
+    both = external.select("npi", "source_name", "ordinal", *fields).join(stored, "npi")
+
+    def said(f):
+        raw, old = text(f), F.col(f"_{f}")
+        value = F.when((N.strip(raw) != "") & ~raw.eqNullSafe(old["raw"]), N.compare_form(f, raw))
+        return F.struct(F.lit(f).alias("field"), raw.alias("raw"), value.alias("value"), old["raw"].alias("old_value"), old["cmp"].alias("cmp"))
+
+    rows = both.select("npi", "source_name", "ordinal", F.inline(F.array(*[said(f) for f in fields]))).filter("value is not null")
+    rows = rows.filter((plain(F.col("value")) != F.col("cmp")) & ~((plain(F.col("value")) == "") & (F.col("cmp") != "")))
+    return rows.select("npi", "field", "source_name", "ordinal", "value", N.display_of(F.col("field"), fields, F.col("raw")).alias("display"), "old_value")
 
 
 def support(cands: DataFrame, policy: Policy = DEFAULT, keys: tuple[str, ...] = ("npi", "field")) -> DataFrame:
@@ -82,8 +88,8 @@ def score(cands: DataFrame, policy: Policy = DEFAULT, keys: tuple[str, ...] = ("
 
 
 def proposed(scored: DataFrame) -> DataFrame:
-    """Scored fields as rows of the change table."""
-    return scored.select("npi", "field", "old_value", "new_value", F.array_join("sources", ", ").alias("source"), "confidence",
+    """Scored fields as rows of the change table. A run proposes at most one change a field, so record and field name it."""
+    return scored.select(F.concat_ws("-", "npi", "field").alias("id"), "npi", "field", "old_value", "new_value", F.array_join("sources", ", ").alias("source"), "confidence",
                          F.when(F.col("decision") == "auto_update", "AUTO_UPDATE").otherwise("NEEDS_REVIEW").alias("decision"), "reason", F.lit("new").alias("status"))
 
 
@@ -109,6 +115,14 @@ def recommend(providers: DataFrame, external: DataFrame, policy: Policy = DEFAUL
         "changes", "sources_consulted")
 
 
+def verify(requested: DataFrame, providers: DataFrame, external: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
+    """On-demand check of some records (requested: npi): recommend() for those the directory holds, and a row with
+    `error` for the others. Each requested identifier counts once."""
+    wanted = requested.select("npi").filter("npi is not null").distinct()
+    some = recommend(providers.join(wanted, "npi", "left_semi"), external.join(wanted, "npi", "left_semi"), policy)
+    return some.withColumn("error", F.lit(None).cast("string")).unionByName(missing(wanted, providers), allowMissingColumns=True)
+
+
 def missing(requested: DataFrame, providers: DataFrame) -> DataFrame:
     """Requested identifiers that the directory doesn't hold."""
     return requested.select("npi").join(providers.select("npi"), "npi", "left_anti").withColumn("error", F.lit("not in directory"))

@@ -50,7 +50,7 @@ def luhn_check_digit(s, d):
 
 
 def normalize_name(s, d):
-    return recipe.intake(s, d).select("ordinal", N.name_display(c("name")).alias("display"), N.name_compare(c("name")).alias("compare"))
+    return N.derive(recipe.intake(s, d), {"n": N.name_forms(c("name"))}).select("ordinal", "n.display", "n.compare")
 
 
 def normalize_phone(s, d):
@@ -68,8 +68,8 @@ def normalize_specialty(s, d):
 
 def normalize_address(s, d):
     a = [c("street"), c("city"), c("state"), c("zip")]
-    return recipe.external(s, d).select("ordinal", N.street_display(a[0]).alias("street"), N.unit(a[0]).alias("unit"), N.city_display(a[1]).alias("city"),
-                                        F.upper(N.strip(a[2])).alias("state"), N.zip5(a[3]).alias("zip"), N.location_key(*a).alias("compare"))
+    return N.derive(recipe.external(s, d), {"f": N.street_forms(a[0])}).select(
+        "ordinal", c("f.display").alias("street"), "f.unit", N.city_display(a[1]).alias("city"), F.upper(N.strip(a[2])).alias("state"), N.zip5(a[3]).alias("zip"), N.location_key(*a).alias("compare"))
 
 
 def clean_record(s, d):
@@ -77,8 +77,7 @@ def clean_record(s, d):
 
 
 def field_compare_display(s, d):
-    f = R.RECORD
-    pairs = F.array(*[F.struct(F.lit(x).alias("field"), N.compare_form(x, c(x).cast("string")).alias("compare"), N.display_form(x, c(x).cast("string")).alias("display")) for x in f])
+    pairs = F.array(*[F.struct(F.lit(x).alias("field"), N.compare_form(x, c(x)).alias("compare"), N.display_form(x, c(x)).alias("display")) for x in R.RECORD])
     return recipe.external(s, d).select("ordinal", F.inline(pairs))
 
 
@@ -114,7 +113,7 @@ def extraction_json(s, d):
 
 
 def page_field_extract(s, d):
-    docs = s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    docs = recipe.table(s, d, "documents").select("doc_id", "text")
     return records.extract_fields(docs).select("doc_id", "phone", "zip", "state", "city", "street")
 
 
@@ -149,6 +148,16 @@ def insert_or_ignore(s, d):
     return I.accepted(I.gate(recipe.intake(s, d), min_letters=1), _existing(s, d)).select("ordinal", "npi")
 
 
+def intake_totals(s, d):
+    g = I.gate(recipe.intake(s, d))
+    return I.totals(providers=I.accepted(g), providers_quarantine=I.quarantine(g, ["ordinal"]), providers_audit_log=I.audit(g))
+
+
+def constraint_quarantine(s, d):
+    """The raw directory loaded as it is: rows that the table's constraints would refuse are kept in quarantine."""
+    return I.quarantine(I.constrain(recipe.raw_directory(s, d)), ["npi", "state", "zip"])
+
+
 def table_constraint_violations(s, d):
     v = V.violations(c("npi"), c("name"), c("is_active"), c("state"), c("zip"))
     return recipe.raw_directory(s, d).select("npi", _flat(v).alias("violated")).filter("violated <> ''")
@@ -163,11 +172,19 @@ def independent_support(s, d):
 
 
 def record_recommendations(s, d):
-    known = recipe.external(s, d).filter("k % 17 <> 0")
-    r = R.recommend(providers(s, d), known)
+    return _flat_changes(R.recommend(providers(s, d), recipe.external(s, d).filter("k % 17 <> 0")))
+
+
+def verify_requested(s, d):
+    """Every identifier that the intake asks for, whether the directory holds it or not."""
+    wanted = recipe.intake(s, d).select(F.trim("npi").alias("npi"))
+    return _flat_changes(R.verify(wanted, providers(s, d), recipe.external(s, d).filter("k % 17 <> 0")), "error")
+
+
+def _flat_changes(r: DataFrame, *more: str) -> DataFrame:
     change = F.transform(F.coalesce("changes", F.array()), lambda x: F.concat_ws(":", x["field"], x["new_value"], F.array_join(x["supporting_sources"], "+")))
     return r.select("npi", "change_detected", "overall_confidence", "recommended_action", "reason", F.array_join(change, ";").alias("changes"),
-                    F.coalesce(_flat("sources_consulted"), F.lit("")).alias("sources_consulted"))
+                    F.coalesce(_flat("sources_consulted"), F.lit("")).alias("sources_consulted"), *more)
 
 
 def requested_missing(s, d):
@@ -207,7 +224,7 @@ def review_queue(s, d):
 
 def _reviews(q: DataFrame) -> DataFrame:
     x = (F.substring("npi", 2, 8).cast("int") + F.length("field")) % 3
-    return q.select("npi", "field", F.when(x == 0, "approve").when(x == 1, "reject").alias("decision")).filter("decision is not null")
+    return q.select("id", F.when(x == 0, "approve").when(x == 1, "reject").alias("decision")).filter("decision is not null")
 
 
 def review_tally(s, d):
@@ -216,11 +233,11 @@ def review_tally(s, d):
 
 
 def duplicate_providers(s, d):
-    return D.duplicates(D.keyed(providers(s, d))).select("reason", "name", c("npi_set").alias("npis"))
+    return D.duplicates(D.keyed(providers(s, d))).select("reason", "name", "n_records", "part", _flat("npis").alias("npis"))
 
 
 def shared_locations(s, d):
-    return D.shared_locations(D.keyed(providers(s, d))).select("location_label", "n_providers", _flat("npis").alias("npis"))
+    return D.shared_locations(D.keyed(providers(s, d))).select("location_label", "n_providers", "part", _flat("npis").alias("npis"))
 
 
 def moved_providers(s, d):
@@ -236,9 +253,24 @@ def stale_records(s, d):
 
 
 def health_report(s, d):
+    return D.counts(D.report(providers(s, d), recipe.external(s, d), as_of()))
+
+
+def health_leading(s, d):
+    """The first five rows of each detector."""
+    r = D.report(providers(s, d), recipe.external(s, d), as_of())
+    text = lambda *x: F.concat_ws(" | ", *x)
+    return D.leading({
+        "duplicates": (r["duplicates"], [F.desc("n_records"), c("least"), c("reason")], text("name", "reason", c("n_records").cast("string"))),
+        "shared_locations": (r["shared_locations"], [F.desc("n_providers"), c("location_label")], text("location_label", c("n_providers").cast("string"))),
+        "moved": (r["moved"], [c("npi"), c("ordinal")], text("npi", "name", "source", "old", "new")),
+        "inactive": (r["inactive"], [c("npi"), c("reason")], text("npi", "name", "reason")),
+        "stale": (r["stale"], [c("updated_at"), c("npi")], text("npi", "name", c("updated_at").cast("string")))})
+
+
+def run_summary(s, d):
     p, x = providers(s, d), recipe.external(s, d)
-    k = D.keyed(p).persist()
-    return D.report({"duplicates": D.duplicates(k), "shared_locations": D.shared_locations(k, collect=False), "moved": D.moved(p, x), "inactive": D.inactive(p, x), "stale": D.stale(p, as_of())})[0]
+    return E.run_summary(p, intake_quarantine(s, d), A.route(R.proposed(R.score(R.candidates(p, x)))), x, D.duplicates(D.keyed(p), lists=False), D.stale(p, as_of()))
 
 
 def pull_quality_checks(s, d):
@@ -294,6 +326,6 @@ NAMES = ["proposed_changes", "npi_validation", "luhn_check_digit", "normalize_na
          "clean_record", "field_compare_display", "nested_record_flatten", "cms_rows", "extraction_json", "page_field_extract", "source_union", "intake_accepted",
          "intake_quarantine", "intake_audit", "intake_counters", "insert_or_ignore", "table_constraint_violations", "change_candidates", "independent_support",
          "record_recommendations", "requested_missing", "change_summary", "unchanged_records", "apply_directory", "apply_status", "apply_counts", "apply_audit",
-         "review_queue", "review_tally", "duplicate_providers", "shared_locations", "moved_providers", "inactive_providers", "stale_records", "health_report",
+         "review_queue", "review_tally", "duplicate_providers", "shared_locations", "moved_providers", "inactive_providers", "stale_records", "health_report", "health_leading", "run_summary", "intake_totals", "constraint_quarantine", "verify_requested",
          "pull_quality_checks", "pull_quality_score", "validity_confusion", "validity_by_error_type", "validity_misclassified", "decision_eval", "decision_metrics", "run_cost"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: globals()[n] for n in NAMES}

@@ -99,8 +99,14 @@ def _exprs(table: dict) -> list[str]:
     return [f"{e} AS {n}" for n, e in table.items()]
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table's rows over at least as many partitions as there are cores: a small file is one row group, thus one task."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr(*_exprs(KEYS)).selectExpr(*_exprs(DIRECTORY))
+    return table(spark, sf_dir, "customer").selectExpr(*_exprs(KEYS)).selectExpr(*_exprs(DIRECTORY))
 
 
 def raw_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +115,7 @@ def raw_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def external(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source rows: the raw directory's values with the changes that each order reports."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_custkey AS k", "o_orderkey AS o", "o_orderpriority")
+    orders = table(spark, sf_dir, "orders").selectExpr("o_custkey AS k", "o_orderkey AS o", "o_orderpriority")
     return orders.join(customers(spark, sf_dir), "k").selectExpr(*_exprs(EXTERNAL))
 
 

@@ -25,8 +25,9 @@ def blank_to_null(c: Column) -> Column:
     return F.nullif(strip(c), F.lit(""))
 
 
-def read_registry(spark: SparkSession, path: str, taxonomy: str | None = None, state: str | None = None, cities: list[str] | None = None) -> DataFrame:
-    """Registry records of individuals, by taxonomy description, state and cities of any address."""
+def read_registry(spark: SparkSession, path: str, taxonomy: str | None = None, state: str | None = None, cities: list[str] | None = None,
+                  target: int | None = None) -> DataFrame:
+    """Registry records of individuals, by taxonomy description, state and cities of any address; `target` of them at most."""
     df = spark.read.schema(REGISTRY).json(path).filter(F.col("enumeration_type") == "NPI-1")
     if taxonomy:
         df = df.filter(F.exists("taxonomies", lambda t: F.lower(t["desc"]).contains(taxonomy.lower())))
@@ -34,7 +35,7 @@ def read_registry(spark: SparkSession, path: str, taxonomy: str | None = None, s
         df = df.filter(F.exists("addresses", lambda a: F.upper(a["state"]) == state.upper()))
     if cities:
         df = df.filter(F.exists("addresses", lambda a: F.upper(a["city"]).isin([c.upper() for c in cities])))
-    return df
+    return df if target is None else df.limit(target)
 
 
 def _first(array: str, *tests: Callable[[Column], Column]) -> Column:
@@ -61,11 +62,10 @@ def flatten_registry(df: DataFrame) -> DataFrame:
 
 def enrollment_rows(df: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     """Enrollment rows as source rows: one an identifier (the first), no specialty, blanks as null, all-blank rows gone."""
-    from pyspark.sql import Window
-
-    first = Window.partitionBy("npi").orderBy(ordinal)
+    # Of each identifier the row with the least ordinal, by partial aggregates.
+    df = df.groupBy("npi").agg(F.min_by(F.struct(*[c for c in df.columns if c != "npi"]), ordinal).alias("_r")).select("npi", "_r.*")
     street = F.concat_ws(" ", blank_to_null(F.col("adr_ln_1")), F.when(F.upper(strip(F.col("ln_2_sprs"))) != "Y", blank_to_null(F.col("adr_ln_2"))))
-    out = df.withColumn("_r", F.row_number().over(first)).filter("_r = 1").select(
+    out = df.select(
         "npi", F.lit("cms").alias("source_name"), F.col(ordinal).alias("ordinal"),
         F.nullif(F.concat_ws(" ", blank_to_null(F.col("provider_first_name")), blank_to_null(F.col("provider_last_name"))), F.lit("")).alias("name"),
         blank_to_null(F.col("telephone_number")).alias("phone"), F.nullif(street, F.lit("")).alias("street"),
@@ -89,7 +89,7 @@ def extract_fields(df: DataFrame, text: str = "text", batch_function=None, schem
         return df.mapInPandas(batch_function, schema)
     take = lambda pattern, i=0: F.regexp_extract(F.coalesce(F.col(text), F.lit("")), pattern, i)
     return df.withColumns({
-        "phone": take(PHONE), "zip": take(PLACE, 3), "state": take(PLACE, 2), "city": take(PLACE, 1), "street": take(STREET)})
+        "phone": F.trim(take(PHONE)), "zip": take(PLACE, 3), "state": take(PLACE, 2), "city": take(PLACE, 1), "street": take(STREET)})
 
 
 PHONE = r"\+?1?[ .-]?\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}"
