@@ -15,7 +15,7 @@ import gc
 import hashlib
 import heapq
 import json
-from itertools import chain
+from itertools import chain, islice
 
 import pyarrow as pa
 import regex
@@ -29,7 +29,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p
 CHUNK = 4096  # bytes read at once of a long pre-token
 SHORT = 64  # bytes of a string that is merged by scanning
 REMEMBERED = 1 << 19  # pre-tokens kept with their ids
-SLICE = 4096  # ids decoded at once
+SLICE = 4096  # pre-tokens encoded, hashed and decoded at once
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -45,6 +45,7 @@ class Encoder:
 
     def __init__(self, spec: str):
         data = json.loads(spec)
+        self.check(data)
         alphabet = byte_alphabet()
         vocab = data["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in data["added_tokens"] if t["special"]}
@@ -62,6 +63,21 @@ class Encoder:
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.seen: dict[str, tuple[str, tuple[int, ...]]] = {}
 
+    @staticmethod
+    def check(data: dict) -> None:
+        """Refuse what this transducer doesn't do, rather than encode differently."""
+        model, split = data["model"], data.get("pre_tokenizer") or {}
+        odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "fuse_unk", "ignore_merges") if model.get(k)]
+        if model.get("type", "BPE") != "BPE" or odd:
+            raise ValueError(f"only plain byte-level BPE is supported ({odd or model.get('type')})")
+        if data.get("normalizer"):
+            raise ValueError("normalizers aren't supported")
+        if split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+            raise ValueError("only the ByteLevel pre-tokenizer without a prefix space is supported")
+        for t in data["added_tokens"]:
+            if not t["special"] or t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized"):
+                raise ValueError(f"added token {t['content']!r}: only special, unstripped tokens are supported")
+
     def sufficient_lookahead(self) -> int:
         """Bytes after a boundary that fix it.
 
@@ -167,19 +183,28 @@ class Encoder:
 
     def encode(self, text: str):
         """(joined ids, ids) of each pre-token of the text, in turn; special tokens stand for themselves."""
-        seen, piece = self.seen, self.piece
-        for part in self.marks.split(text) if self.marks and "<" in text else [text]:
-            if part in self.special:
-                i = self.special[part]
-                yield str(i), (i,)
-            else:
-                for w in self.pattern.findall(part):
-                    yield seen.get(w) or piece(w)
-
-    def decode(self, ids) -> str:
-        machine = codecs.getincrementaldecoder("utf-8")("replace")
-        out = [machine.decode(b"".join(map(self.bytes.__getitem__, ids[lo: lo + SLICE]))) for lo in range(0, len(ids), SLICE)]
-        return "".join(out) + machine.decode(b"", True)
+        seen, piece, at = self.seen, self.piece, 0
+        marks = self.marks.finditer(text) if self.marks and any(m in text for m in self.special) else ()
+        for mark in marks:
+            for w in self.pattern.finditer(text, at, mark.start()):
+                w = w[0]
+                yield seen.get(w) or piece(w)
+            i, at = self.special[mark[0]], mark.end()
+            yield str(i), (i,)
+        for w in self.pattern.finditer(text, at):
+            w = w[0]
+            yield seen.get(w) or piece(w)
+
+    def slices(self, text: str):
+        """encode() in lists of about SLICE pre-tokens."""
+        tokens = self.encode(text)
+        while part := list(islice(tokens, SLICE)):
+            yield part
+
+    def decoder(self):
+        """A function that takes ids in turn and gives the text they complete; called without any, it gives the rest."""
+        machine, of = codecs.getincrementaldecoder("utf-8")("replace"), self.bytes.__getitem__
+        return lambda ids=None: machine.decode(b"", True) if ids is None else machine.decode(b"".join(map(of, ids)))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -204,15 +229,15 @@ def transduce(docs: DataFrame, spec_path: str, outputs: list[str]) -> DataFrame:
 
     The vocabulary is read once on the driver and shipped (a few MB at most). Null and empty texts have no tokens and
     decode to the empty text; repeated rows stay; columns of docs with an output's name are replaced; an empty table
-    stays empty. A row is handled on its own, however long.
+    stays empty. A row is handled on its own, however long: beside the text itself and the outputs asked for, memory holds
+    SLICE pre-tokens, or the lookahead and a chunk of a long one. Vocabularies with features that this transducer lacks
+    are refused.
     """
     common.ready(docs.sparkSession)
     with open(spec_path, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
     docs = docs.drop(*outputs)
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     need_text = any(o.startswith("decoded") for o in outputs)
-    need_ids = need_text or "ids" in outputs
 
     def run(batches):
         enc = encoder(spec.value)
@@ -221,20 +246,30 @@ def transduce(docs: DataFrame, spec_path: str, outputs: list[str]) -> DataFrame:
             for part in common.pieces(batch):
                 cols = {o: [] for o in outputs}
                 for text in part.column("text").to_pylist():
-                    got = list(enc.encode(text or ""))
-                    ids = list(chain.from_iterable([g[1] for g in got])) if need_ids else []
-                    made = {"ids": ids, "n_tokens": len(ids) if need_ids else sum(len(g[1]) for g in got)}
-                    if "ids_sha256" in cols:
-                        made["ids_sha256"] = hashlib.sha256(",".join([g[0] for g in got]).encode()).hexdigest()
+                    n, every, texts, of_ids, of_text, decode = 0, [], [], hashlib.sha256(), hashlib.sha256(), enc.decoder()
+                    for got in enc.slices(text or ""):
+                        ids = list(chain.from_iterable([g[1] for g in got]))
+                        if "ids_sha256" in cols:
+                            of_ids.update((("," if n else "") + ",".join([g[0] for g in got])).encode())
+                        n += len(ids)
+                        if "ids" in cols:
+                            every += ids
+                        if need_text:
+                            done = decode(ids)
+                            of_text.update(done.encode())
+                            if "decoded" in cols:
+                                texts.append(done)
                     if need_text:
-                        made["decoded"] = enc.decode(ids)
-                        made["decoded_sha256"] = hashlib.sha256(made["decoded"].encode()).hexdigest()
+                        done = decode()
+                        of_text.update(done.encode())
+                        texts.append(done)
+                    made = {"ids": every, "n_tokens": n, "ids_sha256": of_ids.hexdigest(), "decoded": "".join(texts), "decoded_sha256": of_text.hexdigest()}
                     for o in outputs:
                         cols[o].append(made[o])
                 yield pa.RecordBatch.from_arrays(list(part.columns) + [pa.array(cols[o], OUTPUTS[o]) for o in outputs],
                                                  names=[*part.schema.names, *outputs])
 
-    return docs.mapInArrow(run, kept + "".join(f", {o} {_SQL[o]}" for o in outputs))
+    return docs.mapInArrow(run, common.schema_with(docs.schema, *[(o, _SQL[o]) for o in outputs]))
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:

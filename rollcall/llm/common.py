@@ -13,8 +13,10 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 MASK64 = (1 << 64) - 1
 
@@ -22,9 +24,13 @@ MASK64 = (1 << 64) - 1
 # ---------------------------------------------------------------- scratch tables
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; an own one only where that is unset."""
+    """The shared folder the cluster names in spark.checkpoint.dir. Where that is unset, a temporary folder if all of Spark
+    is on this machine; on a cluster executors wouldn't see it, so that is an error."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("rollcall.scratch", None)
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("rollcall.scratch", root)
     return root
@@ -33,13 +39,16 @@ def scratch_root(spark: SparkSession) -> str:
 def save(df: DataFrame, free: bool = False) -> DataFrame:
     """Write df to the shared folder and read it again: cuts the lineage with a copy that outlives executors.
 
-    free: also let Spark delete the shuffle files of plans that are no longer referenced.
+    free: also let Spark delete the shuffle files of plans that are no longer referenced. Tables that nobody drops go when
+    the driver ends.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/rollcall-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     if free:
         for _ in range(2):  # the first pass may come before the listeners have let go of the query
             time.sleep(0.4)
@@ -71,6 +80,31 @@ def ready(spark: SparkSession, rows: int = 500) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with underscores after it, that df has no column of (Spark doesn't tell cases apart)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_row(df: DataFrame, name: str) -> DataFrame:
+    """df with a column that tells its rows apart, the same in every evaluation: a row's file and its place there.
+
+    df is written first unless it is a plain read of files.
+    """
+    place = lambda d: d.select("*", F.concat_ws("#", F.hex(F.xxhash64(F.col("_metadata.file_path"))), F.col("_metadata.row_index").cast("string")).alias(name))
+    try:
+        return place(df)
+    except AnalysisException:
+        return place(save(df))
+
+
+def schema_with(fields, *made: tuple[str, str]) -> StructType:
+    """A schema of these fields (any names and types) and, after them, (name, type) columns."""
+    return StructType([StructField(f.name, f.dataType) for f in fields] + [StructField(n, StructType.fromDDL(f"x {t}")[0].dataType) for n, t in made])
+
+
 def tidy() -> None:
     """Give memory that the driver's Python no longer needs back to the system."""
     gc.collect()
@@ -242,7 +276,8 @@ def words(data: np.ndarray, off: np.ndarray, punct: bool = False, heads: tuple[i
     return (np.concatenate([r for r, _ in out]), np.concatenate([h for _, h in out])) if heads else out[0]
 
 
-def bound_of(n: int, most: int) -> float:
-    """Share of rows to keep so that about `most` of n are left."""
-    return 1.0 if n <= most else most / n
+def byte_share(rows: DataFrame, most: int) -> float:
+    """Share of rows whose texts are about `most` bytes together, 1 at most."""
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("n")).first()["n"]
+    return 1.0 if total <= most else most / total
 

@@ -1,7 +1,7 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 1. A bounded sample of labelled training rows per language is chosen by the smallest hashes of doc_id.
-2. Document frequencies of hashed 1..3-grams are counted over every training document (never the held-out fold).
+2. Document frequencies of hashed 1..3-grams are counted over every labelled training document (never the held-out fold).
 3. Weights are learnt by follow-the-regularised-leader (FTRL-proximal) with L1 and L2 penalties; a fifth of the
    sample is kept out of it and sets the temperature that calibrates the softmax.
 4. Every whole text is scored in Arrow batches; only the weights (bounded by DIM x languages) are shipped.
@@ -22,6 +22,7 @@ DIM = 1 << DIM_BITS
 ORDERS = (1, 2, 3)
 SCALE = 20.0
 PER_LANGUAGE = 1500  # bound of the labelled sample
+MAX_BYTES = 128 << 20  # bound of its texts; beyond it fewer rows a language are taken
 
 
 def _grams(batch: pa.RecordBatch):
@@ -124,8 +125,11 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit(docs: DataFrame, train, per_language: int = PER_LANGUAGE) -> dict:
-    """docs: doc_id, text, lang. train: Column, true for rows that may be learnt from. -> model of bounded size."""
-    usable = docs.filter(train)
+    """docs: doc_id, text, lang. train: Column, true for rows that may be learnt from. -> model of DIM weights a language.
+
+    Rows without a language are not learnt from at all: neither their document frequencies nor their number count.
+    """
+    usable = docs.filter(train & F.col("lang").isNotNull())
     counts = usable.groupBy().agg(F.count(F.lit(1)).alias("n")).first()["n"]
     if not counts:
         return {"langs": []}
@@ -134,13 +138,20 @@ def fit(docs: DataFrame, train, per_language: int = PER_LANGUAGE) -> dict:
     for r in rows.groupBy("bucket").agg(F.sum("df").alias("df")).collect():  # DIM rows at most
         df[r["bucket"]] = r["df"]
     idf = np.log((1 + counts) / (1 + df)) + 1
-    named = usable.filter(F.col("lang").isNotNull()).select("doc_id", "lang").distinct().withColumn("h", F.xxhash64("doc_id") / F.lit(2.0 ** 64) + 0.5)
+    named = usable.select("doc_id", "lang").distinct().withColumn("h", F.xxhash64("doc_id") / F.lit(2.0 ** 64) + 0.5)
     share = named.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(2.0 * per_language) / F.count(F.lit(1))).alias("share"))
     first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    picked = (named.join(share, "lang").filter("h <= share").withColumn("r", F.row_number().over(first))
-              .filter(F.col("r") <= per_language).select("doc_id", "lang"))
-    # At most per_language ids a language, so the broadcast is bounded.
-    some = usable.select("doc_id", "text", "lang").join(F.broadcast(picked), ["doc_id", "lang"], "left_semi")
+
+    def sample(most):
+        picked = (named.join(share, "lang").filter("h <= share").withColumn("r", F.row_number().over(first))
+                  .filter(F.col("r") <= most).select("doc_id", "lang"))
+        # At most per_language ids a language, so the broadcast is bounded; of rows with one id the least text counts.
+        rows = usable.select("doc_id", "text", "lang").join(F.broadcast(picked), ["doc_id", "lang"], "left_semi")
+        return rows.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+
+    some = sample(per_language)
+    if (part := common.byte_share(some, MAX_BYTES)) < 1:
+        some = sample(max(5, int(per_language * part)))
     got = some.mapInArrow(_training_rows(idf), "doc_id long, lang string, idx array<int>, val array<float>").toArrow().to_pandas()
     got = got.sort_values("doc_id", kind="stable").reset_index(drop=True)
     langs = sorted(got["lang"].unique())
@@ -155,7 +166,7 @@ def fit(docs: DataFrame, train, per_language: int = PER_LANGUAGE) -> dict:
             "nonzero": int((w != 0).any(axis=1).sum())}
 
 
-def _predict(model):
+def _predict(model, mark: str):
     langs = np.array(model["langs"], dtype=object)
 
     def score(part):
@@ -179,11 +190,11 @@ def _predict(model):
             for part in common.pieces(batch):
                 if len(langs):
                     lang, p = score(part)
-                    letters = np.array(part.column("letters").to_pylist(), dtype=bool)
+                    letters = np.array(part.column(mark).to_pylist(), dtype=bool)
                     lang, p = np.where(letters, lang, "und"), np.where(letters, p, 0.0)
                 else:
                     lang, p = ["und"] * part.num_rows, np.zeros(part.num_rows)
-                keep = [c for c in part.schema.names if c != "letters"]
+                keep = [c for c in part.schema.names if c != mark]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.array(lang, pa.string()), pa.array(p, pa.float64())],
                                                  names=[*keep, "lang_pred", "score"])
 
@@ -198,10 +209,10 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     """
     if model["langs"]:
         model = {k: v for k, v in model.items() if k != "weights"} | {"columns": [np.ascontiguousarray(c) for c in model["weights"].T]}
-    docs = docs.drop("lang_pred", "score", "letters")
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    rows = docs.withColumn("letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    return rows.mapInArrow(_predict(model), f"{kept}, lang_pred string, score double")
+    docs = docs.drop("lang_pred", "score")
+    mark = common.free_name(docs, "_letters")
+    rows = docs.withColumn(mark, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    return rows.mapInArrow(_predict(model, mark), common.schema_with(docs.schema, ("lang_pred", "string"), ("score", "double")))
 
 
 def fold(n: int):
@@ -209,7 +220,9 @@ def fold(n: int):
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """docs with held_out, lang_pred and score; learnt from rows with a language outside the held-out fold."""
+    """docs with held_out, lang_pred and score (columns of these names are replaced); learnt from rows with a language
+    outside the held-out fold. Rows with a null doc_id are neither learnt from nor held out. Ties go to the language
+    first in the alphabet."""
     common.ready(docs.sparkSession)
     model = fit(docs.select("doc_id", "text", "lang"), fold(5) != 0)
     return predict(docs, model).withColumn("held_out", F.coalesce(fold(5) == 0, F.lit(False)))

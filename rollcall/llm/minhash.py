@@ -83,7 +83,13 @@ def sketch_limit(similarity: float) -> int:
     return math.floor(BITS / 2 * (1 - math.exp(-4 * K * (1 - similarity) / BITS)))
 
 
-def _features(width: int):
+def set_keys(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit digests of each set; `at` are the starts of sets that have shingles."""
+    m = common.mix(h + np.uint64(1))
+    return np.add.reduceat(m, at).view(np.int64), np.add.reduceat(common.mix(m ^ np.uint64(0x5851F42D4C957F2D)), at).view(np.int64)
+
+
+def _features(width: int, carry: list[str]):
     def run(batches):
         for batch in batches:
             for part in common.pieces(batch, most=1 << 19):
@@ -103,25 +109,26 @@ def _features(width: int):
                         for r in range(ROWS):
                             b = common.mix(b + sig[r:BAND_SAMPLES:ROWS].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.arange(BANDS, dtype=np.uint64)[:, None])
                         bands[full] = b.T.view(np.int64)
-                        m = common.mix(h + np.uint64(1))
-                        k1[full] = np.add.reduceat(m, at).view(np.int64)
-                        k2[full] = np.add.reduceat(common.mix(m ^ np.uint64(0x5851F42D4C957F2D)), at).view(np.int64)
+                        k1[full], k2[full] = set_keys(h, at)
                     flat = lambda x, k: pa.ListArray.from_arrays(pa.array(np.arange(p.num_rows + 1, dtype=np.int32) * k), pa.array(x.ravel()))
-                    yield pa.RecordBatch.from_arrays([p.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(k1), pa.array(k2), flat(bands, BANDS), flat(odd, BITS // 64)],
-                                                     names=["doc_id", "n", "k1", "k2", "bands", "odd"])
+                    yield pa.RecordBatch.from_arrays([*(p.column(c) for c in carry), pa.array(n.astype(np.int64)), pa.array(k1), pa.array(k2), flat(bands, BANDS), flat(odd, BITS // 64)],
+                                                     names=[*carry, "n", "k1", "k2", "bands", "odd"])
 
     return run
 
 
 def _sets_only(width: int):
+    """text -> the digests and the sorted hashes of its set, if that isn't empty."""
     def run(batches):
         for batch in batches:
             for part in common.pieces(batch, most=1 << 19):
                 for lo in range(0, part.num_rows, 1000):
-                    p = part.slice(lo, 1000)
-                    starts, h = sets(p, width)
-                    yield pa.RecordBatch.from_arrays([p.column("doc_id"), pa.array([h[s:e].tobytes() for s, e in zip(starts, starts[1:], strict=False)], pa.binary())],
-                                                     names=["doc_id", "items"])
+                    starts, h = sets(part.slice(lo, 1000), width)
+                    n = np.diff(starts)
+                    at = starts[:-1][n > 0]
+                    k1, k2 = set_keys(h, at) if len(at) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(n[n > 0].astype(np.int64)), pa.array(k1), pa.array(k2), pa.array([h[s: s + k].tobytes() for s, k in zip(at, n[n > 0], strict=True)], pa.binary())],
+                                                     names=["n", "k1", "k2", "items"])
 
     return run
 
@@ -153,73 +160,91 @@ def _close(percent: int):
 
 def _verify(near: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     """near, a saved table of (a, b), with `linked` by their full sets, and `delta`."""
-    both = (near.join(items.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a")
-            .join(items.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y"))
+    both = (near.join(items.select(F.col("cid").alias("a"), F.col("items").alias("x")), "a")
+            .join(items.select(F.col("cid").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y"))
     out = common.save(both.mapInArrow(_confirm(percent), "a long, b long, linked boolean, delta array<long>"), free=True)
     common.drop(near)
     return out
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs: doc_id, text -> doc_id, n_shingles, component_id, kept, one row for each row of docs.
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, carry: tuple[str, ...] = ()) -> DataFrame:
+    """docs: doc_id, text -> doc_id, columns of `carry`, n_shingles, component_id, kept, component, one row for each row of
+    docs.
 
     Two texts are linked if their sets of `width`-word shingles have a Jaccard similarity of percent / 100 or more;
-    component_id is the smallest doc_id reachable. Words are parted by ASCII white space, A-Z count as a-z. A text of
-    fewer words is one shingle; null texts and texts without words have an empty set and are linked with nothing.
-    Repeated rows have equal results. Very long texts are read whole. Other columns are ignored. An empty table gives no
-    rows. A pair at the threshold is missed by all bands with a probability of 5e-8.
+    component_id is the smallest doc_id reachable, and kept tells whether that is the row's own. Words are parted by ASCII
+    white space, A-Z count as a-z. A text of fewer words is one shingle; null texts and texts without words have an empty
+    set and are linked with nothing. Every row is judged by its own text, whatever rows share its doc_id; repeated rows
+    have equal results. `component` tells components apart (null: empty set), also where an id occurs in several. A null
+    doc_id is no one's smallest; a component of such rows alone has component_id null and they are kept. Very long texts
+    are read whole. Other columns are ignored. An empty table gives no rows. A pair at the threshold is missed by all
+    bands with a probability of 5e-8.
     """
     common.ready(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    made = common.save(docs.mapInArrow(_features(width), "doc_id long, n long, k1 long, k2 long, bands array<long>, odd array<long>"))
-    # (k1, k2, n) identify a set; the class is represented by its smallest doc_id.
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
+    ids = ["doc_id", *carry]
+    fields = [f for f in docs.schema if f.name in ids]
+    made = common.save(docs.select(*ids, "text").mapInArrow(_features(width, ids), common.schema_with(
+        fields, ("n", "long"), ("k1", "long"), ("k2", "long"), ("bands", "array<long>"), ("odd", "array<long>"))))
+    # (k1, k2, n) identify a set; from here on a class of equal sets is one node, called by a number of its own.
     classes = made.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("bands", "odd")).alias("s"))
-    reps = common.save(classes.select("k1", "k2", "n", "doc_id", "s.bands", "s.odd"), free=True)
-    bands = reps.select("doc_id", F.posexplode("bands").alias("nth", "band"))
+    reps = common.save(classes.select("k1", "k2", "n", "doc_id", "s.bands", "s.odd", F.monotonically_increasing_id().alias("cid")), free=True)
+    bands = reps.select("cid", F.posexplode("bands").alias("nth", "band"))
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     live = common.save(bands.join(shared, "band"), free=True)
-    items = common.save(docs.join(live.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sets_only(width), "doc_id long, items binary")
-                        .dropDuplicates(["doc_id"]), free=True)
-    met = live.groupBy("doc_id").agg(F.sum("size").alias("met"))
-    hubs = live.join(met, "doc_id").groupBy("band").agg(F.max_by("doc_id", F.struct("met", -F.col("doc_id"))).alias("hub"))
-    tried = (live.join(hubs, "band").filter("doc_id != hub").groupBy("doc_id", "hub").count()
-             .groupBy("doc_id").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("hub")))
-    odd = reps.select("doc_id", "odd")
+    asked = reps.join(live.select("cid").distinct(), "cid", "left_semi").select("cid", "n", "k1", "k2", F.col("doc_id").alias("d"))
+    # The sets of one text of each class, found by its smallest id; other texts of that id fall out by their digests.
+    texts = docs.select("doc_id", "text").join(asked.select("d").distinct(), F.col("doc_id").eqNullSafe(F.col("d")), "left_semi").select("text")
+    found = texts.mapInArrow(_sets_only(width), "n long, k1 long, k2 long, items binary").dropDuplicates(["n", "k1", "k2"])
+    items = common.save(found.join(asked, ["n", "k1", "k2"]).select("cid", "items"), free=True)
+    met = live.groupBy("cid").agg(F.sum("size").alias("met"))
+    hubs = live.join(met, "cid").groupBy("band").agg(F.max_by("cid", F.struct("met", -F.col("cid"))).alias("hub"))
+    tried = (live.join(hubs, "band").filter("cid != hub").groupBy("cid", "hub").count()
+             .groupBy("cid").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("hub")))
+    odd = reps.select("cid", "odd")
     x, y = odd.alias("x"), odd.alias("y")
-    near = tried.join(x, tried.doc_id == F.col("x.doc_id")).join(y, (tried.hub == F.col("y.doc_id")) & _close(percent)).select(
-        tried.doc_id.alias("a"), F.col("hub").alias("b"))
+    near = tried.join(x, tried.cid == F.col("x.cid")).join(y, (tried.hub == F.col("y.cid")) & _close(percent)).select(
+        tried.cid.alias("a"), F.col("hub").alias("b"))
     first = _verify(common.save(near, free=True), items, percent)
     links = first.filter("linked").select("a", "b")
     comp = common.components(links)
-    placed = live.select("band", "nth", "doc_id").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+    placed = live.select("band", "nth", "cid").join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     parts = placed.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("size")).groupBy("band").agg(
         F.count(F.lit(1)).alias("parts"), F.max_by("comp", F.struct("size", -F.col("comp"))).alias("main")).filter("parts > 1").select("band", "main")
     # How a text differs from its hub; a hub is its own.
-    deltas = first.select(F.col("a").alias("doc_id"), F.col("b").alias("hub"), "delta").join(first.select(F.col("b").alias("doc_id")), "doc_id", "left_anti").union(
-        first.select(F.col("b").alias("doc_id")).distinct().select("doc_id", F.col("doc_id").alias("hub"), F.array().cast("array<long>").alias("delta")))
-    facts = reps.select("doc_id", "n", "odd", F.transform("bands", lambda v: F.shiftright(v, 32).cast("int")).alias("all")).join(deltas, "doc_id", "left")
-    rest = common.save(placed.join(parts, "band").join(facts, "doc_id"), free=True)
+    deltas = first.select(F.col("a").alias("cid"), F.col("b").alias("hub"), "delta").join(first.select(F.col("b").alias("cid")), "cid", "left_anti").union(
+        first.select(F.col("b").alias("cid")).distinct().select("cid", F.col("cid").alias("hub"), F.array().cast("array<long>").alias("delta")))
+    facts = reps.select("cid", "n", "odd", F.col("bands").alias("all")).join(deltas, "cid", "left")
+    rest = common.save(placed.join(parts, "band").join(facts, "cid"), free=True)
     x, y = rest.filter("comp != main").alias("x"), rest.alias("y")
-    earlier = F.exists(F.sequence(F.lit(1), F.col("x.nth")), lambda i: F.element_at("x.all", i) == F.element_at("y.all", i)) & (F.col("x.nth") > 0)
-    once = (F.col("y.comp") == F.col("y.main")) | (F.col("x.doc_id") < F.col("y.doc_id"))
+    # A pair meets in the first band it shares only; none is before the first.
+    before = lambda side: F.slice(f"{side}.all", F.lit(1), F.col("x.nth"))
+    earlier = F.exists(F.zip_with(before("x"), before("y"), lambda a, b: a == b), lambda same: same)
+    once = (F.col("y.comp") == F.col("y.main")) | (F.col("x.cid") < F.col("y.cid"))
     total = F.col("x.n") + F.col("y.n")
     apart = F.size("x.delta") + F.size("y.delta") - 2 * F.size(F.array_intersect("x.delta", "y.delta"))
     known = (F.col("x.hub") == F.col("y.hub")) & F.col("x.delta").isNotNull() & F.col("y.delta").isNotNull()
     room = F.when(F.coalesce(known, F.lit(False)), (total - apart) * 100 >= (total + apart) * percent).otherwise(True)
-    near = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.comp") != F.col("y.comp")) & once & ~earlier & _close(percent) & room).select(
-        F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
-    second = _verify(common.save(near, free=True), items, percent).filter("linked").select("a", "b")
-    comp = common.components(links.union(second))
-    for t in (rest, live, items):
+    # Sizes alone rule most pairs of unlike texts out before their sketches are compared.
+    sized = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
+    near = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.comp") != F.col("y.comp")) & once & sized & ~earlier & _close(percent) & room).select(
+        F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
+    second = _verify(common.save(near, free=True), items, percent)
+    old, comp = comp, common.components(links.union(second.filter("linked").select("a", "b")))
+    for t in (rest, live, items, first, second, old):
         common.drop(t)
-    final = reps.select("k1", "k2", F.col("n").alias("rn"), "doc_id").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "k1", "k2", "rn", F.coalesce("comp", "doc_id").alias("component_id"))
-    m, f = made.select("doc_id", "n", "k1", "k2").alias("m"), final.alias("f")
-    return m.join(f, (F.col("m.k1") == F.col("f.k1")) & (F.col("m.k2") == F.col("f.k2")) & (F.col("m.n") == F.col("f.rn")), "left").select(
-        "m.doc_id", F.col("m.n").alias("n_shingles"), F.coalesce("f.component_id", "m.doc_id").alias("component_id"),
-        F.coalesce(F.coalesce("f.component_id", "m.doc_id") == F.col("m.doc_id"), F.lit(True)).alias("kept"))
+    comp = comp.withColumnRenamed("node", "cid")
+    least = reps.select("cid", "doc_id").join(comp, "cid").groupBy("comp").agg(F.min("doc_id").alias("least"))
+    linked = comp.join(least, "comp").select("cid", "comp", "least")
+    final = reps.select("k1", "k2", F.col("n").alias("rn"), "doc_id", "cid").join(linked, "cid", "left").select(
+        "k1", "k2", "rn", F.coalesce("comp", "cid").alias("component"), F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("least"))
+    m, f = made.select(*ids, "n", "k1", "k2").alias("m"), final.alias("f")
+    both = m.join(f, (F.col("m.k1") == F.col("f.k1")) & (F.col("m.k2") == F.col("f.k2")) & (F.col("m.n") == F.col("f.rn")), "left")
+    both = both.withColumn("_least", F.when(F.col("f.component").isNull(), F.col("m.doc_id")).otherwise(F.col("f.least")))
+    return both.select(*[F.col(f"m.`{c}`") for c in ids], F.col("m.n").alias("n_shingles"), F.col("_least").alias("component_id"),
+                       F.col("_least").eqNullSafe(F.col("m.doc_id")).alias("kept"), F.col("f.component").alias("component"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op2 over documents: two-word shingles, similarity 0.8."""
-    return near_duplicates(common.documents(spark, sf_dir).select("doc_id", "text"), 2, 80)
+    return near_duplicates(common.documents(spark, sf_dir).select("doc_id", "text"), 2, 80).drop("component")

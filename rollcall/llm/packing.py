@@ -94,21 +94,21 @@ def pack(items: DataFrame, id_col: str = "doc_id", length: str = "n_tokens", cap
 
     A document longer than the largest capacity is cut into full pieces and a rest. Documents with no tokens (0 or null)
     take no room: they get bin null, start null. Repeated rows are packed as often as they occur; ties are broken by
-    id (null first). An empty table gives no rows.
+    id (null first). Other columns are ignored. An empty table gives no rows.
     """
     spark = items.sparkSession
     top = max(capacities)
     size = F.coalesce(F.col(length), F.lit(0)).cast("long")
-    cut = items.select(F.col(id_col), size.alias("_n"), F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(size / top) - 1, F.lit(0)).cast("int"))).alias("piece"))
-    cut = cut.select(id_col, "piece", F.least(F.col("_n") - F.col("piece") * F.lit(top), F.lit(top)).cast("int").alias("n_tokens"))
-    placed = common.save(common.ranked(cut, ["n_tokens"], [id_col, "piece"], "rank"))
+    cut = items.select(F.col(f"`{id_col}`").alias("_id"), size.alias("_n"), F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(size / top) - 1, F.lit(0)).cast("int"))).alias("piece"))
+    cut = cut.select("_id", "piece", F.least(F.col("_n") - F.col("piece") * F.lit(top), F.lit(top)).cast("int").alias("n_tokens"))
+    placed = common.save(common.ranked(cut, ["n_tokens"], ["_id", "piece"], "rank"))
     # At most `top` lengths, so the histogram and the plan have a proven bound.
     counts = {r["n_tokens"]: r["n"] for r in placed.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).collect() if r["n_tokens"]}
     rows = F.broadcast(spark.createDataFrame(plan(counts, capacities), _PLAN))
     hit = (placed.n_tokens == rows.length) & (placed["rank"] >= rows.rank_from) & (placed["rank"] < rows.rank_to)
     nth = F.col("rank") - F.col("rank_from")
     return placed.join(rows, hit, "left").select(
-        id_col, "piece", "n_tokens", (F.col("first_bin") + F.floor(nth / F.col("per_bin"))).alias("bin"),
+        F.col("_id").alias(id_col), "piece", "n_tokens", (F.col("first_bin") + F.floor(nth / F.col("per_bin"))).alias("bin"),
         (F.col("start") + nth % F.col("per_bin") * F.col("n_tokens")).cast("int").alias("start"), F.col("used").alias("bin_tokens"), "capacity")
 
 

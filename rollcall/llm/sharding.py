@@ -10,13 +10,12 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-BLOCK = 32768  # groups a task differences at once
+BLOCK = 32768  # about twice as many groups as a task differences at once
 FAN = 1024  # partial partitions combined at once on the levels above
 
 
@@ -61,26 +60,22 @@ def differencing(parts: list[list[int]]) -> list[list[int]]:
 
 
 def _label_groups(k: int):
-    def run(frames):
-        task, block, kept = TaskContext.get().partitionId(), 0, []
-
-        def flush(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["group_size", "key"], ascending=[False, True])
-            out = differencing([[0] * (k - 1) + [int(s)] for s in pdf["group_size"]])
-            return pd.DataFrame({"key": pdf["key"], "group_size": pdf["group_size"],
-                                 "block": (task << 32) + block, "bin": [x[k - 1] for x in out]})
+    def flush(rows: list[pd.DataFrame]) -> pd.DataFrame:
+        pdf = pd.concat(rows)
+        out = differencing([[0] * (k - 1) + [int(s)] for s in pdf["group_size"]])
+        return pdf.assign(bin=[x[k - 1] for x in out])
 
-        held = 0
+    def run(frames):
+        held, block = [], None  # the rows of one block
         for pdf in frames:
-            for lo in range(0, len(pdf), BLOCK):
-                part = pdf.iloc[lo: lo + BLOCK]
-                kept.append(part)
-                held += len(part)
-                if held >= BLOCK:
-                    yield flush(pd.concat(kept))
-                    block, kept, held = block + 1, [], 0
+            for own, part in pdf.groupby("block", sort=False):
+                if held and own != block:
+                    yield flush(held)
+                    held = []
+                held.append(part)
+                block = own
         if held:
-            yield flush(pd.concat(kept))
+            yield flush(held)
 
     return run
 
@@ -92,16 +87,16 @@ def _combine(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def assign_groups(groups: DataFrame, n_shards: int) -> DataFrame:
-    """(key, group_size) with one row a key -> (key, shard)."""
-    labelled = common.save(groups.select("key", "group_size").mapInPandas(
-        _label_groups(n_shards), "key binary, group_size long, block long, bin int"))
+    """(key, group_size) with one row a key -> (key, shard). Blocks are cut by the keys' leading bytes, so the result is
+    the same however Spark deals the rows."""
+    groups = common.save(groups.select("key", "group_size"))
+    blocks = left = max(1, -(-2 * groups.count() // BLOCK))  # half full on average
+    block = F.expr("conv(hex(substring(key, 1, 6)), 16, 10)").cast("long") % F.lit(blocks)
+    laid = groups.withColumn("block", block).repartition("block").sortWithinPartitions("block", F.desc("group_size"), "key")
+    labelled = common.save(laid.mapInPandas(_label_groups(n_shards), "key binary, group_size long, block long, bin int"))
     sums = [F.coalesce(F.sum(F.when(F.col("bin") == i, F.col("group_size"))), F.lit(0)) for i in range(n_shards)]
-    nodes = labelled.groupBy("block").agg(F.array(*sums).alias("sums"))
-    # Blocks are numbered densely: task ids and block counts are few, so their distinct list is ranked distributedly.
-    numbered = common.ranked(nodes.withColumn("_all", F.lit(0)), ["_all"], ["block"], "node")
-    numbered = common.save(numbered.select("block", "node", "sums"))
-    to = numbered.select("block", "node", F.array(*[F.lit(i) for i in range(n_shards)]).alias("to"))
-    level, left = numbered.select("node", "sums"), numbered.count()
+    level = common.save(labelled.groupBy(F.col("block").alias("node")).agg(F.array(*sums).alias("sums")))
+    to = level.select(F.col("node").alias("block"), "node", F.array(*[F.lit(i) for i in range(n_shards)]).alias("to"))
     while left > 1:
         step = common.save(level.withColumn("parent", F.expr(f"node div {FAN}")).groupBy("parent").applyInPandas(
             _combine, "node long, parent long, sums array<long>, to array<int>"))
@@ -111,6 +106,7 @@ def assign_groups(groups: DataFrame, n_shards: int) -> DataFrame:
         sums = [F.coalesce(F.sum(F.when(F.col("z.to") == i, F.col("z.sums"))), F.lit(0)) for i in range(n_shards)]
         level = common.save(cells.groupBy("parent").agg(F.array(*sums).alias("sums")).withColumnRenamed("parent", "node"))
         left = -(-left // FAN)
+    common.drop(groups)
     return labelled.join(to, "block").select("key", F.element_at("to", F.col("bin") + 1).alias("shard"))
 
 
@@ -119,7 +115,7 @@ def shard(docs: DataFrame, n_shards: int = 16, text: str = "text", id_col: str =
 
     Returns id_col, size, text_crc32, shard, slot. A row's size is its UTF-8 bytes plus 1, so empty texts count too.
     Null texts form one group with the empty text (size 1, checksum 0); repeated rows stay rows of their own, ties in
-    id_col are ordered by checksum; null ids come first. Other columns of docs are ignored, whatever they are called;
+    id_col are ordered by checksum; null ids come first. The same rows get the same shards on any cluster. Other columns of docs are ignored, whatever they are called;
     an empty table gives no rows.
     """
     common.ready(docs.sparkSession, 10000)

@@ -13,6 +13,8 @@ LENGTH - GRAM + 1 consecutive ones.
    where a name has several classes, the prefixes of each class's suffixes are sorted and compared with their neighbours.
 
 Long runs of one name spread over tasks by range partitioning; what a task holds of a run is bounded by one document.
+Equal contexts are told by 128 bits (name and context), whole copies by 128 bits of their SHA-256, prefixes by 64 bits
+among the contexts of one name.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ GRAM = 20
 SPAN = LENGTH - GRAM + 1  # consecutive tuples of which one is sampled; also the suffixes that share a sample
 BACK = LENGTH - GRAM  # bytes before a sample that its context holds
 BLOCK = 1 << 17  # sorted rows handled at once in a task
-HOT = 1 << 16  # classes of one name beyond which its suffixes are compared by a grouped job instead of within a task
+HOT = 1 << 10  # classes of one name beyond which its suffixes are compared by a grouped job instead of within a task
 
 
 def _slide(a: np.ndarray, w: int, f) -> np.ndarray:
@@ -240,16 +242,22 @@ def spans_of(n: int, lo: list, hi: list) -> list[tuple[int, int]]:
     return list(zip(a[start].tolist(), b[np.r_[np.flatnonzero(start)[1:] - 1, len(b) - 1]].tolist(), strict=True))
 
 
+def known(docs: DataFrame, text: str = "text", doc: str = "doc_id", tid: str = "tid") -> DataFrame:
+    """docs with tid, 64 bits of the text's SHA-256: (doc, tid) stands for the rows of an id that have one text."""
+    return docs.withColumn(tid, F.xxhash64(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)))
+
+
 def intervals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs: doc_id, text -> (doc_id, lo, hi) that documents lose, lo and hi not yet cut to the text; and the doc_id of
-    rows whose text an earlier document has as a whole."""
+    """docs: doc_id (not null), text, tid -> (doc_id, tid, lo, hi) that texts lose, lo and hi not yet cut to the text; and
+    the (doc_id, tid) whose text an earlier document has as a whole."""
     spark = docs.sparkSession
-    # A text is known by 64 bits of its SHA-256.
-    known = docs.withColumn("tid", F.xxhash64(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)))
-    slim = common.save(known.select("doc_id", "tid"))
-    firsts = slim.groupBy("tid").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    copies = slim.join(firsts, "tid").filter("doc_id > first").select("doc_id").distinct()
-    samples = known.filter(F.octet_length("text") >= LENGTH).mapInArrow(_sampled, _SAMPLES)
+    slim = common.save(docs.select("doc_id", "tid", F.substring(F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)), 1, 16).alias("sha")))
+    firsts = slim.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
+    copies = slim.join(firsts, "sha").filter("doc_id > first").select("doc_id", "tid").distinct()
+    # Where rows are repeated as a whole, one of them shows the bytes around samples.
+    repeated = slim.groupBy("doc_id", "tid").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
+    once = docs.dropDuplicates(["doc_id", "tid"]) if repeated else docs
+    samples = docs.filter(F.octet_length("text") >= LENGTH).mapInArrow(_sampled, _SAMPLES)
     laid = samples.repartitionByRange(common.partitions(spark) * 2, "name", "tid", "pos", "doc_id").sortWithinPartitions("name", "tid", "pos", "doc_id")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
     found = common.save(laid.mapInArrow(_repeated, _SAMPLES + ", edge byte"), free=True)
@@ -258,37 +266,38 @@ def intervals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     seam = found.filter("edge > 0").groupBy("name").agg(F.min("tid").alias("a"), F.max("tid").alias("b")).filter("a < b").select("name")
     outer = found.filter("edge = 2").drop("edge").join(seam, "name", "left_semi").select(*inner.columns)
     rows = inner.unionByName(outer)
-    classes = common.save(rows.groupBy("name", "context").agg(F.min(F.struct("doc_id", "pos")).alias("f"))
-                          .select("name", "context", F.col("f.doc_id").alias("first"), F.col("f.pos").alias("pos")), free=True)
-    several = classes.groupBy("name").agg(F.count(F.lit(1)).alias("classes"), F.min("first").alias("a"), F.max("first").alias("b")).filter("a < b").select("name", "classes")
-    wanted = classes.join(several, "name").select("name", "context", "classes", F.col("first").alias("doc_id"), "pos")
-    asked = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("name", "context", "pos")).alias("at"))  # bounded by the document
-    around = common.save(docs.join(asked, "doc_id").select("doc_id", "text", "at").mapInArrow(
+    classes = common.save(rows.groupBy("name", "context").agg(F.min(F.struct("doc_id", "pos", "tid")).alias("f"))
+                          .select("name", "context", F.col("f.doc_id").alias("first"), F.col("f.pos").alias("pos"), F.col("f.tid").alias("tid")), free=True)
+    # Written, as below, so that joins with it are plain joins of shuffles, which Spark can split where a name is hot.
+    several = common.save(classes.groupBy("name").agg(F.count(F.lit(1)).alias("classes"), F.min("first").alias("a"), F.max("first").alias("b")).filter("a < b").select("name", "classes"))
+    wanted = classes.join(several, "name").select("name", "context", F.col("first").alias("doc_id"), "tid", "pos")
+    asked = wanted.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("name", "context", "pos")).alias("at"))  # bounded by the document
+    around = common.save(once.join(asked, ["doc_id", "tid"]).select("doc_id", "text", "at").mapInArrow(
         _contexts, "name long, context long, doc_id long, before int, after int, body binary"), free=True)
     hot = several.filter(F.col("classes") > HOT).select("name")
     cold = around.join(hot, "name", "left_anti").select(*_CONTEXT)
     by_prefix = cold.repartition(common.partitions(spark) * 2, "name").sortWithinPartitions("name").mapInArrow(_merge, "name long, context long, lo int, hi int")
     keyed = around.join(hot, "name", "left_semi").select(*_CONTEXT).mapInArrow(_explode, "key long, doc_id long, name long, context long, at int")
-    least = keyed.groupBy("key").agg(F.min("doc_id").alias("least"))
-    by_hot = keyed.join(least, "key").filter("least < doc_id").groupBy("name", "context").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
+    least = keyed.groupBy("name", "key").agg(F.min("doc_id").alias("least"))
+    by_hot = keyed.join(least, ["name", "key"]).filter("least < doc_id").groupBy("name", "context").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
     shared = by_prefix.unionByName(by_hot).groupBy("name", "context").agg(F.min("lo").alias("s_lo"), F.max("hi").alias("s_hi"))
     # Written, so that the join below has plain shuffles on both sides and Spark can split those of a hot class.
     lost = common.save(classes.select("name", "context", "first").join(shared, ["name", "context"], "left"), free=True)
     later = F.col("doc_id") > F.col("first")
-    out = common.save(rows.select("name", "context", "doc_id", "pos").join(lost, ["name", "context"]).filter(later | F.col("s_lo").isNotNull()).select(
-        "doc_id", (F.col("pos") - BACK + F.when(later, 0).otherwise(F.col("s_lo"))).alias("lo"),
+    out = common.save(rows.select("name", "context", "doc_id", "tid", "pos").join(lost, ["name", "context"]).filter(later | F.col("s_lo").isNotNull()).select(
+        "doc_id", "tid", (F.col("pos") - BACK + F.when(later, 0).otherwise(F.col("s_lo"))).alias("lo"),
         (F.col("pos") - BACK + LENGTH + F.when(later, BACK).otherwise(F.col("s_hi"))).alias("hi")), free=True)
-    for t in (found, classes, around, lost):
+    for t in (found, classes, several, around, lost):
         common.drop(t)
     return out, copies
 
 
-def _cut(kept: list[str], what: str):
+def _cut(kept: list[str], text: str, marks: list[str], what: str):
     def run(batches):
         for batch in batches:
-            for part in common.pieces(batch):
-                n, gone, spans, sha, text = [], [], [], [], []
-                cols = [part.column(c).to_pylist() for c in ("text", "lo", "hi", "copy")]
+            for part in common.pieces(batch, text):
+                n, gone, spans, sha, texts = [], [], [], [], []
+                cols = [part.column(c).to_pylist() for c in (text, *marks)]
                 for t, lo, hi, copy in zip(*cols, strict=True):
                     data = (t or "").encode("utf-8")
                     runs = ([(0, len(data))] if copy and len(data) >= LENGTH else spans_of(len(data), lo or [], hi or []))
@@ -303,9 +312,9 @@ def _cut(kept: list[str], what: str):
                     if what == "digest":
                         sha.append(hashlib.sha256(left).hexdigest())
                     else:  # a character that lost some of its bytes goes as a whole
-                        text.append(None if t is None else left.decode("utf-8", "ignore") if runs else t)
+                        texts.append(None if t is None else left.decode("utf-8", "ignore") if runs else t)
                 extra = [pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64())]
-                last = pa.array(sha, pa.string()) if what == "digest" else pa.array(text, pa.string())
+                last = pa.array(sha, pa.string()) if what == "digest" else pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + extra + [last], names=[*kept, "n_bytes", "n_removed", "n_spans", "kept_sha256" if what == "digest" else "kept_text"])
 
     return run
@@ -316,20 +325,24 @@ def remove_repeats(docs: DataFrame, what: str = "text") -> DataFrame:
     kept_sha256 of the remaining bytes.
 
     A byte goes if a string of LENGTH bytes that covers it also starts in a document with a smaller doc_id; texts are
-    UTF-8 (null: empty) and are judged as they came in. Texts shorter than LENGTH bytes stay. Rows of one doc_id count as
-    one document: they take nothing from each other. Repetition within a document takes nothing. Other columns stay,
-    but for those with the names of results, which are replaced; an empty table stays empty.
+    UTF-8 (null: empty) and are judged as they came in. Texts shorter than LENGTH bytes stay. Rows of one doc_id take
+    nothing from each other, and each loses only what its own text shares with smaller ids; rows with a null doc_id count
+    as one document after all others. Repetition within a document takes nothing. Repeated rows have equal results.
+    Other columns stay, but for those with the names of results, which are replaced; an empty table stays empty.
     """
     common.ready(docs.sparkSession)
-    made = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "lo", "hi", "copy"]
-    docs = docs.drop(*made)
-    lost, copies = intervals(docs.select("doc_id", "text"))
-    lists = lost.groupBy("doc_id").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))  # bounded by the document
-    found = lists.join(copies.withColumn("copy", F.lit(True)), "doc_id", "full_outer")
+    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
+    doc, tid, lo, hi, copy = (common.free_name(docs, f"_{c}") for c in ("doc", "tid", "lo", "hi", "copy"))
+    keyed = known(docs.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))), tid=tid)
+    lost, copies = intervals(keyed.select(F.col(doc).alias("doc_id"), "text", F.col(tid).alias("tid")))
+    lists = lost.groupBy("doc_id", "tid").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))  # bounded by the document
+    found = lists.join(copies.withColumn("copy", F.lit(True)), ["doc_id", "tid"], "full_outer").select(
+        F.col("doc_id").alias(doc), F.col("tid").alias(tid), F.col("lo").alias(lo), F.col("hi").alias(hi), F.col("copy").alias(copy))
     kept = [c for c in docs.columns if c != "text" or what != "digest"]
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept)
-    return docs.join(found, "doc_id", "left").select(*docs.columns, "lo", "hi", "copy").mapInArrow(
-        _cut(kept, what), f"{types}, n_bytes long, n_removed long, n_spans long, {'kept_sha256' if what == 'digest' else 'kept_text'} string")
+    last = "kept_sha256" if what == "digest" else "kept_text"
+    schema = common.schema_with([f for f in docs.schema if f.name in kept], ("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), (last, "string"))
+    marked = keyed.join(found, [doc, tid], "left").select(*[F.col(f"`{c}`") for c in docs.columns], lo, hi, copy)
+    return marked.mapInArrow(_cut(kept, "text", [lo, hi, copy], what), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

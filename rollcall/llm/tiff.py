@@ -1,6 +1,8 @@
 """TIFF as a media column: write pages losslessly, walk image directories, decode strips and tiles, one row a page.
 
-Both byte orders; 8-bit samples, chunky; compressions none, LZW, deflate and PackBits; horizontal differencing.
+Read: classic and BigTIFF of both byte orders; samples of 1, 2, 4, 8, 16 and 32 bits, chunky or in planes, either fill
+order; compressions none, LZW, deflate and PackBits; horizontal differencing. Not read (such a page is an error row):
+fax and JPEG compressions, floating-point differencing, samples of differing sizes. Written: classic, 8 bits, chunky.
 """
 
 from __future__ import annotations
@@ -18,10 +20,12 @@ from . import common
 
 # Fixed values of the format.
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
-TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
+TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4, 16: 8, 17: 8, 18: 8}
+WHOLE = {1: "B", 3: "H", 4: "I", 13: "I", 16: "Q", 18: "Q"}  # struct codes of the types that sizes and offsets have
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR = 273, 277, 278, 279, 284, 317
 TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 322, 323, 324, 325
+FILL_ORDER = 266
 
 
 def unpack_bits(data: bytes) -> bytes:
@@ -150,7 +154,8 @@ def write_tiff(pages: list[tuple[int, int, int, bytes]], compression: int = DEFL
                     part = np.pad(part, ((0, th - part.shape[0]), (0, tw - part.shape[1]), (0, 0)))
                 if predictor == 2:
                     part = np.concatenate([part[:, :1], part[:, 1:] - part[:, :-1]], axis=1)
-                packed = shrink(part.tobytes(), compression)
+                # PackBits runs may not cross rows.
+                packed = (b"".join(pack_bits(row.tobytes()) for row in part) if compression == PACKBITS else shrink(part.tobytes(), compression))
                 offsets.append(len(out))
                 counts.append(len(packed))
                 out += packed + b"\0" * (len(packed) % 2)
@@ -174,49 +179,91 @@ def write_tiff(pages: list[tuple[int, int, int, bytes]], compression: int = DEFL
 
 
 def directories(data: bytes):
-    """Each image directory in turn: {tag: values}. A directory met twice ends the walk."""
+    """Each image directory in turn: {tag: values}, and its byte order as tag 0. A directory met twice ends the walk."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or len(data) < 8 or struct.unpack(order + "H", data[2:4])[0] != 42:
+    magic = struct.unpack(order + "H", data[2:4])[0] if order and len(data) >= 8 else 0
+    if magic not in (42, 43):
         raise ValueError("not a TIFF")
-    at, seen = struct.unpack(order + "I", data[4:8])[0], set()
+    big = magic == 43
+    number, offset, entry, first = ("Q", "Q", 20, 8) if big else ("H", "I", 12, 4)
+    nn, on = (8, 8) if big else (2, 4)
+    at, seen = struct.unpack(order + offset, data[first: first + on])[0], set()
     while at and at not in seen:
         seen.add(at)
-        n = struct.unpack(order + "H", data[at: at + 2])[0]
-        tags = {}
+        n = struct.unpack(order + number, data[at: at + nn])[0]
+        tags: dict = {0: order}
         for i in range(n):
-            p = at + 2 + 12 * i
-            tag, kind, count = struct.unpack(order + "HHI", data[p: p + 8])
+            p = at + nn + entry * i
+            tag, kind, count = struct.unpack(order + "HH" + offset, data[p: p + 4 + on])
             size = TYPE_SIZE.get(kind, 1) * count
-            q = p + 8 if size <= 4 else struct.unpack(order + "I", data[p + 8: p + 12])[0]
-            if kind in (1, 3, 4):
-                tags[tag] = struct.unpack(f"{order}{count}{' BHHI'[kind] if kind != 1 else 'B'}", data[q: q + size])
+            q = p + 4 + on
+            if size > on:
+                q = struct.unpack(order + offset, data[q: q + on])[0]
+            if kind in WHOLE:
+                if q + size > len(data):
+                    raise ValueError("a tag points beyond the file")
+                tags[tag] = struct.unpack(f"{order}{count}{WHOLE[kind]}", data[q: q + size])
         yield tags
-        at = struct.unpack(order + "I", data[at + 2 + 12 * n: at + 6 + 12 * n])[0]
+        at = struct.unpack(order + offset, data[at + nn + entry * n: at + nn + entry * n + on])[0]
+
+
+_REVERSED = np.packbits(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)[:, ::-1], axis=1).ravel()
+
+
+def samples_of(raw: bytes, rows: int, width: int, spp: int, bits: int, order: str, predictor: int) -> np.ndarray:
+    """rows x width x spp samples of an expanded strip or tile; rows start at whole bytes."""
+    line = -(-width * spp * bits // 8)
+    got = np.frombuffer(raw, np.uint8)[: rows * line]
+    if len(got) < rows * line:
+        raise ValueError("a strip or tile is too short")
+    if bits < 8:
+        each = np.unpackbits(got.reshape(rows, line), axis=1)[:, : width * spp * bits].reshape(rows, width * spp, bits)
+        part = (each << np.arange(bits - 1, -1, -1, dtype=np.uint8)).sum(axis=2, dtype=np.uint8)
+    else:
+        part = got.view(f"{order}u{bits // 8}").astype(f"u{bits // 8}")
+    part = part.reshape(rows, width, spp)
+    if predictor == 2:
+        part = np.cumsum(part, axis=1, dtype=part.dtype)
+        part = part & ((1 << bits) - 1) if bits < 8 else part
+    return part
 
 
 def read_page(data: bytes, tags: dict) -> tuple[int, int, int, bytes]:
-    """(width, height, samples a pixel, samples) of one directory."""
+    """(width, height, samples a pixel, samples) of one directory: a byte a sample up to 8 bits, else little-endian."""
     one = lambda t, d: tags.get(t, (d,))[0]
-    w, h, spp = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1)
-    if set(tags.get(BITS, (1,))) != {8} or one(PLANAR, 1) != 1 or one(PREDICTOR, 1) not in (1, 2):
-        raise ValueError("only chunky 8-bit samples, plain or horizontally differenced, are supported")
+    w, h, spp, planar, predictor = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1), one(PLANAR, 1), one(PREDICTOR, 1)
+    sizes = set(tags.get(BITS, (1,)))
+    bits = max(sizes)
+    if len(sizes) != 1 or bits not in (1, 2, 4, 8, 16, 32):
+        raise ValueError(f"samples of {sorted(sizes)} bits aren't supported")
+    if planar not in (1, 2) or predictor not in (1, 2):
+        raise ValueError(f"planar configuration {planar} with predictor {predictor} isn't supported")
+    if w * h * spp > MOST_SAMPLES:
+        raise ValueError(f"{w} x {h} x {spp} samples are more than {MOST_SAMPLES}")
     tiled = TILE_OFFSETS in tags
     tw, th = (one(TILE_WIDTH, w), one(TILE_HEIGHT, h)) if tiled else (w, min(one(ROWS_PER_STRIP, h), h) or h)
-    spots = zip(tags[TILE_OFFSETS if tiled else STRIP_OFFSETS], tags[TILE_COUNTS if tiled else STRIP_COUNTS], strict=True)
-    image = np.zeros((h, w, spp), np.uint8)
-    for k, (at, n) in enumerate(spots):
-        across = -(-w // tw)
+    spots = list(zip(tags[TILE_OFFSETS if tiled else STRIP_OFFSETS], tags[TILE_COUNTS if tiled else STRIP_COUNTS], strict=True))
+    image = np.zeros((h, w, spp), f"<u{max(bits // 8, 1)}")
+    across, down = -(-w // tw), -(-h // th)
+    planes, held = (spp, 1) if planar == 2 else (1, spp)
+    if len(spots) < across * down * planes:
+        raise ValueError("strips or tiles are missing")
+    for k, (at, n) in enumerate(spots[: across * down * planes]):
+        plane, k = divmod(k, across * down)
         y, x = k // across * th, k % across * tw
         rows = th if tiled else min(th, h - y)
-        part = np.frombuffer(expand(data[at: at + n], one(COMPRESSION, NONE)), np.uint8)[: rows * tw * spp].reshape(rows, tw, spp)
-        if one(PREDICTOR, 1) == 2:
-            part = np.cumsum(part, axis=1, dtype=np.uint8)
-        image[y: y + rows, x: x + tw] = part[: h - y, : w - x]
+        raw = data[at: at + n]
+        if one(FILL_ORDER, 1) == 2:
+            raw = _REVERSED[np.frombuffer(raw, np.uint8)].tobytes()
+        part = samples_of(expand(raw, one(COMPRESSION, NONE)), rows, tw, held, bits, tags.get(0, "<"), predictor)
+        image[y: y + rows, x: x + tw, plane: plane + held] = part[: h - y, : w - x]
     return w, h, spp, image.tobytes()
 
 
+MOST_SAMPLES = 1 << 28  # of a page: larger ones, as a broken header may claim, are errors
 PAYLOAD = 192  # bytes of a pixel row: 64 pixels of three samples
 PAGE_ROWS = 4096  # rows of a page at most
+TAIL = 16  # samples whose checksum tells the end of a file
 
 
 def text_to_tiff(text: str | None, **options) -> bytes:
@@ -228,7 +275,8 @@ def text_to_tiff(text: str | None, **options) -> bytes:
 
 
 def encode(docs: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
-    """docs with its texts stored as TIFF in a binary column in place of the text."""
+    """docs with its texts stored as TIFF in a binary column in place of the text. Null texts are stored as empty ones;
+    repeated rows stay; a column called as the new one is replaced; an empty table stays empty."""
     common.ready(docs.sparkSession, 200)
     docs = docs.drop(media) if media != text else docs
     kept = [f for f in docs.schema if f.name != text]
@@ -239,7 +287,7 @@ def encode(docs: DataFrame, text: str = "text", media: str = "media") -> DataFra
                 made = [text_to_tiff(t) for t in part.column(text).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(f.name) for f in kept] + [pa.array(made, pa.binary())], names=[f.name for f in kept] + [media])
 
-    return docs.mapInArrow(run, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept) + f"{media} binary")
+    return docs.mapInArrow(run, common.schema_with(kept, (media, "binary")))
 
 
 _PAGE = [("page", pa.int32(), "int"), ("last", pa.bool_(), "boolean"), ("width", pa.int32(), "int"), ("height", pa.int32(), "int"),
@@ -248,13 +296,17 @@ _PAGE = [("page", pa.int32(), "int"), ("last", pa.bool_(), "boolean"), ("width",
          ("feature", pa.string(), "string"), ("media_bytes", pa.int64(), "long"), ("media_sha256", pa.string(), "string")]
 
 
+BROKEN = (ValueError, KeyError, IndexError, ZeroDivisionError, struct.error, zlib.error, OverflowError)
+
+
 def read_pages(df: DataFrame, media: str = "media", samples: bool = True) -> DataFrame:
     """One row a page of each file, with its other columns: size, samples, and digests of the samples up to that page.
 
-    The page flagged `last` has the digests of the whole file (crc32_so_far: of the last PAYLOAD samples). feature: mean
+    The page flagged `last` has the digests of the whole file (crc32_so_far: of the last TAIL bytes of samples). feature: mean
     and deviation of the samples so far, then their shares in eight equal ranges. samples=False leaves that column null.
-    A null, empty or broken file gives one row with page -1 and the reason in `error`. Columns of df with these names
-    are replaced; an empty table gives no rows.
+    A page that can't be read is a row with the reason in `error`, no size and no samples; the pages after it are read.
+    A null, empty or broken file, and what follows a broken directory, gives one row with page -1 and the reason.
+    Columns of df with these names are replaced; an empty table gives no rows.
     """
     common.ready(df.sparkSession, 200)
     kept = [f for f in df.schema if f.name not in {media, *(n for n, _, _ in _PAGE)}]
@@ -262,21 +314,25 @@ def read_pages(df: DataFrame, media: str = "media", samples: bool = True) -> Dat
     def pages(data):
         sha, crc, total, hist, out = hashlib.sha256(), b"", 0, np.zeros(256, np.int64), []
         whole = (len(data or b""), hashlib.sha256(data or b"").hexdigest())
+        bad = lambda page, e: [page, False, None, None, None, str(e)[:200] or type(e).__name__, None, None, None, None, None, *whole]
         try:
             for tags in directories(data or b""):
-                w, h, spp, got = read_page(data, tags)
+                try:
+                    w, h, spp, got = read_page(data, tags)
+                except BROKEN as e:
+                    out.append(bad(len(out), e))
+                    continue
                 sha.update(got)
-                crc, total = (crc + got)[-PAYLOAD:], total + len(got)
+                crc, total = (crc + got[-TAIL:])[-TAIL:], total + len(got)
                 hist += np.bincount(np.frombuffer(got, np.uint8), minlength=256)
                 n = max(total, 1)
                 mean = (hist * np.arange(256)).sum() / n
                 dev = np.sqrt(max((hist * np.arange(256) ** 2).sum() / n - mean * mean, 0))
                 feature = f"{mean:.4f},{dev:.4f}," + ",".join(f"{x / n:.4f}" for x in hist.reshape(8, 32).sum(axis=1))
                 out.append([len(out), False, w, h, spp, None, got if samples else None, total, sha.copy().hexdigest(), zlib.crc32(crc), feature, *whole])
-        except (ValueError, KeyError, IndexError, struct.error, zlib.error, OverflowError) as e:
-            return [[-1, True, None, None, None, str(e)[:200] or type(e).__name__, None, None, None, None, None, *whole]]
-        if not out:
-            return [[-1, True, None, None, None, "no image directory", None, None, None, None, None, *whole]]
+        except BROKEN as e:
+            out.append(bad(-1, e))
+        out = out or [bad(-1, "no image directory")]
         out[-1][1] = True
         return out
 
@@ -292,7 +348,7 @@ def read_pages(df: DataFrame, media: str = "media", samples: bool = True) -> Dat
                 cols += [pa.array([r[k] for r in rows], t) for k, (_, t, _) in enumerate(_PAGE)]
                 yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in kept] + [n for n, _, _ in _PAGE])
 
-    return df.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"{n} {s}" for n, _, s in _PAGE]))
+    return df.mapInArrow(run, common.schema_with(kept, *[(n, s) for n, _, s in _PAGE]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from . import common
 
 DIM_BITS = 20
+MAX_BYTES = 256 << 20  # bound of the sample's texts; beyond it fewer rows are taken, of both classes alike
 MAX_ROWS = 20000  # bound of the labelled sample that is fitted; toxic rows come first, up to half of it
 RANK = 8
 HEADS = (4, 6)  # the first bytes of a longer word are terms too, so inflected forms share weight
@@ -169,17 +170,25 @@ def _smallest(rows: DataFrame, n: int, most: int) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, train_on, max_rows: int = MAX_ROWS) -> dict:
     """labels: doc_id, toxic. train_on: Column over doc_id. The sample is max_rows rows at most: the smallest hashes of
-    doc_id of each class. Toxic rows fill up to half of it before clean ones (either more, where the other has fewer)."""
+    doc_id of each class, with MAX_BYTES of text in all. Toxic rows fill up to half of it before clean ones (either more,
+    where the other has fewer). Of rows with one doc_id the least text is learnt from."""
     known = (labels.filter(train_on & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
              .withColumn("h", F.xxhash64("doc_id") / F.lit(2.0 ** 64) + 0.5))
     n = {bool(r["t"]): r["n"] for r in known.groupBy((F.col("toxic") > 0).alias("t")).agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = n.get(True, 0), n.get(False, 0)
     most = min(toxic, max(max_rows // 2, max_rows - clean))
     quota = {True: most, False: min(clean, max_rows - most)}
-    picked = [_smallest(known.filter((F.col("toxic") > 0) == t), n[t], quota[t]).select("doc_id", "toxic") for t in sorted(n)]
-    picked = picked[0].union(picked[1]) if len(picked) == 2 else picked[0] if picked else known.select("doc_id", "toxic")
-    # max_rows ids at most: the broadcast is bounded.
-    some = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+
+    def sample():
+        picked = [_smallest(known.filter((F.col("toxic") > 0) == t), n[t], quota[t]).select("doc_id", "toxic") for t in sorted(n)]
+        picked = picked[0].union(picked[1]) if len(picked) == 2 else picked[0] if picked else known.select("doc_id", "toxic")
+        # max_rows ids at most: the broadcast is bounded, and so is what is aggregated.
+        return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+
+    some = sample()
+    if (share := common.byte_share(some, MAX_BYTES)) < 1:
+        quota = {t: max(1, int(k * share)) if k else 0 for t, k in quota.items()}
+        some = sample()
     got = some.mapInArrow(_training_rows, "doc_id long, toxic int, idx array<int>").toArrow().combine_chunks()
     lists = got.column("idx").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
     values, off = np.asarray(lists.values), np.asarray(lists.offsets)
@@ -188,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_on, max_rows: int = MAX_ROWS)
     once = {(hashlib.sha256(values[off[i]: off[i + 1]].tobytes()).digest(), int(y[i])): i for i in np.argsort(ids, kind="stable")}
     kept = list(once.values())
     model = train(y[kept].astype(float), [values[off[i]: off[i + 1]] for i in kept])
-    if n and quota != n and all(quota.values()):
+    if n and quota != {True: toxic, False: clean} and all(quota.values()):
         # The classes were sampled at different rates, which moves nothing but the odds before any term is seen.
         model["bias"] += float(np.log(toxic / clean) - np.log(quota[True] / quota[False]))
     del got, lists, values
@@ -224,8 +233,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     Repeated rows and ids stay rows of their own; equal texts get equal scores; an empty table stays empty.
     """
     docs = docs.drop("score")
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_score(model), f"{kept}, score double")
+    return docs.mapInArrow(_score(model), common.schema_with(docs.schema, ("score", "double")))
 
 
 def fold():
@@ -233,7 +241,9 @@ def fold():
 
 
 def rate(docs: DataFrame, labels: DataFrame, sample_from: DataFrame | None = None) -> DataFrame:
-    """docs with held_out, score and predicted; learnt from labels of documents outside the held-out fold."""
+    """docs with held_out, score and predicted (columns of these names are replaced); learnt from labels of documents
+    outside the held-out fold. Rows with a null doc_id are neither learnt from nor held out; an id with several labels is
+    toxic if one of them is. Repeated rows and very long texts are scored as they are."""
     common.ready(docs.sparkSession)
     model = fit(docs if sample_from is None else sample_from, labels, fold() != 1)
     return (score(docs, model).withColumn("held_out", F.coalesce(fold() == 1, F.lit(False)))
