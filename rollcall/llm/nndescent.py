@@ -2,10 +2,14 @@
 
 Equal vectors are one node, so copies neither crowd a node's neighbours nor a task. The graph starts from the nearest
 among blocks of vectors that lie together in a few random orders. Then rounds of joins introduce the neighbours of each
-node (and some of those it is a neighbour of) to each other, in the node's own group of a bounded number of vectors; a
-node keeps its nearest, until hardly an edge changes. A query walks the graph from its own node and a few shared
-entries: it opens its nearest unopened candidates, joins their neighbours and keeps the best, until nothing unopened is
-left among them.
+node (and some of those it is a neighbour of) to each other, in the node's own group of a bounded number of vectors, pairs
+that were introduced before left out; a node keeps its nearest, until hardly an edge changes. Only groups with a new edge
+are formed, so rounds get cheaper. A query walks the graph from its own node and a few shared entries: it opens its
+nearest unopened candidates, joins their neighbours and keeps the best, until nothing unopened is left among them.
+
+What is bounded, whatever the table: DEGREE neighbours and REVERSE sampled reverse ones of a node in a round, BEST
+introductions of a member in a group, the LINKS nearest of those that keep a node as a neighbour in the search (its own
+neighbours are all searched), BEAM candidates of a query. A table of at most BEAM nodes is searched whole.
 """
 
 from __future__ import annotations
@@ -17,15 +21,17 @@ from pyspark.sql import functions as F
 
 from . import common
 
-DEGREE = 24  # neighbours kept a node
-REVERSE = 20  # nodes it is a neighbour of that are introduced, a round
+DEGREE = 32  # neighbours kept a node
+REVERSE = 40  # nodes it is a neighbour of that are introduced, a round
 ORDERS = 4  # random orders the graph starts from
 BLOCK = 96  # vectors of a block in them
-BEST = 10  # others that a node is introduced to in one group
+BEST = 16  # others that a node is introduced to in one group
 CHANGED = 0.001  # share of the edges; the rounds end when fewer are new
 BEAM = 100  # candidates a query keeps
-OPEN = 20  # opened at once
+OPEN = 50  # opened at once
 ENTRIES = 16  # nodes all queries start from, besides their own
+LINKS = 2 * DEGREE
+SALTS = 64  # parts that a hub's reverse edges are ranked in first
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -73,17 +79,19 @@ def _blocks(batches):
 
 
 def _introduce(batches):
-    """Rows (node, near, v, worst) sorted by node -> for each of those around a node the BEST nearest others there, if they
-    better the worst distance it keeps."""
-    def give(node, near, v, worst):
+    """Rows (node, near, v, worst, new) sorted by node -> for each of those around a node the BEST nearest others there, of
+    pairs with a new one, if they better the worst distance it keeps."""
+    def give(node, near, v, worst, new):
         start = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
         rows, cols, dist = [], [], []
         for s, e in zip(start, np.r_[start[1:], len(node)], strict=True):
-            d = distances(v[s:e], v[s:e])
-            np.fill_diagonal(d, np.inf)
             k = min(BEST, e - s - 1)
-            if k < 1:
+            fresh = new[s:e]
+            if k < 1 or not fresh.any():
                 continue
+            d = distances(v[s:e], v[s:e])
+            np.fill_diagonal(d, np.inf)
+            d[~(fresh[:, None] | fresh[None, :])] = np.inf
             at = np.argpartition(d, k - 1, axis=1)[:, :k]
             i = np.repeat(np.arange(e - s), k)
             j = at.ravel()
@@ -92,13 +100,17 @@ def _introduce(batches):
             cols.append(near[s:e][j[better]])
             dist.append(d[i, j][better])
         one = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-        return _edges(one(rows, np.int64), one(cols, np.int64), one(dist, np.float64))
+        rows, cols, dist = one(rows, np.int64), one(cols, np.int64), one(dist, np.float64)
+        # The same pair often meets in neighbouring groups; once is enough.
+        order = np.lexsort((cols, rows))
+        once = order[np.r_[True, (np.diff(rows[order]) != 0) | (np.diff(cols[order]) != 0)]] if len(rows) else order
+        return _edges(rows[once], cols[once], dist[once])
 
     held, n = [], 0
     for batch in batches:
-        held.append([np.asarray(batch.column("node")), np.asarray(batch.column("near")), _matrix(batch.column("v")), np.asarray(batch.column("worst"))])
+        held.append([np.asarray(batch.column("node")), np.asarray(batch.column("near")), _matrix(batch.column("v")), np.asarray(batch.column("worst")), np.asarray(batch.column("new")) > 0])
         n += batch.num_rows
-        if n >= 4096:
+        if n >= 16384:
             cols = [np.concatenate(c) for c in zip(*held, strict=True)]
             cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))
             if cut:
@@ -111,7 +123,16 @@ def _introduce(batches):
 def _keep(edges: DataFrame, k: int) -> DataFrame:
     """The k nearest of each node; a node has a bounded number of edges each round, whatever the table."""
     w = Window.partitionBy("node").orderBy("dist", "near")
-    return edges.groupBy("node", "near").agg(F.min("dist").alias("dist"), F.min("new").alias("new")).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k)
+    edges = edges.repartition(common.partitions(edges.sparkSession), "node")  # serves the grouping and the window
+    return edges.groupBy("node", "near").agg(F.min("dist").alias("dist"), F.min("new").alias("new")).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).drop("r")
+
+
+def _back(graph: DataFrame, order: list, k: int) -> DataFrame:
+    """Reverse edges, the k first of each node; a hub's are ranked in SALTS parts before the rest of them meet."""
+    back = graph.select(F.col("near").alias("node"), F.col("node").alias("near"), "dist", "new").withColumn("salt", F.pmod(F.xxhash64("near"), F.lit(SALTS)))
+    for by in (["node", "salt"], ["node"]):
+        back = back.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("r") <= k)
+    return back.select("node", "near", "new")
 
 
 def usable(vectors: DataFrame, id_col: str, vec: str) -> DataFrame:
@@ -146,43 +167,55 @@ def build(rows: DataFrame, top: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     graph = starts[0]
     for s in starts[1:]:
         graph = graph.union(s)
-    graph = common.save(_keep(graph.withColumn("new", F.lit(1)), DEGREE).drop("r"))
+    graph = common.save(_keep(graph.withColumn("new", F.lit(1)), DEGREE))
+    small = common.save(nodes.select(F.col("node").alias("near"), F.col("v").cast("array<float>").alias("v")))
     turn = 0
     while True:
         worst = graph.groupBy("node").agg(F.max("dist").alias("worst"), F.count(F.lit(1)).alias("k")).select(
-            "node", F.when(F.col("k") < DEGREE, float("inf")).otherwise(F.col("worst")).alias("worst"))
-        facts = nodes.join(worst, "node", "left").select(F.col("node").alias("near"), "v", F.coalesce("worst", F.lit(float("inf"))).alias("worst"))
-        back = graph.select(F.col("near").alias("node"), F.col("node").alias("near"), "dist")
-        some = Window.partitionBy("node").orderBy(F.xxhash64("near", F.lit(turn)))
-        # A node that very many keep as a neighbour is introduced to a sample of them: the method's own sampling.
-        back = (back.withColumn("salt", F.pmod(F.xxhash64("near"), F.lit(64))).withColumn("r", F.row_number().over(Window.partitionBy("node", "salt").orderBy(F.xxhash64("near", F.lit(turn)))))
-                .filter(F.col("r") <= REVERSE).withColumn("r", F.row_number().over(some)).filter(F.col("r") <= REVERSE).select("node", "near"))
-        around = graph.select("node", "near").union(back).union(nodes.select("node", F.col("node").alias("near"))).distinct()
-        met = (around.join(facts, "near").select("node", "near", "v", "worst").repartition(parts, "node").sortWithinPartitions("node")
+            F.col("node").alias("near"), F.when(F.col("k") < DEGREE, float("inf")).otherwise(F.col("worst")).alias("worst"))
+        facts = small.join(worst, "near", "left").select("near", "v", F.coalesce("worst", F.lit(float("inf"))).alias("worst"))
+        # A node that very many keep as a neighbour is introduced to a sample of them, new ones first: the method's own
+        # sampling.
+        back = _back(graph, [F.desc("new"), F.xxhash64("near", "node")], REVERSE)
+        around = graph.select("node", "near", "new").union(back).union(nodes.select("node", F.col("node").alias("near"), F.lit(0).alias("new")))
+        around = around.groupBy("node", "near").agg(F.max("new").alias("new"))
+        if turn:  # in the first round every group has new edges
+            fresh = graph.filter("new = 1")
+            around = around.join(fresh.select("node").union(fresh.select("near")).distinct(), "node", "left_semi")
+        met = (around.join(facts, "near").select("node", "near", "v", "worst", "new").repartition(parts, "node").sortWithinPartitions("node")
                .mapInArrow(_introduce, "node long, near long, dist double"))
         # An edge that betters a node's worst is rare after the first rounds, so little is shuffled.
         both = graph.withColumn("new", F.lit(0)).union(met.withColumn("new", F.lit(1)))
-        new = common.save(_keep(both, DEGREE).drop("r"), free=True)
+        new = common.save(_keep(both, DEGREE), free=turn < 2)
         common.drop(graph)
         graph, turn = new, turn + 1
         edges, fresh = graph.agg(F.count(F.lit(1)), F.coalesce(F.sum("new"), F.lit(0))).first()
         if fresh <= CHANGED * edges:
+            for t in (whole, small):
+                common.drop(t)
             return nodes, members, graph
 
 
+def _distance(batches):
+    """query_id, node, q, v -> query_id, node, opened, score."""
+    for batch in batches:
+        q, v = _matrix(batch.column("q")), _matrix(batch.column("v"))
+        score = np.sqrt(((q - v) ** 2).sum(axis=1)) if batch.num_rows else np.zeros(0)
+        yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("node"), batch.column("opened"), pa.array(score)], names=["query_id", "node", "opened", "score"])
+
+
 def search(queries: DataFrame, nodes: DataFrame, members: DataFrame, graph: DataFrame, top: int) -> DataFrame:
     """queries: (query_id, node, q) -> (query_id, rank, id, score): the `top` nearest members found, but not itself."""
-    back = graph.select(F.col("near").alias("node"), F.col("node").alias("near"), "dist")
-    back = back.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("dist", "near"))).filter(F.col("r") <= 2 * DEGREE)
-    links = common.save(graph.select("node", "near").union(back.select("node", "near")).distinct())
-    entries = nodes.select("node").orderBy(F.xxhash64("node")).limit(ENTRIES)  # ENTRIES rows: a fixed bound
-    known = queries.select("query_id", "node").union(queries.select("query_id").crossJoin(F.broadcast(entries))).distinct().withColumn("opened", F.lit(False))
-    score = F.sqrt(F.aggregate(F.zip_with("q", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
+    links = common.save(graph.select("node", "near").union(_back(graph.withColumn("new", F.lit(0)), ["dist", "near"], LINKS).select("node", "near")).distinct())
+    few = nodes.select("node").orderBy(F.xxhash64("node")).limit(BEAM + 1)  # a fixed bound
+    few = few if few.count() <= BEAM else few.limit(ENTRIES)
+    known = queries.select("query_id", "node").union(queries.select("query_id").crossJoin(F.broadcast(few))).distinct().withColumn("opened", F.lit(False))
     vector = queries.select("query_id", "q")
     best = Window.partitionBy("query_id").orderBy("score", "node")
 
     def scored(df):
-        return df.join(nodes, "node").join(vector, "query_id").withColumn("score", score).drop("v", "q")
+        return df.join(nodes, "node").join(vector, "query_id").select("query_id", "node", "opened", "q", "v").mapInArrow(
+            _distance, "query_id long, node long, opened boolean, score double")
 
     beam = common.save(scored(known))
     while True:
@@ -196,6 +229,7 @@ def search(queries: DataFrame, nodes: DataFrame, members: DataFrame, graph: Data
         beam = new
         if not beam.filter(~F.col("opened")).limit(1).count():
             break
+    common.drop(links)
     ranks = Window.partitionBy("query_id").orderBy("score", "id")
     found = beam.join(members, "node").filter("id != query_id").withColumn("rank", F.row_number().over(ranks)).filter(F.col("rank") <= top)
     return found.select("query_id", "rank", "id", "score")
@@ -206,15 +240,16 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vec: str = "em
     by Euclidean distance in double precision on the original components, ties to the smaller id.
 
     Rows whose id or vector is null, or whose vector is empty, zero or has null or non-finite components, take no part.
-    Vectors of another length than the table's most frequent one take no part either. Equal vectors share a node; a
-    repeated id counts once. With fewer candidates all are returned. An empty table gives no rows.
+    Vectors of another length than the table's most frequent one take no part either. Equal vectors share a node. Of
+    rows with one id the least vector counts, once. With fewer candidates all are returned. Other columns are ignored. An
+    empty table gives no rows.
     """
     spark = vectors.sparkSession
     common.ready(spark, 2000)
     rows = usable(vectors, id_col, vec)
     length = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     dim = length[0]["d"] if length else 1
-    rows = rows.filter(F.size("v") == dim).dropDuplicates(["id"])
+    rows = rows.filter(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"))
     nodes, members, graph = build(rows, top + 1)
     asked = common.save(rows.filter(is_query(F.col("id"))).join(nodes, "v").select(F.col("id").alias("query_id"), "node", F.col("v").alias("q")))
     return search(asked, nodes, members, graph, top).withColumnRenamed("id", id_col)
