@@ -1,4 +1,9 @@
-"""The registered queries of the training-data operators, and the SQL of those that SQL can express."""
+"""The registered queries of the training-data operators, and the SQL of those that SQL can express.
+
+SQL expresses quotation linking, near-duplicate groups and repeated substrings. Trained models (op3, op8), byte formats
+and digests of them (op5, op9), the graph search (op6) and the heuristics of packing and sharding (op4, op10) are beyond
+it; tests/llm hold those against brute force, libraries, round trips and held-out rows.
+"""
 
 from __future__ import annotations
 
@@ -17,4 +22,63 @@ QUERIES = {
     "op10_sharding": sharding.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_OP1 = r"""
+WITH RECURSIVE before AS (SELECT conv_id, turn, min(text) AS text FROM conversations WHERE text IS NOT NULL GROUP BY conv_id, turn),
+asked AS (
+  SELECT c.conv_id, c.turn, c.role, CASE WHEN p.text IS NULL OR (c.conv_id + c.turn) % 4 = 0 THEN c.text ELSE concat(
+    CASE WHEN (c.conv_id + c.turn) % 4 = 2 AND g.text IS NOT NULL THEN concat(regexp_replace(g.text, '^', '> > ', 'gm'), chr(10)) ELSE '' END,
+    regexp_replace(CASE WHEN (c.conv_id + c.turn) % 4 = 3 THEN split_part(p.text, chr(10), 1) ELSE p.text END, '^', '> ', 'gm'),
+    chr(10), chr(10), coalesce(c.text, '')) END AS text
+  FROM conversations c LEFT JOIN before p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1 LEFT JOIN before g ON g.conv_id = c.conv_id AND g.turn = c.turn - 2),
+numbered AS (SELECT *, row_number() OVER () AS m FROM asked),
+split AS (SELECT m, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM numbered),
+marked AS (SELECT m, k, line, regexp_extract(line, '^([ \t]*>)*') AS mark FROM split),
+deep AS (SELECT m, k, length(mark) - length(replace(mark, '>', '')) AS depth, CASE WHEN mark = '' THEN line ELSE trim(substr(line, length(mark) + 1)) END AS rest FROM marked),
+cut AS (SELECT *, CASE WHEN depth IS DISTINCT FROM lag(depth) OVER (PARTITION BY m ORDER BY k) OR (depth > 0 AND rest = '') THEN 1 ELSE 0 END AS brk FROM deep),
+runs AS (SELECT *, sum(brk) OVER (PARTITION BY m ORDER BY k) AS run FROM cut),
+bodies AS (SELECT m, trim(coalesce(string_agg(rest, chr(10) ORDER BY k) FILTER (depth = 0), ''), concat(' ', chr(9), chr(10), chr(13))) AS body FROM deep GROUP BY m),
+quoted AS (SELECT m, depth AS level, array_to_string(regexp_extract_all(lower(string_agg(rest, chr(10) ORDER BY k)), '[\p{L}\p{N}_]+'), ' ') AS norm FROM runs WHERE depth > 0 AND rest <> '' GROUP BY m, run, depth),
+said AS (SELECT m, norm, level FROM quoted WHERE norm <> ''),
+own AS (SELECT m, list(norm ORDER BY k) AS norms FROM (
+  SELECT m, k, array_to_string(regexp_extract_all(lower(line), '[\p{L}\p{N}_]+'), ' ') AS norm FROM (
+    SELECT m, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS k FROM bodies)) WHERE norm <> '' GROUP BY m),
+starts AS (SELECT m, norms, unnest(range(1, len(norms) + 1)) AS i FROM own),
+pieces AS (SELECT m, array_to_string(norms[i:j], ' ') AS norm FROM (SELECT m, norms, i, unnest(range(i, len(norms) + 1)) AS j FROM starts)),
+wrote AS (SELECT conv_id, norm, min(turn) AS original FROM pieces JOIN numbered USING (m) WHERE turn IS NOT NULL GROUP BY conv_id, norm),
+linked AS (SELECT DISTINCT n.conv_id, n.turn, s.level, s.norm, w.original FROM said s JOIN numbered n USING (m) JOIN wrote w ON w.conv_id = n.conv_id AND w.norm = s.norm WHERE w.original < n.turn),
+parents AS (SELECT conv_id, turn, arg_min(original, level) AS parent, cast(sum(k) AS BIGINT) AS n_linked FROM (SELECT conv_id, turn, level, max(original) AS original, count(*) AS k FROM linked GROUP BY ALL) GROUP BY conv_id, turn),
+up AS (SELECT conv_id, turn, parent AS root, cast(1 AS BIGINT) AS depth FROM parents UNION ALL SELECT u.conv_id, u.turn, p.parent, u.depth + 1 FROM up u JOIN parents p ON p.conv_id = u.conv_id AND p.turn = u.root),
+roots AS (SELECT conv_id, turn, arg_max(root, depth) AS root, max(depth) AS depth FROM up GROUP BY conv_id, turn),
+flat AS (SELECT n.conv_id, n.turn, n.role, b.body, cast((SELECT count(*) FROM said s WHERE s.m = n.m) AS INT) AS n_quotes, coalesce(p.n_linked, 0) AS n_linked, coalesce(p.parent, -1) AS parent_turn, coalesce(r.root, n.turn) AS root_turn, coalesce(r.depth, 0) AS depth
+  FROM numbered n JOIN bodies b USING (m) LEFT JOIN parents p ON p.conv_id = n.conv_id AND p.turn = n.turn LEFT JOIN roots r ON r.conv_id = n.conv_id AND r.turn = n.turn)
+SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY root_turn NULLS FIRST, depth, turn NULLS FIRST, role NULLS FIRST, body NULLS FIRST) - 1 AS position FROM flat
+"""
+
+_OP2 = r"""
+WITH RECURSIVE worded AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) > 1 THEN list_distinct(list_transform(range(1, len(w)), lambda i: concat(w[i], ' ', w[i + 1]))) ELSE w END AS s FROM worded),
+items AS (SELECT doc_id, unnest(s) AS x FROM sets),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM items a JOIN items b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+near AS (SELECT a, b FROM shared JOIN sets p ON p.doc_id = a JOIN sets q ON q.doc_id = b WHERE 100 * n >= 80 * (len(p.s) + len(q.s) - n)),
+links AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, len(s) AS n_shingles, component_id, component_id = doc_id AS kept FROM sets JOIN least ON a = doc_id
+"""
+
+_OP7 = r"""
+WITH hexed AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+starts AS (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM hexed WHERE length(h) >= 100),
+windows AS (SELECT doc_id, i, hash(substr(h, 2 * i + 1, 100)) AS x FROM starts),
+firsts AS (SELECT x, min(doc_id) AS first FROM windows GROUP BY x HAVING min(doc_id) < max(doc_id)),
+hits AS (SELECT DISTINCT doc_id, i FROM windows JOIN firsts USING (x) WHERE first < doc_id),
+breaks AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS brk FROM hits),
+runs AS (SELECT *, sum(brk) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM breaks),
+spans AS (SELECT doc_id, run, min(i) AS lo, max(i) + 50 AS hi FROM runs GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, run, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS last FROM spans),
+cut AS (SELECT doc_id, cast(sum(hi - lo) AS BIGINT) AS gone, count(*) AS n, max(hi) AS stop, string_agg(substr(h, 2 * last + 1, 2 * (lo - last)), '' ORDER BY lo) AS head FROM gaps JOIN hexed USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(concat(coalesce(head, ''), substr(h, 2 * coalesce(stop, 0) + 1)))) AS kept_sha256
+FROM hexed LEFT JOIN cut USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_quotation_linking": _OP1, "op2_minhash": _OP2, "op7_suffix_array": _OP7}

@@ -135,6 +135,25 @@ def link(messages: DataFrame) -> DataFrame:
     return common.ranked(out, ["conv_id"], ["root_turn", "depth", "turn", "role", "body"], "position")
 
 
+def replies(messages: DataFrame) -> DataFrame:
+    """messages as a mail thread would hold them: by (conv_id + turn) % 4 a message stays plain, quotes the whole turn
+    before it, quotes that and, one level deeper, the turn before that, or quotes the first line of the turn before it.
+
+    The generated conversations hold no quotes of their own; every message stays, with its own text below the quotes.
+    """
+    # One text a turn, so that repeated turns don't multiply.
+    before = messages.filter("text is not null").groupBy("conv_id", "turn").agg(F.min("text").alias("said"))
+    last = before.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("said").alias("_last"))
+    older = before.select("conv_id", (F.col("turn") + 2).alias("turn"), F.col("said").alias("_older"))
+    kind = (F.col("conv_id") + F.col("turn")) % 4
+    quote = lambda c, mark: F.regexp_replace(c, r"(?m)^", mark)
+    above = F.when((kind == 2) & F.col("_older").isNotNull(), F.concat(quote(F.col("_older"), "> > "), F.lit("\n"))).otherwise("")
+    shown = F.when(kind == 3, F.split_part("_last", F.lit("\n"), F.lit(1))).otherwise(F.col("_last"))
+    made = F.when(F.col("_last").isNull() | (kind == 0), F.col("text")).otherwise(F.concat(above, quote(shown, "> "), F.lit("\n\n"), F.coalesce("text", F.lit(""))))
+    return messages.join(last, ["conv_id", "turn"], "left").join(older, ["conv_id", "turn"], "left").withColumn("text", made).select("conv_id", "turn", "role", "text")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op1 over conversations."""
-    return link(common.documents(spark, sf_dir, "conversations"))
+    """op1 over all conversations, written as replies that quote; parent_turn is -1 for messages without a parent."""
+    linked = link(replies(common.documents(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
+    return linked.withColumn("parent_turn", F.coalesce("parent_turn", F.lit(-1)))
