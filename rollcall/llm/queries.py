@@ -30,7 +30,7 @@ asked AS (
     regexp_replace(CASE WHEN (c.conv_id + c.turn) % 4 = 3 THEN split_part(p.text, chr(10), 1) ELSE p.text END, '^', '> ', 'gm'),
     chr(10), chr(10), coalesce(c.text, '')) END AS text
   FROM conversations c LEFT JOIN before p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1 LEFT JOIN before g ON g.conv_id = c.conv_id AND g.turn = c.turn - 2),
-numbered AS (SELECT *, row_number() OVER () AS m FROM asked),
+numbered AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn, role, text) AS m FROM asked),
 split AS (SELECT m, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM numbered),
 marked AS (SELECT m, k, line, regexp_extract(line, '^([ \t]*>)*') AS mark FROM split),
 deep AS (SELECT m, k, length(mark) - length(replace(mark, '>', '')) AS depth, CASE WHEN mark = '' THEN line ELSE trim(substr(line, length(mark) + 1)) END AS rest FROM marked),

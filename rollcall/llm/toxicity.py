@@ -47,7 +47,7 @@ def _training_rows(batches):
                 names=["doc_id", "toxic", "idx"])
 
 
-def _paired(term: np.ndarray, row: np.ndarray, d: int, r: np.ndarray, block: int = 512) -> np.ndarray:
+def _paired(term: np.ndarray, row: np.ndarray, d: int, r: np.ndarray, block: int = 256) -> np.ndarray:
     """Terms (of 0..d-1) of pairs that the additive weights miss; r: residuals y - p of the rows, (term, row): what they hold.
 
     The residuals of the rows that hold both terms sum up to more than MIN_ROWS / 2 and PAIR_Z deviations, also beyond
@@ -55,8 +55,13 @@ def _paired(term: np.ndarray, row: np.ndarray, d: int, r: np.ndarray, block: int
     don't reach the sum alone has none.
     """
     var = np.abs(r) * (1 - np.abs(r))
-    up, down = np.bincount(term, np.maximum(r, 0)[row], d), np.bincount(term, np.maximum(-r, 0)[row], d)
-    rate = (up - down) / np.maximum(np.bincount(term, var[row], d), 1e-9)
+    up, down, spread = np.zeros(d), np.zeros(d), np.zeros(d)
+    for lo in range(0, len(term), 1 << 18):  # in parts, so that no copy of all entries is made
+        t, at = term[lo: lo + (1 << 18)], row[lo: lo + (1 << 18)]
+        up += np.bincount(t, np.maximum(r, 0)[at], d)
+        down += np.bincount(t, np.maximum(-r, 0)[at], d)
+        spread += np.bincount(t, var[at], d)
+    rate = (up - down) / np.maximum(spread, 1e-9)
     able = np.flatnonzero(np.maximum(up, down) >= MIN_ROWS / 2)
     at = np.full(d, -1, dtype=np.int32)
     at[able] = np.arange(len(able))
@@ -90,18 +95,22 @@ def _paired(term: np.ndarray, row: np.ndarray, d: int, r: np.ndarray, block: int
     return able[found]
 
 
-def train(y: np.ndarray, rows: list[np.ndarray], epochs: int = 6, batch: int = 64, alpha: float = 0.5, l1: float = 8.0,
+def train(y: np.ndarray, rows: list[np.ndarray] | tuple[np.ndarray, np.ndarray], epochs: int = 6, batch: int = 64, alpha: float = 0.5, l1: float = 8.0,
           l2: float = 1e-4, seed: int = 11) -> dict:
-    """y: 0/1, rows: term buckets. First FTRL on the additive part, then AdaGrad on weights and vectors together."""
-    df = np.zeros(1 << DIM_BITS, dtype=np.int32)
-    for r in rows:
-        df[r] += 1
-    vocab = np.flatnonzero(df >= MIN_ROWS)
+    """y: 0/1, rows: the distinct term buckets of each (or all of them and their numbers). First FTRL on the additive part,
+    then AdaGrad on weights and vectors together."""
+    if isinstance(rows, list):
+        rows = np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int32), np.array([len(r) for r in rows], dtype=np.int64)
+    flat, lens = rows
+    del rows
+    vocab = np.flatnonzero(np.bincount(flat, minlength=1 << DIM_BITS) >= MIN_ROWS)
     place = np.full(1 << DIM_BITS, -1, dtype=np.int32)
     place[vocab] = np.arange(len(vocab), dtype=np.int32)
-    rows = [p[p >= 0] for p in (place[r] for r in rows)]
-    lens = np.array([len(r) for r in rows], dtype=np.int64)
-    compact = np.concatenate(rows) if len(rows) else np.zeros(0, np.int32)
+    compact = place[flat]
+    del flat
+    keep = compact >= 0
+    lens = np.diff(np.r_[0, np.cumsum(keep)][np.r_[0, np.cumsum(lens)]])
+    compact = compact[keep]
     ptr = np.r_[0, np.cumsum(lens)]
     d = len(vocab)
     rng = np.random.default_rng(seed)
@@ -196,11 +205,14 @@ def fit(docs: DataFrame, labels: DataFrame, train_on, max_rows: int = MAX_ROWS)
     # Copies count once, so that a large group of them cannot be learnt by heart.
     once = {(hashlib.sha256(values[off[i]: off[i + 1]].tobytes()).digest(), int(y[i])): i for i in np.argsort(ids, kind="stable")}
     kept = list(once.values())
-    model = train(y[kept].astype(float), [values[off[i]: off[i + 1]] for i in kept])
+    y = y[kept].astype(float)
+    held = [(np.concatenate([*[values[off[i]: off[i + 1]] for i in kept], np.zeros(0, np.int32)]), np.diff(off)[kept] if kept else np.zeros(0, np.int64))]
+    del got, lists, values, once
+    common.tidy()
+    model = train(y, held.pop())  # which lets go of the sample as soon as it can
     if n and quota != {True: toxic, False: clean} and all(quota.values()):
         # The classes were sampled at different rates, which moves nothing but the odds before any term is seen.
         model["bias"] += float(np.log(toxic / clean) - np.log(quota[True] / quota[False]))
-    del got, lists, values
     common.tidy()
     return model
 
