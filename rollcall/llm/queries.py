@@ -26,8 +26,8 @@ _OP1 = r"""
 WITH RECURSIVE before AS (SELECT conv_id, turn, min(text) AS text FROM conversations WHERE text IS NOT NULL GROUP BY conv_id, turn),
 asked AS (
   SELECT c.conv_id, c.turn, c.role, CASE WHEN p.text IS NULL OR (c.conv_id + c.turn) % 4 = 0 THEN c.text ELSE concat(
-    CASE WHEN (c.conv_id + c.turn) % 4 = 2 AND g.text IS NOT NULL THEN concat(regexp_replace(g.text, '^', '> > ', 'gm'), chr(10)) ELSE '' END,
-    regexp_replace(CASE WHEN (c.conv_id + c.turn) % 4 = 3 THEN split_part(p.text, chr(10), 1) ELSE p.text END, '^', '> ', 'gm'),
+    CASE WHEN (c.conv_id + c.turn) % 4 = 2 AND g.text IS NOT NULL THEN concat('> > ', replace(g.text, chr(10), concat(chr(10), '> > ')), chr(10)) ELSE '' END,
+    '> ', replace(CASE WHEN (c.conv_id + c.turn) % 4 = 3 THEN split_part(p.text, chr(10), 1) ELSE p.text END, chr(10), concat(chr(10), '> ')),
     chr(10), chr(10), coalesce(c.text, '')) END AS text
   FROM conversations c LEFT JOIN before p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1 LEFT JOIN before g ON g.conv_id = c.conv_id AND g.turn = c.turn - 2),
 numbered AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn, role, text) AS m FROM asked),

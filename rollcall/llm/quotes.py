@@ -146,7 +146,7 @@ def replies(messages: DataFrame) -> DataFrame:
     last = before.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("said").alias("_last"))
     older = before.select("conv_id", (F.col("turn") + 2).alias("turn"), F.col("said").alias("_older"))
     kind = (F.col("conv_id") + F.col("turn")) % 4
-    quote = lambda c, mark: F.regexp_replace(c, r"(?m)^", mark)
+    quote = lambda c, mark: F.concat(F.lit(mark), F.replace(c, F.lit("\n"), F.lit("\n" + mark)))
     above = F.when((kind == 2) & F.col("_older").isNotNull(), F.concat(quote(F.col("_older"), "> > "), F.lit("\n"))).otherwise("")
     shown = F.when(kind == 3, F.split_part("_last", F.lit("\n"), F.lit(1))).otherwise(F.col("_last"))
     made = F.when(F.col("_last").isNull() | (kind == 0), F.col("text")).otherwise(F.concat(above, quote(shown, "> "), F.lit("\n\n"), F.coalesce("text", F.lit(""))))
