@@ -88,6 +88,11 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def column(name: str):
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def with_row(df: DataFrame, name: str) -> DataFrame:
     """df with a column that tells its rows apart, the same in every evaluation: a row's file and its place there.
 

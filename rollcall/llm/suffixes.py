@@ -341,7 +341,7 @@ def remove_repeats(docs: DataFrame, what: str = "text") -> DataFrame:
     kept = [c for c in docs.columns if c != "text" or what != "digest"]
     last = "kept_sha256" if what == "digest" else "kept_text"
     schema = common.schema_with([f for f in docs.schema if f.name in kept], ("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), (last, "string"))
-    marked = keyed.join(found, [doc, tid], "left").select(*[F.col(f"`{c}`") for c in docs.columns], lo, hi, copy)
+    marked = keyed.join(found, [doc, tid], "left").select(*[common.column(c) for c in docs.columns], lo, hi, copy)
     return marked.mapInArrow(_cut(kept, "text", [lo, hi, copy], what), schema)
 
 
