@@ -21,7 +21,7 @@ LEAST_LANGUAGE_SCORE = 0.35  # below it no language is told apart from the other
 def _aside(docs: DataFrame, used: list[str]) -> tuple[DataFrame, list]:
     """docs with its columns, but for the used ones, under names that no operator has; and the columns that name them back."""
     names = {c: c if c in used else f"_own_{i}" for i, c in enumerate(docs.columns)}
-    return docs.select([docs[f"`{c}`"].alias(n) for c, n in names.items()]), [F.col(n).alias(c) for c, n in names.items()]
+    return docs.toDF(*names.values()), [F.col(n).alias(c) for c, n in names.items()]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
