@@ -227,7 +227,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, carry: t
     room = F.when(F.coalesce(known, F.lit(False)), (total - apart) * 100 >= (total + apart) * percent).otherwise(True)
     # Sizes alone rule most pairs of unlike texts out before their sketches are compared.
     sized = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
-    near = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.comp") != F.col("y.comp")) & once & sized & ~earlier & _close(percent) & room).select(
+    near = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.comp") != F.col("y.comp")) & once & sized & _close(percent) & room & ~earlier).select(
         F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
     second = _verify(common.save(near, free=True), items, percent)
     old, comp = comp, common.components(links.union(second.filter("linked").select("a", "b")))
