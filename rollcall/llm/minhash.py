@@ -154,7 +154,7 @@ def _confirm(percent: int):
 
 def _close(percent: int):
     """Column: the sketches x.odd and y.odd differ in few enough bits for the similarity, less MARGIN."""
-    differ = sum((F.bit_count(F.get("x.odd", F.lit(i)).bitwiseXOR(F.get("y.odd", F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
+    differ = F.aggregate(F.zip_with("x.odd", "y.odd", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, n: s + n)
     return differ <= sketch_limit(percent / 100 - MARGIN)
 
 
@@ -215,11 +215,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, carry: t
     deltas = first.select(F.col("a").alias("cid"), F.col("b").alias("hub"), "delta").join(first.select(F.col("b").alias("cid")), "cid", "left_anti").union(
         first.select(F.col("b").alias("cid")).distinct().select("cid", F.col("cid").alias("hub"), F.array().cast("array<long>").alias("delta")))
     facts = reps.select("cid", "n", "odd", F.col("bands").alias("all")).join(deltas, "cid", "left")
-    rest = common.save(placed.join(parts, "band").join(facts, "cid"), free=True)
+    rest = placed.join(parts, "band").join(facts, "cid").withColumn("before", F.slice("all", F.lit(1), F.col("nth"))).drop("all")
+    rest = common.save(rest, free=True)
     x, y = rest.filter("comp != main").alias("x"), rest.alias("y")
     # A pair meets in the first band it shares only; none is before the first.
-    before = lambda side: F.slice(f"{side}.all", F.lit(1), F.col("x.nth"))
-    earlier = F.exists(F.zip_with(before("x"), before("y"), lambda a, b: a == b), lambda same: same)
+    earlier = F.exists(F.zip_with("x.before", "y.before", lambda a, b: a.eqNullSafe(b)), lambda same: same)
     once = (F.col("y.comp") == F.col("y.main")) | (F.col("x.cid") < F.col("y.cid"))
     total = F.col("x.n") + F.col("y.n")
     apart = F.size("x.delta") + F.size("y.delta") - 2 * F.size(F.array_intersect("x.delta", "y.delta"))
@@ -227,7 +227,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, carry: t
     room = F.when(F.coalesce(known, F.lit(False)), (total - apart) * 100 >= (total + apart) * percent).otherwise(True)
     # Sizes alone rule most pairs of unlike texts out before their sketches are compared.
     sized = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
-    near = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.comp") != F.col("y.comp")) & once & sized & _close(percent) & room & ~earlier).select(
+    near = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.comp") != F.col("y.comp")) & once & sized & ~earlier & _close(percent) & room).select(
         F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
     second = _verify(common.save(near, free=True), items, percent)
     old, comp = comp, common.components(links.union(second.filter("linked").select("a", "b")))
