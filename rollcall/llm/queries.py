@@ -1,13 +1,13 @@
 """The registered queries of the training-data operators, and the SQL of those that SQL can express.
 
-SQL expresses quotation linking, near-duplicate groups and repeated substrings. Trained models (op3, op8), byte formats
-and digests of them (op5, op9), the graph search (op6) and the heuristics of packing and sharding (op4, op10) are beyond
+SQL expresses quotation linking, near-duplicate groups, repeated substrings, hard negatives and the prefix trie. Trained
+models (op3, op8), byte formats and digests of them (op5, op9, op11), the graph search (op6) and the heuristics of packing and sharding (op4, op10) are beyond
 it; tests/llm hold those against brute force, libraries, round trips and held-out rows.
 """
 
 from __future__ import annotations
 
-from . import bpe, langid, minhash, nndescent, packing, quotes, sharding, suffixes, tiff, toxicity
+from . import bpe, langid, minhash, negatives, nndescent, packing, quotes, replay, sharding, suffixes, tiff, toxicity
 
 QUERIES = {
     "op1_quotation_linking": quotes.query,
@@ -20,6 +20,8 @@ QUERIES = {
     "op8_language_id": langid.query,
     "op9_bpe": bpe.query,
     "op10_sharding": sharding.query,
+    "op11_merge_replay": replay.query,
+    "op12_hard_negatives": negatives.query,
 }
 
 _OP1 = r"""
@@ -81,4 +83,13 @@ SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(gone, 0) AS n_removed, coales
 FROM hexed LEFT JOIN cut USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_quotation_linking": _OP1, "op2_minhash": _OP2, "op7_suffix_array": _OP7}
+_OP12 = r"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * cast(x AS DOUBLE))) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.vec_id AS a, c.vec_id AS c, a.label = c.label AS same, cast(list_inner_product(a.q, c.q) AS BIGINT) AS s FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id),
+positives AS (SELECT a, c AS p, s AS ps FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, c) <= 5),
+near AS (SELECT p.a, p.p, p.ps, n.c, n.s, row_number() OVER (PARTITION BY p.a, p.p ORDER BY n.s DESC, n.c) AS r FROM positives p JOIN scored n ON n.a = p.a AND NOT n.same AND 80 * ps <= 100 * n.s AND 100 * n.s <= 100 * ps)
+SELECT a AS anchor_id, p AS positive_id, cast(r AS INT) AS rank, c AS negative_id, ps AS positive_score, s AS negative_score FROM near WHERE r <= 5
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_quotation_linking": _OP1, "op2_minhash": _OP2, "op7_suffix_array": _OP7, "op12_hard_negatives": _OP12}
