@@ -7,7 +7,7 @@ it; tests/llm hold those against brute force, libraries, round trips and held-ou
 
 from __future__ import annotations
 
-from . import bpe, langid, minhash, negatives, nndescent, packing, quotes, replay, sharding, suffixes, tiff, toxicity
+from . import bpe, langid, minhash, negatives, nndescent, packing, quotes, replay, sharding, suffixes, tiff, toxicity, trie
 
 QUERIES = {
     "op1_quotation_linking": quotes.query,
@@ -22,6 +22,7 @@ QUERIES = {
     "op10_sharding": sharding.query,
     "op11_merge_replay": replay.query,
     "op12_hard_negatives": negatives.query,
+    "op13_prefix_trie": trie.query,
 }
 
 _OP1 = r"""
@@ -92,4 +93,21 @@ near AS (SELECT p.a, p.p, p.ps, n.c, n.s, row_number() OVER (PARTITION BY p.a, p
 SELECT a AS anchor_id, p AS positive_id, cast(r AS INT) AS rank, c AS negative_id, ps AS positive_score, s AS negative_score FROM near WHERE r <= 5
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_quotation_linking": _OP1, "op2_minhash": _OP2, "op7_suffix_array": _OP7, "op12_hard_negatives": _OP12}
+# crc32 by its table: the numbers below 256, each divided eight times by the polynomial.
+_OP13 = r"""
+WITH RECURSIVE bits AS (SELECT range AS i, cast(range AS BIGINT) AS x, 0 AS k FROM range(256) UNION ALL SELECT i, CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(x ORDER BY i) AS t FROM bits WHERE k = 8),
+turns AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS t FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list(t ORDER BY p) AS l FROM turns GROUP BY c),
+heads AS (SELECT c, l, xor(list_reduce(list_transform(string_split(cast(c AS VARCHAR), ''), lambda s: cast(ascii(s) AS BIGINT)), lambda a, b: xor(a >> 8, t[1 + (xor(a, b) & 255)]), 4294967295::BIGINT), 4294967295) % 6 AS h FROM own, crc),
+built AS (SELECT o.c, list_concat(coalesce(b.l[1:h], []), o.l[h + 1:]) AS l FROM heads o LEFT JOIN own b ON b.c = o.c - o.c % 100),
+members AS (SELECT c, d, l[1:d] AS k, len(l) = d AS last FROM (SELECT c, l, unnest(range(0, len(l) + 1)) AS d FROM built)),
+nodes AS (SELECT d, k, min(c) AS conv_id, count(*) AS n, sha256(coalesce(string_agg(cast(c AS VARCHAR), ',' ORDER BY c) FILTER (last), '')) AS ends FROM members GROUP BY d, k),
+kids AS (SELECT d - 1 AS d, k[1:d - 1] AS k, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+known AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN d > 0 THEN (n.n - 1) * length(n.k[d].text) ELSE 0 END AS saved FROM nodes n LEFT JOIN kids USING (d, k)),
+below AS (SELECT e AS d, k[1:e] AS k, count(*) FILTER (n_children = 0) AS n_leaves, cast(sum(saved) AS BIGINT) AS saved_tokens FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM known) GROUP BY ALL)
+SELECT v.conv_id, v.d AS depth, p.conv_id AS parent_conv_id, v.n AS n_convs, v.n_children, n_leaves, saved_tokens, v.ends AS ends_sha256
+FROM known v JOIN below USING (d, k) LEFT JOIN nodes p ON p.d = v.d - 1 AND p.k = v.k[1:v.d - 1]
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_quotation_linking": _OP1, "op2_minhash": _OP2, "op7_suffix_array": _OP7, "op12_hard_negatives": _OP12, "op13_prefix_trie": _OP13}
