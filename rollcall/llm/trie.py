@@ -54,7 +54,7 @@ class Queue:
         start = self.file.seek(0, 2)
         for lo in range(0, len(self.heap), 1000):
             pickle.dump(self.heap[lo: lo + 1000], self.file)
-        run = self._read(start, self.file.tell())
+        run = self._read(self.file, start, self.file.tell())
         self.heap = []
         self.runs.append([next(run), run])
         self.runs.sort(key=_head)
@@ -77,14 +77,15 @@ class Queue:
         if part:
             pickle.dump(part, self.file)
         old.close()
-        run = self._read(0, self.file.tell())
+        run = self._read(self.file, 0, self.file.tell())
         self.runs = [[next(run), run]] if n else []
 
-    def _read(self, at: int, end: int):
+    @staticmethod
+    def _read(file, at: int, end: int):
         while at < end:
-            self.file.seek(at)
-            part = pickle.load(self.file)
-            at = self.file.tell()
+            file.seek(at)
+            part = pickle.load(file)
+            at = file.tell()
             yield from part
 
     def take(self, key: tuple) -> tuple[int, int]:
