@@ -13,7 +13,24 @@ from ..functions import normalize as N
 from ..functions.policy import DEFAULT, Policy
 
 COMPARE = ["phone", "street", "city", "state", "zip", "specialty", "is_active"]
-RECORD = ["name", *COMPARE]
+RECORD = ["name", "specialty", "phone", "street", "city", "state", "zip", "is_active"]  # fixed order of a record's changes
+
+# What is said of a record.
+UNREACHED = "No external source could be reached to verify this record."
+SAME = "All checked fields match the trusted sources."
+CONFIRMED = "Confirmed by trusted sources at or above the auto-update bar for every field."
+DISAGREED = "Sources disagree on at least one field. Manual verification recommended."
+BELOW = "At least one change did not clear the auto-update bar. Sent to human review."
+
+# The rules of a decision in order, as (decision, what is noted, what is concluded).
+RULES = {
+    "conflict": ("human_review", "sources conflict on the new value", "conflict -> human review"),
+    "deactivation": ("human_review", "deactivation is high-stakes", "provider deactivation always reviewed"),
+    "name": ("human_review", "name changes can be identity/merge issues", "name change always reviewed"),
+    "alone": ("human_review", "single uncorroborated source, not the field owner", "needs a 2nd independent source or the field owner -> human review"),
+    "sure": ("auto_update", None, "confidence >= bar -> auto-update"),
+    "unsure": ("human_review", None, "confidence < bar -> human review"),
+}
 
 
 def candidates(providers: DataFrame, external: DataFrame, fields: list[str] = COMPARE) -> DataFrame:
@@ -66,14 +83,9 @@ def decide(valued: DataFrame, policy: Policy = DEFAULT, keys: tuple[str, ...] =
     rows = rows.withColumns({"confidence": conf, "bar": policy.bar(F.col("field")), "new_value": F.coalesce("display", "value")})
     risky = (F.col("field") == "is_active") & (F.col("old_value") == "1") & (F.col("new_value") == "0")
     lone = (F.col("n_sources") < 2) & ~F.col("authority")
-    rules = [  # (when, decision, note, verdict), the first that holds
-        (F.col("conflict"), "human_review", "sources conflict on the new value", "conflict -> human review"),
-        (F.coalesce(risky, F.lit(False)), "human_review", "deactivation is high-stakes", "provider deactivation always reviewed"),
-        (F.col("field") == "name", "human_review", "name changes can be identity/merge issues", "name change always reviewed"),
-        (lone, "human_review", "single uncorroborated source, not the field owner", "needs a 2nd independent source or the field owner -> human review"),
-        (F.col("confidence") >= F.col("bar"), "auto_update", None, "confidence >= bar -> auto-update"),
-        (F.lit(True), "human_review", None, "confidence < bar -> human review"),
-    ]
+    holds = {"conflict": F.col("conflict"), "deactivation": F.coalesce(risky, F.lit(False)), "name": F.col("field") == "name", "alone": lone,
+             "sure": F.col("confidence") >= F.col("bar"), "unsure": F.lit(True)}
+    rules = [(holds[k], *said) for k, said in RULES.items()]  # the first that holds
     first = lambda i: F.coalesce(*[F.when(r[0], F.struct(F.lit(r[i]).cast("string").alias("x"))) for r in rules])["x"]
     said = F.when(F.size("sources") > 1, F.concat(F.size("sources").cast("string"), F.lit(" independent sources agree ("), F.array_join("sources", ", "), F.lit(")"))).otherwise(
         F.concat(F.lit("reported by "), F.get("sources", F.lit(0))))
@@ -93,9 +105,10 @@ def proposed(scored: DataFrame) -> DataFrame:
                          F.when(F.col("decision") == "auto_update", "AUTO_UPDATE").otherwise("NEEDS_REVIEW").alias("decision"), "reason", F.lit("new").alias("status"))
 
 
-def recommend(providers: DataFrame, external: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
+def recommend(providers: DataFrame, external: DataFrame, policy: Policy = DEFAULT, failed: list[str] | None = None) -> DataFrame:
     """One row a directory record: all its changes, an overall confidence and what to do; records no source knows go to
-    review with confidence 0."""
+    review with confidence 0. failed: sources that couldn't be read, as adapters.Pull names them; every record was to be
+    checked with them, so they are listed with the sources it was checked with."""
     scored = score(candidates(providers, external, RECORD), policy)
     rank = F.array_position(F.array(*[F.lit(f) for f in RECORD]), F.col("field"))
     change = F.struct(rank.alias("rank"), "field", "old_value", "new_value", F.col("confidence").alias("confidence_score"), F.col("sources").alias("supporting_sources"))
@@ -104,22 +117,25 @@ def recommend(providers: DataFrame, external: DataFrame, policy: Policy = DEFAUL
     seen = external.groupBy("npi").agg(F.sort_array(F.collect_set("source_name")).alias("sources_consulted"))
     rows = providers.select("npi").join(seen, "npi", "left").join(changes, "npi", "left")
     none, same = F.col("sources_consulted").isNull(), F.col("changes").isNull()
+    consulted = F.col("sources_consulted")
+    if failed:
+        consulted = F.array_sort(F.array_distinct(F.concat(F.coalesce(consulted, F.array().cast("array<string>")), F.array(*map(F.lit, failed)))))
     return rows.select(
         F.col("npi").alias("provider_id"), "npi", (~none & ~same).alias("change_detected"),
         F.when(none, 0.0).when(same, 1.0).otherwise(F.col("overall")).alias("overall_confidence"),
         F.when(none, "human_review").when(same, "no_change").when(F.col("all_auto"), "auto_update").otherwise("human_review").alias("recommended_action"),
-        F.when(none, "No source could be reached for this provider.").when(same, "All checked fields match the trusted sources.")
-        .when(F.col("all_auto"), "Confirmed by trusted sources at or above the auto-update bar for every field.")
-        .when(F.col("any_conflict"), "Sources disagree on at least one field. Manual verification recommended.")
-        .otherwise("At least one change did not clear the auto-update bar. Sent to human review.").alias("reason"),
-        "changes", "sources_consulted")
+        F.when(none, UNREACHED).when(same, SAME)
+        .when(F.col("all_auto"), CONFIRMED)
+        .when(F.col("any_conflict"), DISAGREED)
+        .otherwise(BELOW).alias("reason"),
+        "changes", consulted.alias("sources_consulted"))
 
 
-def verify(requested: DataFrame, providers: DataFrame, external: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
+def verify(requested: DataFrame, providers: DataFrame, external: DataFrame, policy: Policy = DEFAULT, failed: list[str] | None = None) -> DataFrame:
     """On-demand check of some records (requested: npi): recommend() for those the directory holds, and a row with
     `error` for the others. Each requested identifier counts once."""
     wanted = requested.select("npi").filter("npi is not null").distinct()
-    some = recommend(providers.join(wanted, "npi", "left_semi"), external.join(wanted, "npi", "left_semi"), policy)
+    some = recommend(providers.join(wanted, "npi", "left_semi"), external.join(wanted, "npi", "left_semi"), policy, failed)
     return some.withColumn("error", F.lit(None).cast("string")).unionByName(missing(wanted, providers), allowMissingColumns=True)
 
 

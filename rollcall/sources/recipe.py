@@ -35,7 +35,7 @@ FIRST = quoted(["James", "Maria", "Wei", "Aisha", "John", "Elena", "Omar", "Priy
 LAST = quoted(["Smith", "O'Connor", "Al-Hassan", "Garcia", "Chen", "Khan", "Brown", "Lopez", "Ivanov", "Patel", "Kim", "Rossi", "Novak", "Silva", "Adams"])
 CITY = quoted(["New York", "brooklyn", "ALBANY", "Buffalo", "O'Fallon", "Yonkers"])
 STATE = quoted(["NY", "FL", "Florida", "tx", "Texas", "CA"])
-SPECIALTY = quoted(["Cardiovascular Disease", "Internal  Medicine", "Family Medicine", "General Practice"])
+SPECIALTY = quoted(["Pediatric Allergy", "Internal  Medicine", "Family Medicine", "General Practice"])
 TAXONOMY = quoted(["207rc0000x", "207R00000X", "207Q00000X", "208d00000x"])
 
 KEYS = {"k": "c_custkey", "j": div("c_custkey", 10), "kk": "CASE WHEN c_custkey % 50 IN (1, 3) THEN c_custkey - 1 ELSE c_custkey END",
@@ -48,7 +48,7 @@ DIRECTORY = {
     "name": f"concat({pick('k % 3', quoted(['', 'Dr. ', '']))}, {pick('kk % 12', FIRST)}, ' ', {pick(div('kk', 12) + ' % 15', LAST)}, {pick('k % 5', quoted(['', '', ', MD', '', '']))})",
     "phone": pick("k % 4", [f"concat('212', {_P})", f"concat('1-212-', substr({_P}, 1, 3), '-', substr({_P}, 4))", f"concat('(212) ', substr({_P}, 1, 3), '-', substr({_P}, 4))",
                             f"concat('+1 212.', substr({_P}, 1, 3), '.', substr({_P}, 4))"]),
-    "street": f"concat(cast(100 + {_A} % 900 as string), ' ', {pick(_A + ' % 6', quoted(['N Park Ave', 'Main St', 'Health Park Dr, Suite 300', 'E 47 St #5', 'Hudson Blvd', 'W 168th St Fl 3']))})",
+    "street": f"concat(cast(100 + {_A} % 900 as string), ' ', {pick(_A + ' % 6', quoted(['N Park Ave', 'Main St', 'Orchard View Dr, Suite 210', 'E 47 St #5', 'Hudson Blvd', 'W 168th St Fl 3']))})",
     "city": pick(f"{_A} % 6", CITY), "state": pick(f"{_A} % 6", STATE),
     "zip": f"concat(cast(10000 + {_A} % 89999 as string), CASE WHEN k % 7 = 0 THEN '-1234' ELSE '' END)",
     "specialty": pick("k % 4", SPECIALTY), "taxonomy_code": pick("k % 4", TAXONOMY), "is_active": "CASE WHEN k % 97 = 0 THEN 0 ELSE 1 END",
