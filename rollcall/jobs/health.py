@@ -1,25 +1,30 @@
 """Directory health: python -m rollcall.jobs.health --providers DIR --external DIR --out DIR [--as-of TIME]
 
-Writes each detector's rows as Parquet, and `counts` of them.
+Writes each detector's rows as Parquet, and `counts` of them. Keys are made once for all detectors that need them.
 """
 
 from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import detect
-from ..sources import records
-from . import moment, session
+from ..sources import records, tables
+from . import moment, session, staged, staging
 
 
 def run(spark: SparkSession, providers: DataFrame, external: DataFrame, out: str, now: Column) -> DataFrame:
-    found = detect.report(providers, external, now)
-    for name, df in found.items():
-        records.write_table(df, f"{out}/{name}")
-    counts = detect.counts({name: spark.read.parquet(f"{out}/{name}") for name in found})
-    records.write_table(counts, f"{out}/counts")
+    with staging(spark, out) as folder:
+        keys = staged(detect.keyed(providers), folder, "keyed")
+        found = detect.report(providers, external, now, keys)
+        counts = {}
+        for name, df in found.items():
+            seen = Observation()
+            records.write_table(df.observe(seen, F.count(F.lit(1)).alias("n")), f"{out}/{name}")
+            counts[name] = seen.get["n"]
+    records.write_table(spark.createDataFrame(list(counts.items()), "detector string, n long"), f"{out}/counts")
     return spark.read.parquet(f"{out}/counts")
 
 
@@ -30,7 +35,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--as-of")
     a = p.parse_args(argv)
     spark = session("health")
-    run(spark, spark.read.parquet(a.providers), spark.read.parquet(a.external), a.out, moment(a.as_of)).show()
+    run(spark, tables.read_any(spark, a.providers), tables.read_any(spark, a.external), a.out, moment(a.as_of)).show()
 
 
 if __name__ == "__main__":

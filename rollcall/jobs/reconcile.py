@@ -1,10 +1,15 @@
 """Reconcile a directory with its sources:
 
-python -m rollcall.jobs.reconcile --providers DIR --source NAME=DIR [--source ...] --out DIR [--as-of TIME] [--least-score N]
+python -m rollcall.jobs.reconcile --out DIR --source NAME=[KIND:]PATH [--source ...] [--providers DIR] [--run ID] [--as-of TIME] [--least-score N]
 
-Writes external_data (by source; a run replaces only the sources it was given), proposed_changes, the updated providers
-and providers_audit_log as Parquet and review_queue as JSON lines. Fails on an empty directory and on a pull whose quality
-score is below the least.
+The directory is the table DIR/providers; --providers is read instead where DIR has none yet. Kinds of sources are those of
+sources.adapters.KINDS (rows, registry, enrollment, ...). Of the tables below DIR it replaces the sources' parts of
+external_data, adds the run's part to proposed_changes, source_errors and providers_audit_log, rewrites the touched buckets
+of providers, and writes review_queue (all pending changes of all runs) as JSON lines.
+
+A source that fails contributes nothing and is reported. A pull whose quality score is below the least, and an empty
+directory, are refused before anything is written. A run's id given again replaces what that run has written; a run that
+has ended does nothing.
 """
 
 from __future__ import annotations
@@ -15,51 +20,56 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import apply, intake, quality, reconcile
-from ..sources import records
-from . import moment, session
-
-EXTERNAL = ["npi", "source_name", "ordinal", *records.FIELDS]
-
-
-def external_rows(sources: dict[str, DataFrame], now: Column) -> DataFrame:
-    """Every adapter's rows in one shape; ordinals are made where a source has none."""
-    shaped = {}
-    for name, df in sources.items():
-        more = {c: F.lit(None).cast("int" if c == "is_active" else "string") for c in records.FIELDS if c not in df.columns}
-        more |= {} if "ordinal" in df.columns else {"ordinal": F.monotonically_increasing_id()}
-        shaped[name] = df.withColumns(more | {"source_name": F.lit(name), "fetched_at": now}).select(*EXTERNAL, "fetched_at")
-    return records.union_sources(shaped)
+from ..sources import adapters, records, tables
+from . import moment, new_run, providers_table, session, staged, staging, table
 
 
-def run(spark: SparkSession, providers: DataFrame, sources: dict[str, DataFrame], out: str, now: Column, least_score: int = 60) -> dict[str, DataFrame]:
-    intake.require_rows(providers)
-    records.write_table(external_rows(sources, now), f"{out}/external_data", partition="source_name")
-    external = spark.read.parquet(f"{out}/external_data")
-    verdict = quality.verdict(quality.checks(external)).first()
-    if verdict["score"] < least_score:
-        raise ValueError(f"the pull scores {verdict['score']} of 100 ({verdict['verdict']}), below {least_score}")
-    changes = reconcile.proposed(reconcile.score(reconcile.candidates(providers, external)))
-    # Written once: status, audit, queue and merge all start from the same decisions.
-    records.write_table(apply.route(changes).withColumn("created_at", now), f"{out}/proposed_changes")
-    routed = spark.read.parquet(f"{out}/proposed_changes")
-    records.write_table(apply.merge(providers, routed, now), f"{out}/providers")
-    records.write_table(apply.audit(routed).withColumn("timestamp", now), f"{out}/providers_audit_log")
-    records.write_json(apply.review_queue(routed, providers), f"{out}/review_queue")
-    return {name: spark.read.parquet(f"{out}/{name}") for name in ("external_data", "proposed_changes", "providers", "providers_audit_log")}
+def run(spark: SparkSession, sources: list[adapters.Source], out: str, now: Column, run_id: str | None = None, providers: DataFrame | None = None, least_score: int = 60) -> dict[str, DataFrame]:
+    run_id = run_id or new_run()
+    directory = providers_table(spark, out)
+    external, changes, errors, log = (table(spark, out, n) for n in ("external_data", "proposed_changes", "source_errors", "providers_audit_log"))
+    if not directory.has_run(run_id):
+        with staging(spark, out) as folder:
+            if not directory.exists():
+                if providers is None:
+                    raise ValueError("no provider was loaded")
+                directory.add(intake.require_rows(providers))
+            stored = intake.require_rows(directory.read())
+            pulled = adapters.pull(spark, sources, folder, now)
+            verdict = quality.verdict(quality.checks(pulled.rows)).first()
+            if verdict["score"] < least_score:
+                raise ValueError(f"the pull scores {verdict['score']} of 100 ({verdict['verdict']}), below {least_score}")
+            # A source that was read without rows has none now; one that failed keeps its part but isn't consulted.
+            external.replace({name: pulled.rows.filter(F.col("source_name") == name) for name in pulled.read})
+            lost = {s.name for s in sources} - set(pulled.read)
+            known = external.read(*[k for k in external.manifest()["parts"] if k not in lost]) if set(external.manifest()["parts"]) - lost else pulled.rows
+            errors.replace({run_id: pulled.errors.withColumns({"run_id": F.lit(run_id), "timestamp": now})})
+            found = reconcile.proposed(reconcile.score(reconcile.candidates(stored, known)))
+            # Written once: status, audit, queue and merge all start from the same decisions.
+            routed = staged(apply.route(found), folder, "routed")
+            changes.replace({run_id: routed.withColumns({"created_at": now, "run_id": F.lit(run_id)})})
+            log.replace({run_id: apply.audit(routed).withColumns({"run_id": F.lit(run_id), "timestamp": now})})
+            # Last: until then the run can be repeated.
+            directory.rewrite(routed.filter("status = 'applied'"), lambda rows: apply.merge(rows, routed, now), run_id)
+            records.write_json(apply.review_queue(changes.read(), directory.read()), f"{out}/review_queue")
+    return {"external_data": external.read(), "proposed_changes": changes.read(), "source_errors": errors.read(), "providers": directory.read(), "providers_audit_log": log.read()}
 
 
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser()
-    p.add_argument("--providers", required=True)
+    p.add_argument("--providers")
     p.add_argument("--source", action="append", required=True)
     p.add_argument("--out", required=True)
+    p.add_argument("--run")
     p.add_argument("--as-of")
     p.add_argument("--least-score", type=int, default=60)
     a = p.parse_args(argv)
     spark = session("reconcile")
-    sources = {name: spark.read.parquet(path) for name, path in (s.split("=", 1) for s in a.source)}
-    tables = run(spark, spark.read.parquet(a.providers), sources, a.out, moment(a.as_of), a.least_score)
-    apply.counts(tables["proposed_changes"]).show()
+    run_id = a.run or new_run()
+    providers = tables.read_any(spark, a.providers) if a.providers else None
+    done = run(spark, [adapters.parse(s) for s in a.source], a.out, moment(a.as_of), run_id, providers, a.least_score)
+    apply.counts(done["proposed_changes"].filter(F.col("run_id") == run_id)).show()
+    done["source_errors"].filter(F.col("run_id") == run_id).groupBy("source_name", "error").count().show()
 
 
 if __name__ == "__main__":

@@ -110,8 +110,8 @@ def leading(parts: dict[str, tuple[DataFrame, list[Column], Column]], top: int =
     return reduce(DataFrame.unionByName, out)
 
 
-def report(providers: DataFrame, external: DataFrame, as_of: Column) -> dict[str, DataFrame]:
-    """The rows of all five detectors; a cluster is one row."""
-    keys = keyed(providers)
+def report(providers: DataFrame, external: DataFrame, as_of: Column, keys: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The rows of all five detectors; a cluster is one row. keys: keyed(providers), if it is at hand."""
+    keys = keyed(providers) if keys is None else keys
     return {"duplicates": duplicates(keys, lists=False), "shared_locations": shared_locations(keys, lists=False), "moved": moved(providers, external),
             "inactive": inactive(providers, external), "stale": stale(providers, as_of)}

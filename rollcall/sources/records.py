@@ -53,13 +53,19 @@ def flatten_registry(df: DataFrame) -> DataFrame:
     place = _first("addresses", here, any_)
     empty = lambda c: F.coalesce(c, F.lit(""))
     return df.withColumns({"_t": tax, "_p": phone, "_a": place}).select(
-        F.col("number").alias("npi"), strip(F.concat_ws(" ", empty(F.col("basic.first_name")), empty(F.col("basic.last_name")))).alias("name"),
+        *[c for c in ("ordinal",) if c in df.columns], F.col("number").alias("npi"), strip(F.concat_ws(" ", empty(F.col("basic.first_name")), empty(F.col("basic.last_name")))).alias("name"),
         empty(F.col("_t.code")).alias("taxonomy_code"), empty(F.col("_t.desc")).alias("specialty"),
         F.when(F.upper(F.col("basic.status")) == "D", 0).otherwise(1).alias("is_active"), empty(F.col("_p.telephone_number")).alias("phone"),
         F.concat(empty(F.col("_a.address_1")), F.when(full(F.col("_a.address_2")), F.concat(F.lit(" "), F.col("_a.address_2"))).otherwise("")).alias("street"),
         empty(F.col("_a.city")).alias("city"), empty(F.col("_a.state")).alias("state"), empty(F.col("_a.postal_code")).alias("zip"))
 
 
+def enrollment_columns(df: DataFrame) -> DataFrame:
+    """The columns of ENROLLMENT, by name, of a file that may have more; those it lacks are null, but npi must be there."""
+    names = [f.split()[0] for f in ENROLLMENT.split(", ")]
+    return df.select("npi", "ordinal", *[F.col(n) if n in df.columns else F.lit(None).cast("string").alias(n) for n in names[1:]])
+
+
 def enrollment_rows(df: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     """Enrollment rows as source rows: one an identifier (the first), no specialty, blanks as null, all-blank rows gone."""
     # Of each identifier the row with the least ordinal, by partial aggregates.
