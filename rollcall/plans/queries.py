@@ -15,7 +15,7 @@ from ..operators import evaluate as E
 from ..operators import intake as I
 from ..operators import quality as Q
 from ..operators import reconcile as R
-from ..sources import recipe, records
+from ..sources import adapters, recipe, records, scratch
 
 c = F.col
 
@@ -196,6 +196,40 @@ def _flat_changes(r: DataFrame, *more: str) -> DataFrame:
                     F.coalesce(_flat("sources_consulted"), F.lit("")).alias("sources_consulted"), *more)
 
 
+def _pulled(s, d) -> adapters.Pull:
+    """A table of orders as one source, a path where there is nothing as another, and as a third JSON of which every seventh
+    record is cut off."""
+    def of(name):
+        return lambda df: recipe.reported(df, recipe.customers(s, d)).filter(c("source_name") == name)
+
+    def board(df):
+        placed = df.select(c("o_orderkey").alias("at"), c("ordinal").alias("place"))
+        return of("state_board")(df).join(placed, c("ordinal") == c("at")).drop("ordinal", "at").withColumnRenamed("place", "ordinal")
+
+    said = of("practice_site")(s.read.parquet(f"{d}/orders.parquet"))
+    line = F.to_json(F.struct(F.lpad(c("ordinal").cast("string"), 12, "0").alias("o"), "npi", *records.FIELDS))
+    lines = said.select(F.when(c("ordinal") % 7 == 0, F.substring(line, 1, 60)).otherwise(line).alias("value"))
+    return adapters.pull(s, [
+        adapters.Source("state_board", f"{d}/orders.parquet", shape=board),
+        adapters.Source("cms", f"{d}/no_such_table.parquet"),
+        adapters.Source("practice_site", format="json", lines=lines, schema="o string, npi string, name string, phone string, street string, city string, state string, zip string, specialty string, is_active int"),
+    ], scratch.folder(s), as_of())
+
+
+def isolated_sources(s, d):
+    p = _pulled(s, d)
+    return _flat_changes(R.recommend(providers(s, d), p.rows, failed=p.failed))
+
+
+def source_errors(s, d):
+    return _pulled(s, d).errors.groupBy("source_name", "error").agg(F.count(F.lit(1)).alias("n"), F.count("record").alias("records"))
+
+
+def source_ordinals(s, d):
+    """One order over the records of all sources."""
+    return _pulled(s, d).rows.select("ordinal", "source_name", "npi", "phone")
+
+
 def requested_missing(s, d):
     wanted = recipe.intake(s, d).select(F.trim("npi").alias("npi")).filter("npi is not null").distinct()
     return R.missing(wanted, providers(s, d))
@@ -337,7 +371,7 @@ def run_cost(s, d):
 NAMES = ["proposed_changes", "npi_validation", "luhn_check_digit", "normalize_name", "normalize_phone", "normalize_state", "normalize_specialty", "normalize_address",
          "clean_record", "field_compare_display", "nested_record_flatten", "cms_rows", "extraction_json", "page_field_extract", "source_union", "intake_accepted",
          "intake_quarantine", "intake_audit", "intake_counters", "insert_or_ignore", "table_constraint_violations", "change_candidates", "independent_support",
-         "record_recommendations", "requested_missing", "change_summary", "unchanged_records", "apply_directory", "apply_status", "apply_counts", "apply_audit",
+         "record_recommendations", "isolated_sources", "source_errors", "source_ordinals", "requested_missing", "change_summary", "unchanged_records", "apply_directory", "apply_status", "apply_counts", "apply_audit",
          "review_queue", "review_tally", "duplicate_providers", "shared_locations", "moved_providers", "inactive_providers", "stale_records", "health_report", "health_leading", "run_summary", "intake_totals", "first_storable", "constraint_quarantine", "verify_requested",
          "pull_quality_checks", "pull_quality_score", "validity_confusion", "validity_by_error_type", "validity_misclassified", "decision_eval", "decision_metrics", "run_cost"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: globals()[n] for n in NAMES}

@@ -113,10 +113,13 @@ def raw_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customers(spark, sf_dir).withColumn("updated_at", F.expr(f"timestamp_ntz '{AS_OF}' - make_interval(0, 0, 0, age_days)")).drop("age_days")
 
 
-def external(spark: SparkSession, sf_dir: str) -> DataFrame:
+def reported(orders: DataFrame, directory: DataFrame) -> DataFrame:
     """Source rows: the raw directory's values with the changes that each order reports."""
-    orders = table(spark, sf_dir, "orders").selectExpr("o_custkey AS k", "o_orderkey AS o", "o_orderpriority")
-    return orders.join(customers(spark, sf_dir), "k").selectExpr(*_exprs(EXTERNAL))
+    return orders.selectExpr("o_custkey AS k", "o_orderkey AS o", "o_orderpriority").join(directory, "k").selectExpr(*_exprs(EXTERNAL))
+
+
+def external(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reported(table(spark, sf_dir, "orders"), customers(spark, sf_dir))
 
 
 def intake(spark: SparkSession, sf_dir: str) -> DataFrame:
