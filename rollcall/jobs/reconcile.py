@@ -34,7 +34,7 @@ def run(spark: SparkSession, sources: list[adapters.Source], out: str, now: Colu
                 if providers is None:
                     raise ValueError("no provider was loaded")
                 directory.add(intake.require_rows(providers))
-            stored = intake.require_rows(directory.read())
+            stored = intake.require_rows(directory.colocated())
             pulled = adapters.pull(spark, sources, folder, now)
             verdict = quality.verdict(quality.checks(pulled.rows)).first()
             if verdict["score"] < least_score:

@@ -132,7 +132,10 @@ class Table:
 
 class BucketedTable(Table):
     """A table whose parts are buckets of a key's hash: new rows are added to their buckets, changed ones rewrite only the
-    buckets they are in."""
+    buckets they are in.
+
+    The buckets are Spark's own, so that colocated() is joined or grouped by the key without being shuffled.
+    """
 
     def __init__(self, spark: SparkSession, path: str, key: str, buckets: int = 64, keep: int = 1):
         super().__init__(spark, path, keep)
@@ -141,39 +144,60 @@ class BucketedTable(Table):
             self.buckets = int(next(iter(known)).split("/")[1])
 
     def bucket(self) -> Column:
-        return F.pmod(F.xxhash64(F.col(self.key)), F.lit(self.buckets)).cast("int")
+        """The number that Spark's bucketing gives a key."""
+        return F.pmod(F.hash(F.col(self.key)), F.lit(self.buckets))
 
     def _name(self, b: int) -> str:
         return f"{b}/{self.buckets}"
 
-    def _dealt(self, df: DataFrame) -> tuple[dict[str, str], str]:
-        """Write df by buckets; the folder of each bucket that has rows, with their keys sorted so that files can be skipped."""
-        laid = df.withColumn("_bucket", self.bucket()).repartition(self.buckets, "_bucket").sortWithinPartitions("_bucket", self.key)
-        name = self._write(laid, "_bucket")
+    def _dealt(self, df: DataFrame, laid: bool = False) -> dict[str, str]:
+        """Write df by buckets, sorted by key; the folder of each bucket that has rows. laid: rows lie by bucket already."""
+        rows = df.withColumn("_bucket", self.bucket())
+        rows = rows if laid else rows.repartition(self.buckets, self.key)
+        name, made = uuid.uuid4().hex, f"rollcall_{uuid.uuid4().hex}"
+        try:  # only a write of a named table puts bucket numbers into file names; dropping its name leaves the files
+            rows.write.partitionBy("_bucket").bucketBy(self.buckets, self.key).sortBy(self.key).option("path", f"{self.path}/_parts/{name}").saveAsTable(made)
+        finally:
+            self.spark.sql(f"DROP TABLE IF EXISTS {made}")
         found = [s.getPath().getName() for s in self._fs.listStatus(self._file(f"_parts/{name}"))]
-        return {self._name(int(x.split("=")[1])): f"{name}/{x}" for x in found if x.startswith("_bucket=")}, name
+        return {self._name(int(x.split("=")[1])): f"{name}/{x}" for x in found if x.startswith("_bucket=")}
+
+    def colocated(self, *keys: str) -> DataFrame:
+        """All rows, or those of some buckets, as Spark's bucketed table: the buckets are partitions of a table that this
+        session knows by the version's name."""
+        m = self.manifest()
+        parts = [(i, f) for i, f in enumerate(f for k, fs in m["parts"].items() if not keys or k in keys for f in fs)]
+        if not parts:
+            return self.read(*keys)
+        path = self._fs.makeQualified(self._file("")).toString()
+        name = f"rollcall_{uuid.uuid5(uuid.NAMESPACE_URL, '|'.join([path, str(m['version']), *keys])).hex}"
+        if not self.spark.catalog.tableExists(name):
+            columns = self._jvm.org.apache.spark.sql.types.DataType.fromJson(m["schema"]).toDDL()
+            self.spark.sql(f"CREATE TABLE {name} ({columns}, _part INT) USING parquet OPTIONS (path '{path}/_parts') PARTITIONED BY (_part) "
+                           f"CLUSTERED BY (`{self.key}`) SORTED BY (`{self.key}`) INTO {self.buckets} BUCKETS")
+            self.spark.sql(f"ALTER TABLE {name} ADD " + " ".join(f"PARTITION (_part={i}) LOCATION '{path}/_parts/{f}'" for i, f in parts))
+        return self.spark.table(name).drop("_part")
 
     def add(self, df: DataFrame, run: str | None = None) -> None:
         """More rows, whose keys the table doesn't hold yet."""
         before = self.manifest()
-        folders, _ = self._dealt(df)
         now = dict(before["parts"])
-        for k, f in folders.items():
+        for k, f in self._dealt(df).items():
             now[k] = [*now.get(k, []), f]
         self._swap(before, now, self._schema(before, [df]), run)
 
     def rewrite(self, keys: DataFrame, change, run: str | None = None) -> int:
         """change(rows of the buckets that `keys` are in) in place of those rows; the number of buckets written.
 
-        What is collected is bucket numbers, `buckets` of them at most.
+        change should leave rows where they are (as joins and projections do), since each bucket is written where it was
+        read. What is collected is bucket numbers, `buckets` of them at most.
         """
         touched = [self._name(r["b"]) for r in keys.select(self.bucket().alias("b")).distinct().collect() if r["b"] is not None]
         before = self.manifest()
         touched = [k for k in touched if k in before["parts"]]
         if touched:
-            rows = change(self.read(*touched))
-            folders, _ = self._dealt(rows)
-            now = {k: f for k, f in before["parts"].items() if k not in touched} | {k: [f] for k, f in folders.items()}
+            rows = change(self.colocated(*touched))
+            now = {k: f for k, f in before["parts"].items() if k not in touched} | {k: [f] for k, f in self._dealt(rows, laid=True).items()}
             self._swap(before, now, self._schema(before, [rows]), run)
         elif run:
             self._swap(before, before["parts"], before["schema"], run)

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from rollcall.jobs import health, intake, reconcile
-from rollcall.operators import order
-from rollcall.operators.reconcile import candidates, recommend, score
+from rollcall.operators import apply, order
+from rollcall.operators.reconcile import candidates, proposed, recommend, score
 from rollcall.sources import adapters, records, tables
 from tests.test_reconcile import number
 
@@ -299,6 +299,42 @@ def test_two_writers_and_a_writer_that_dies(spark, tmp_path, monkeypatch):
     assert tables.Table(spark, str(tmp_path / "t")).read().count() == 4
 
 
+def shuffled(df, mark):
+    """For each leaf of the plan that has the mark: the exchanges above it."""
+    lines, out = df._jdf.queryExecution().executedPlan().toString().splitlines(), []
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*()0123456789"))
+    for i, line in enumerate(lines):
+        if mark in line:
+            at, above = depth(line), []
+            for upper in reversed(lines[:i]):
+                if depth(upper) < at:
+                    at = depth(upper)
+                    above += [upper.strip()] if "Exchange" in upper else []
+            out.append(above)
+    return out
+
+
+def test_the_directory_stays_where_it_is(spark, tmp_path):
+    """Finding, scoring and merging changes shuffles the sources' rows and the changes, never the directory's."""
+    t = tables.BucketedTable(spark, str(tmp_path / "t"), "npi", buckets=8)
+    t.add(held(spark))
+    t.add(held(spark).withColumn("npi", F.translate("npi", "123", "321")))
+    assert t.colocated().count() == 8
+    external = said(spark, [(number("123450001"), "7195550111", "Golden", "CO")]).selectExpr("*", "'clinic_site' AS source_name", "1L AS ordinal", "'' AS street", "'' AS zip", "'' AS specialty", "1 AS is_active")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        changes = proposed(score(candidates(t.colocated(), external)))
+        assert shuffled(changes, "FileScan parquet") == [[]]
+        plan = changes._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1  # the sources' rows, once for the join, all groups and windows
+        routed = apply.route(changes)
+        merged = apply.merge(t.colocated(), routed, now())
+        assert [] in shuffled(merged, "FileScan parquet") and {r["phone"] for r in merged.collect()} == {"(719) 555-0111", "(720) 555-0187"}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_only_touched_buckets_are_rewritten(spark, tmp_path):
     t = tables.BucketedTable(spark, str(tmp_path / "t"), "k", buckets=8)
     rows = spark.range(200).selectExpr("cast(id AS string) AS k", "0 AS v")
