@@ -4,7 +4,8 @@ python -m rollcall.jobs.reconcile --out DIR --source NAME=[KIND:]PATH [--source
 
 The directory is the table DIR/providers; --providers is read instead where DIR has none yet. Kinds of sources are those of
 sources.adapters.KINDS (rows, registry, enrollment, ...). Of the tables below DIR it replaces the sources' parts of
-external_data, adds the run's part to proposed_changes, source_errors and providers_audit_log, rewrites the touched buckets
+external_data, adds the run's part to proposed_changes, source_errors, pull_sketches (rows and mergeable distinct counts of
+each source) and providers_audit_log, rewrites the touched buckets
 of providers, and writes review_queue (all pending changes of all runs) as JSON lines.
 
 A source that fails contributes nothing and is reported. A pull whose quality score is below the least, and an empty
@@ -43,6 +44,7 @@ def run(spark: SparkSession, sources: list[adapters.Source], out: str, now: Colu
             external.replace({name: pulled.rows.filter(F.col("source_name") == name) for name in pulled.read})
             lost = {s.name for s in sources} - set(pulled.read)
             known = external.read(*[k for k in external.manifest()["parts"] if k not in lost]) if set(external.manifest()["parts"]) - lost else pulled.rows
+            table(spark, out, "pull_sketches").replace({run_id: quality.sketches(pulled.rows, "source_name").withColumns({"run_id": F.lit(run_id), "timestamp": now})})
             errors.replace({run_id: pulled.errors.withColumns({"run_id": F.lit(run_id), "timestamp": now})})
             found = reconcile.proposed(reconcile.score(reconcile.candidates(stored, known)))
             # Written once: status, audit, queue and merge all start from the same decisions.

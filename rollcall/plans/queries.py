@@ -324,6 +324,17 @@ def pull_quality_score(s, d):
     return Q.verdict(Q.checks(recipe.external(s, d)))
 
 
+def pull_distinct(s, d):
+    """Seven pulls, sketched one by one and then merged: rows, and whether the merged estimate is within 0.5 % of the truth, for each
+    source and for all of them."""
+    x = recipe.external(s, d).withColumn("pull", c("ordinal") % 7)
+    kept = Q.sketches(x, "source_name", "pull")
+    est = Q.distinct_identifiers(kept, "source_name").unionByName(Q.distinct_identifiers(kept.withColumn("source_name", F.lit("all")), "source_name"))
+    true = x.groupBy("source_name").agg(F.count_distinct("npi").alias("d")).unionByName(x.agg(F.count_distinct("npi").alias("d")).withColumn("source_name", F.lit("all")))
+    close = F.abs(c("identifiers") - c("d")) <= F.greatest(F.lit(1.0), c("d") * 0.005)
+    return est.join(true, "source_name").select("source_name", "n", c("d").alias("identifiers"), close.alias("close"))
+
+
 def _judged(s, d):
     x = I.gate(recipe.intake(s, d))
     return x.select("ordinal", "npi", "name", "error_type", c("reason").isNull().alias("predicted"), (c("expected_valid") == "True").alias("expected"))
@@ -373,5 +384,5 @@ NAMES = ["proposed_changes", "npi_validation", "luhn_check_digit", "normalize_na
          "intake_quarantine", "intake_audit", "intake_counters", "insert_or_ignore", "table_constraint_violations", "change_candidates", "independent_support",
          "record_recommendations", "isolated_sources", "source_errors", "source_ordinals", "requested_missing", "change_summary", "unchanged_records", "apply_directory", "apply_status", "apply_counts", "apply_audit",
          "review_queue", "review_tally", "duplicate_providers", "shared_locations", "moved_providers", "inactive_providers", "stale_records", "health_report", "health_leading", "run_summary", "intake_totals", "first_storable", "constraint_quarantine", "verify_requested",
-         "pull_quality_checks", "pull_quality_score", "validity_confusion", "validity_by_error_type", "validity_misclassified", "decision_eval", "decision_metrics", "run_cost"]
+         "pull_quality_checks", "pull_quality_score", "pull_distinct", "validity_confusion", "validity_by_error_type", "validity_misclassified", "decision_eval", "decision_metrics", "run_cost"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: globals()[n] for n in NAMES}

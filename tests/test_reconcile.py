@@ -139,6 +139,57 @@ def test_empty_pull_scores_65(spark):
     assert quality.verdict(quality.checks(df)).first()["score"] == 65
 
 
+def test_sketches_of_pulls_are_merged(spark):
+    df = spark.range(60000).selectExpr("cast(id AS string) AS npi", "id % 2 AS half").unionByName(spark.range(30000, 90000).selectExpr("cast(id AS string) AS npi", "2L AS half"))
+    df = df.unionByName(spark.createDataFrame([(None, 5)], "npi string, half long"))
+    kept = quality.sketches(df, "half")
+    got = quality.distinct_identifiers(kept).first()
+    assert got["n"] == 120001 and abs(got["identifiers"] - 90000) <= 450  # 0.5 %
+    assert {r["half"]: r["identifiers"] for r in quality.distinct_identifiers(kept, "half").collect()}[5] == 0
+    assert quality.distinct_identifiers(quality.sketches(df.filter("false"), "half"), "half").count() == 0
+    exact = quality.checks(df.select("npi")).filter("check_name = 'duplicates'").first()["points"]
+    assert quality.checks(df.select("npi"), approximate=True).filter("check_name = 'duplicates'").first()["points"] == exact
+
+
+LABELLED = [  # (id, field, stored, reports, expected)
+    ("same phone", "phone", "(303) 555-0142", [("cms", "1-303-555-0142"), ("nppes", "303.555.0142")], "no_change"),
+    ("same street", "street", "77 Quarry Lane", [("practice_site", "77 quarry ln.")], "no_change"),
+    ("blank report", "city", "Boulder", [("cms", "  ")], "no_change"),
+    ("owner's phone", "phone", "(303) 555-0142", [("clinic_site", "7205550187")], "auto_update"),
+    ("two for a zip", "zip", "80301", [("cms", "84101"), ("state_board", "84101-22")], "auto_update"),
+    ("registry and board", "specialty", "Dermatology", [("nppes", "Allergy"), ("state_board", "allergy")], "auto_update"),
+    ("city below the bar", "city", "Boulder", [("practice_site", "Golden")], "human_review"),
+    ("lone stranger", "phone", "(303) 555-0142", [("county_feed", "7205550187")], "human_review"),
+    ("two phones", "phone", "(303) 555-0142", [("practice_site", "7205550187"), ("cms", "7195550111")], "conflict"),
+    ("two streets", "street", "77 Quarry Lane", [("state_board", "9 Cedar Sq"), ("clinic_site", "4 Elm Ct")], "conflict"),
+    ("switched off", "is_active", "1", [("nppes", "0"), ("cms", "0"), ("state_board", "0")], "blocked_unsafe"),
+    ("renamed", "name", "Ines Okafor", [("nppes", "Ines Lund"), ("state_board", "Ines Lund")], "blocked_unsafe"),
+]
+
+
+def _decided(spark, labelled):
+    stored = directory(spark, [x[0] for x in labelled])
+    said = [(k, s, f, v) for k, f, _, reps, _ in labelled for s, v in reps]
+    cands = reconcile.candidates(stored, reports(spark, said), reconcile.RECORD).withColumnRenamed("npi", "id")
+    fixtures = spark.createDataFrame([(x[0], x[1], x[4]) for x in labelled], "id string, field string, expected string")
+    return evaluate.decisions(fixtures, cands)
+
+
+def test_labelled_decisions_of_all_kinds(spark):
+    decided = _decided(spark, LABELLED)
+    assert [r["id"] for r in decided.filter("not correct").collect()] == []
+    assert {r["metric"]: r["n"] for r in evaluate.metrics(decided).collect()} == {"correct_no_change": 3, "correct_auto_update": 3, "correct_human_review": 6}
+    held = {r["id"]: r for r in decided.collect()}
+    assert held["renamed"]["confidence"] >= DEFAULT.bar_of("name") and held["switched off"]["predicted"] == "human_review"
+
+
+def test_labelled_decisions_that_are_wrong(spark):
+    wrong = [(k, f, old, reps, {"no_change": "auto_update", "auto_update": "no_change", "human_review": "auto_update", "conflict": "no_change", "blocked_unsafe": "conflict"}[e]) for k, f, old, reps, e in LABELLED]
+    decided = _decided(spark, wrong)
+    assert decided.filter("correct").count() == 0
+    assert {r["metric"]: r["n"] for r in evaluate.metrics(decided).collect()} == {"missed_change": 3, "false_auto_update": 3, "false_human_review": 4, "correct_human_review": 2}
+
+
 def test_confusion_on_nothing(spark):
     r = evaluate.confusion(spark.createDataFrame([], "predicted boolean, expected boolean")).first()
     assert (r["tp"], r["precision"], r["f1"]) == (0, 0.0, 0.0)
