@@ -29,7 +29,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p
 CHUNK = 4096  # bytes read at once of a long pre-token
 SHORT = 64  # bytes of a string that is merged by scanning
 REMEMBERED = 1 << 19  # pre-tokens kept with their ids
-SLICE = 4096  # pre-tokens encoded, hashed and decoded at once
+SLICE = 512  # pre-tokens encoded, hashed and decoded at once
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -168,35 +168,43 @@ class Encoder:
                 carry = carry[cut:]
         yield self.merge(carry)
 
-    def piece(self, text: str) -> tuple[str, tuple[int, ...]]:
-        """A pre-token's ids, also joined by commas."""
-        data = text.encode("utf-8")
-        ids = self.merge(data) if len(data) <= CHUNK else chain.from_iterable(
-            self.stream(data[i: i + CHUNK] for i in range(0, len(data), CHUNK)))
-        ids = tuple(ids)
+    def piece(self, text: str):
+        """A pre-token's ids, also joined by commas; those of a long one come in slices, as they become stable."""
+        if len(text) > CHUNK:
+            for ids in self.stream(text[i: i + CHUNK].encode("utf-8") for i in range(0, len(text), CHUNK)):
+                yield ",".join(map(str, ids)), tuple(ids)
+            return
+        ids = tuple(self.merge(text.encode("utf-8")))
         out = (",".join(map(str, ids)), ids)
-        if len(data) <= 64:
+        if len(text) <= 64:
             if len(self.seen) >= REMEMBERED:
                 self.seen.clear()
             self.seen[text] = out
-        return out
+        yield out
 
     def encode(self, text: str):
-        """(joined ids, ids) of each pre-token of the text, in turn; special tokens stand for themselves."""
+        """(joined ids, ids) of each pre-token of the text, or of slices of a long one, in turn; special tokens stand for
+        themselves."""
         seen, piece, at = self.seen, self.piece, 0
         marks = self.marks.finditer(text) if self.marks and any(m in text for m in self.special) else ()
         for mark in marks:
             for w in self.pattern.finditer(text, at, mark.start()):
                 w = w[0]
-                yield seen.get(w) or piece(w)
+                if known := seen.get(w):
+                    yield known
+                else:
+                    yield from piece(w)
             i, at = self.special[mark[0]], mark.end()
             yield str(i), (i,)
         for w in self.pattern.finditer(text, at):
             w = w[0]
-            yield seen.get(w) or piece(w)
+            if known := seen.get(w):
+                yield known
+            else:
+                yield from piece(w)
 
     def slices(self, text: str):
-        """encode() in lists of about SLICE pre-tokens."""
+        """encode() in lists of SLICE pre-tokens or slices."""
         tokens = self.encode(text)
         while part := list(islice(tokens, SLICE)):
             yield part
@@ -229,8 +237,8 @@ def transduce(docs: DataFrame, spec_path: str, outputs: list[str]) -> DataFrame:
 
     The vocabulary is read once on the driver and shipped (a few MB at most). Null and empty texts have no tokens and
     decode to the empty text; repeated rows stay; columns of docs with an output's name are replaced; an empty table
-    stays empty. A row is handled on its own, however long: beside the text itself and the outputs asked for, memory holds
-    SLICE pre-tokens, or the lookahead and a chunk of a long one. Vocabularies with features that this transducer lacks
+    stays empty. A row is handled on its own, however long: beside the text itself, its pre-token at hand and the outputs
+    asked for, memory holds SLICE pre-tokens or slices of a long one, and the lookahead and a chunk. Vocabularies with features that this transducer lacks
     are refused.
     """
     common.ready(docs.sparkSession)

@@ -96,13 +96,23 @@ def column(name: str):
 def with_row(df: DataFrame, name: str) -> DataFrame:
     """df with a column that tells its rows apart, the same in every evaluation: a row's file and its place there.
 
-    df is written first unless it is a plain read of files.
+    df is written first unless it is a plain read of files: anything else (a join, an exploded column, a union) may give
+    several rows of one row of a file.
     """
     place = lambda d: d.select("*", F.concat_ws("#", F.hex(F.xxhash64(F.col("_metadata.file_path"))), F.col("_metadata.row_index").cast("string")).alias(name))
+    return place(df if _plain_read(df) else save(df))
+
+
+def _plain_read(df: DataFrame) -> bool:
+    """Is df one read of files with nothing but filters and projections on it, and the read's own metadata at hand?"""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
     try:
-        return place(df)
+        df.select("_metadata.row_index")
     except AnalysisException:
-        return place(save(df))
+        return False
+    return plan.children().isEmpty() and "Relation" in plan.nodeName()
 
 
 def schema_with(fields, *made: tuple[str, str]) -> StructType:

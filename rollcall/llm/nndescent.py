@@ -9,7 +9,7 @@ nearest unopened candidates, joins their neighbours and keeps the best, until no
 
 What is bounded, whatever the table: DEGREE neighbours and REVERSE sampled reverse ones of a node in a round, BEST
 introductions of a member in a group, the LINKS nearest of those that keep a node as a neighbour in the search (its own
-neighbours are all searched), BEAM candidates of a query. A table of at most BEAM nodes is searched whole.
+neighbours are all searched), BEAM candidates of a query.
 """
 
 from __future__ import annotations
@@ -207,8 +207,7 @@ def _distance(batches):
 def search(queries: DataFrame, nodes: DataFrame, members: DataFrame, graph: DataFrame, top: int) -> DataFrame:
     """queries: (query_id, node, q) -> (query_id, rank, id, score): the `top` nearest members found, but not itself."""
     links = common.save(graph.select("node", "near").union(_back(graph.withColumn("new", F.lit(0)), ["dist", "near"], LINKS).select("node", "near")).distinct())
-    few = nodes.select("node").orderBy(F.xxhash64("node")).limit(BEAM + 1)  # a fixed bound
-    few = few if few.count() <= BEAM else few.limit(ENTRIES)
+    few = nodes.select("node").orderBy(F.xxhash64("node")).limit(ENTRIES)  # a fixed bound
     known = queries.select("query_id", "node").union(queries.select("query_id").crossJoin(F.broadcast(few))).distinct().withColumn("opened", F.lit(False))
     vector = queries.select("query_id", "q")
     best = Window.partitionBy("query_id").orderBy("score", "node")
@@ -240,16 +239,15 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vec: str = "em
     by Euclidean distance in double precision on the original components, ties to the smaller id.
 
     Rows whose id or vector is null, or whose vector is empty, zero or has null or non-finite components, take no part.
-    Vectors of another length than the table's most frequent one take no part either. Equal vectors share a node. Of
+    What a vector lacks of the table's longest one counts as zero. Equal vectors share a node. Of
     rows with one id the least vector counts, once. With fewer candidates all are returned. Other columns are ignored. An
     empty table gives no rows.
     """
     spark = vectors.sparkSession
     common.ready(spark, 2000)
     rows = usable(vectors, id_col, vec)
-    length = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    dim = length[0]["d"] if length else 1
-    rows = rows.filter(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"))
+    dim = rows.agg(F.max(F.size("v")).alias("d")).first()["d"] or 1
+    rows = rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(dim) - F.size("v")))).groupBy("id").agg(F.min("v").alias("v"))
     nodes, members, graph = build(rows, top + 1)
     asked = common.save(rows.filter(is_query(F.col("id"))).join(nodes, "v").select(F.col("id").alias("query_id"), "node", F.col("v").alias("q")))
     return search(asked, nodes, members, graph, top).withColumnRenamed("id", id_col)

@@ -132,14 +132,79 @@ def test_tiff_layouts(spark):
 
 
 def test_nearest_edges(spark):
-    rows = [(0, [1.0, 0.0]), (0, [0.5, 0.0]), (100, [3.0, 0.0]), (7, [3.0, 4.0]), (8, [1.0]), (None, [1.0, 1.0]), (9, [None, 1.0]), (10, [])]
+    rows = [(0, [1.0, 0.0]), (0, [0.5, 0.0]), (100, [3.0, 0.0]), (7, [3.0, 4.0]), (8, [1.0]), (11, [0.0]), (None, [1.0, 1.0]), (9, [None, 1.0]), (10, [])]
     got = nndescent.nearest(odd_columns(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), lambda i: i % 100 == 0).orderBy("query_id", "rank").collect()
-    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got] == [(0, 1, 100, 2.5), (0, 2, 7, (2.5 ** 2 + 16) ** 0.5), (100, 1, 0, 2.5), (100, 2, 7, 4.0)]
+    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got] == [
+        (0, 1, 8, 0.5), (0, 2, 100, 2.5), (0, 3, 7, (2.5 ** 2 + 16) ** 0.5), (100, 1, 8, 2.0), (100, 2, 0, 2.5), (100, 3, 7, 4.0)]
 
 
-def test_scratch_needs_a_shared_folder(spark):
-    assert common.scratch_root(spark)
-    assert zlib.crc32(b"") == 0
+def test_nearest_of_few_and_of_clusters_far_apart(spark):
+    """Tables of any size go the same way: graph, then search."""
+    rng = random.Random(8)
+    for sizes in ((3,), (60, 9, 20)):
+        rows = [(k, [100.0 * c + rng.random(), rng.random(), rng.random()]) for k, c in enumerate(c for c, n in enumerate(sizes) for _ in range(n))]
+        found = nndescent.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 10 == 0).collect()
+        got = {q: [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == q] for q, _ in rows if q % 10 == 0}
+        for q, ids in got.items():
+            want = sorted((sum((a - b) ** 2 for a, b in zip(v, rows[q][1], strict=True)), i) for i, v in rows if i != q)[:10]
+            assert ids == [i for _, i in want]
+
+
+def test_scratch_needs_a_shared_folder():
+    class Cluster:
+        """What scratch_root() asks of a session."""
+        sparkContext = property(lambda self: self)
+        master = "spark://far:7077"
+        conf = property(lambda self: self)
+
+        def getConf(self):
+            return {}
+
+        def get(self, name, default=None):
+            return default
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.scratch_root(Cluster())
+
+
+def test_rows_are_told_apart_whatever_they_come_from(spark, tmp_path):
+    """Exploded, joined and united rows: near duplicates go, and nothing else does."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    stage = dict(pipeline.STAGES)["minhash_near_dedup"]
+    texts = [prose(random.Random(90 + i), 60) for i in range(5)]
+    rows_of(spark, list(enumerate(texts))).write.parquet(str(tmp_path / "plain"))
+    plain = spark.read.parquet(str(tmp_path / "plain")).select("doc_id", "text")
+    kept = lambda df: sorted((r["doc_id"], r["text"]) for r in stage(spark, df, "").collect())
+    whole = sorted(enumerate(texts))
+    assert kept(plain) == whole and kept(plain.filter("doc_id >= 0")) == whole
+    assert kept(plain.unionByName(plain)) == whole
+    exploded = plain.groupBy().agg(F.collect_list(F.struct("doc_id", "text")).alias("l")).select(F.inline("l")).unionByName(plain.limit(1))
+    assert kept(exploded) == whole
+    three = spark.createDataFrame([(i,) for i in range(3)], "part int").repartition(1)
+    three.write.parquet(str(tmp_path / "three"))
+    parts = plain.join(spark.read.parquet(str(tmp_path / "three")), F.lit(1) == F.lit(1)).withColumn("text", F.when(F.col("part") == 0, F.col("text")).otherwise(F.concat_ws(" ", F.col("part").cast("string"), F.reverse("text"))))
+    parts = parts.select("doc_id", "text")
+    assert len(kept(parts)) == 10  # of each document's two reversed copies one goes
+    split = plain.select("doc_id", F.explode(F.array("text", F.reverse("text"))).alias("text"))
+    assert len(kept(split)) == 10
+
+
+def test_one_endless_word_takes_constant_memory(monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(bpe, "SLICE", 16)
+
+    with open(bpe.vocabulary(), encoding="utf-8") as f:
+        enc = bpe.Encoder(f.read())
+    peaks = []
+    for n in (200_000, 1_000_000):
+        text = "ab" * (n // 2)
+        tracemalloc.start()
+        total = sum(len(ids) for part in enc.slices(text) for _, ids in part)
+        peaks.append(tracemalloc.get_traced_memory()[1] - len(text))  # the pre-token at hand
+        tracemalloc.stop()
+        assert total > n // 10
+    assert peaks[1] < 1.3 * peaks[0] + 1e5, peaks
 
 
 def test_pipeline_stages(spark, tmp_path, shared_ids):
