@@ -10,6 +10,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .normalize import mapping
+
 # Reliabilities, independence groups, display names, owners and sensitivities.
 SOURCES = {
     "nppes": (0.85, "nppes", "NPI Registry"),
@@ -61,8 +63,7 @@ class Policy:
 
 
 def _lookup(table: dict, key: Column, default: Column) -> Column:
-    pairs = [F.lit(x) for kv in table.items() for x in kv]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), key), default)
+    return F.coalesce(F.try_element_at(mapping(table), key), default)
 
 
 DEFAULT = Policy()

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import apply, intake, quality, reconcile
@@ -25,10 +25,12 @@ from ..sources import adapters, records, tables
 from . import moment, new_run, providers_table, session, staged, staging, table
 
 
-def run(spark: SparkSession, sources: list[adapters.Source], out: str, now: Column, run_id: str | None = None, providers: DataFrame | None = None, least_score: int = 60) -> dict[str, DataFrame]:
+def run(spark: SparkSession, sources: list[adapters.Source], out: str, now: Column, run_id: str | None = None, providers: DataFrame | None = None, least_score: int = 60) -> dict[str, DataFrame | dict]:
+    """The tables as they are afterwards, and counts: applied, pending, skipped and conflicts, observed while writing."""
     run_id = run_id or new_run()
     directory = providers_table(spark, out)
     external, changes, errors, log = (table(spark, out, n) for n in ("external_data", "proposed_changes", "source_errors", "providers_audit_log"))
+    counts: dict[str, int] = {}
     if not directory.has_run(run_id):
         with staging(spark, out) as folder:
             if not directory.exists():
@@ -48,13 +50,17 @@ def run(spark: SparkSession, sources: list[adapters.Source], out: str, now: Colu
             errors.replace({run_id: pulled.errors.withColumns({"run_id": F.lit(run_id), "timestamp": now})})
             found = reconcile.proposed(reconcile.score(reconcile.candidates(stored, known)))
             # Written once: status, audit, queue and merge all start from the same decisions.
-            routed = staged(apply.route(found), folder, "routed")
+            seen = Observation()
+            status = lambda s: F.count_if(F.col("status") == s)
+            routed = staged(apply.route(found).observe(seen, status("applied").alias("applied"), status("pending_review").alias("pending"), status("new").alias("skipped"),
+                                                       F.count_if(F.col("reason").contains("conflict")).alias("conflicts")), folder, "routed")
+            counts = seen.get
             changes.replace({run_id: routed.withColumns({"created_at": now, "run_id": F.lit(run_id)})})
             log.replace({run_id: apply.audit(routed).withColumns({"run_id": F.lit(run_id), "timestamp": now})})
             # Last: until then the run can be repeated.
             directory.rewrite(routed.filter("status = 'applied'"), lambda rows: apply.merge(rows, routed, now), run_id)
             records.write_json(apply.review_queue(changes.read(), directory.read()), f"{out}/review_queue")
-    return {"external_data": external.read(), "proposed_changes": changes.read(), "source_errors": errors.read(), "providers": directory.read(), "providers_audit_log": log.read()}
+    return {"external_data": external.read(), "proposed_changes": changes.read(), "source_errors": errors.read(), "providers": directory.read(), "providers_audit_log": log.read(), "counts": counts}
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -70,7 +76,7 @@ def main(argv: list[str] | None = None) -> None:
     run_id = a.run or new_run()
     providers = tables.read_any(spark, a.providers) if a.providers else None
     done = run(spark, [adapters.parse(s) for s in a.source], a.out, moment(a.as_of), run_id, providers, a.least_score)
-    apply.counts(done["proposed_changes"].filter(F.col("run_id") == run_id)).show()
+    print(done["counts"] or "this run has already ended")
     done["source_errors"].filter(F.col("run_id") == run_id).groupBy("source_name", "error").count().show()
 
 

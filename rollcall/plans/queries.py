@@ -37,6 +37,13 @@ def proposed_changes(s: SparkSession, d: str) -> DataFrame:
     return R.proposed(R.score(cands(s, d)))
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """df written once, for all that start from it."""
+    path = scratch.folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _flat(a: str) -> F.Column:
     return F.array_join(a, ",")
 
@@ -137,7 +144,7 @@ def intake_quarantine(s, d):
 
 
 def intake_audit(s, d):
-    return I.audit(I.gate(recipe.intake(s, d))).groupBy("action", "detail").agg(F.count(F.lit(1)).alias("n"))
+    return I.audit(_kept(I.gate(recipe.intake(s, d)))).groupBy("action", "detail").agg(F.count(F.lit(1)).alias("n"))
 
 
 def intake_counters(s, d):
@@ -149,7 +156,7 @@ def insert_or_ignore(s, d):
 
 
 def intake_totals(s, d):
-    g = I.gate(recipe.intake(s, d))
+    g = _kept(I.gate(recipe.intake(s, d)))
     return I.totals(providers=I.accepted(g), providers_quarantine=I.quarantine(g, ["ordinal"]), providers_audit_log=I.audit(g))
 
 
@@ -296,12 +303,17 @@ def stale_records(s, d):
 
 
 def health_report(s, d):
-    return D.counts(D.report(providers(s, d), recipe.external(s, d), as_of()))
+    return D.counts(_report(s, d))
+
+
+def _report(s, d):
+    keys = _kept(D.keyed(providers(s, d)))
+    return D.report(keys, recipe.external(s, d), as_of(), keys)
 
 
 def health_leading(s, d):
     """The first five rows of each detector."""
-    r = D.report(providers(s, d), recipe.external(s, d), as_of())
+    r = _report(s, d)
     text = lambda *x: F.concat_ws(" | ", *x)
     return D.leading({
         "duplicates": (r["duplicates"], [F.desc("n_records"), c("least"), c("reason")], text("name", "reason", c("n_records").cast("string"))),
@@ -312,8 +324,9 @@ def health_leading(s, d):
 
 
 def run_summary(s, d):
-    p, x = providers(s, d), recipe.external(s, d)
-    return E.run_summary(p, intake_quarantine(s, d), A.route(R.proposed(R.score(R.candidates(p, x)))), x, D.duplicates(D.keyed(p), lists=False), D.stale(p, as_of()))
+    p, x = _kept(D.keyed(providers(s, d))), recipe.external(s, d)
+    routed = _kept(A.route(R.proposed(R.score(R.candidates(p, x)))))
+    return E.run_summary(p, intake_quarantine(s, d), routed, x, D.duplicates(p, lists=False), D.stale(p, as_of()))
 
 
 def pull_quality_checks(s, d):

@@ -171,6 +171,7 @@ def test_a_run_that_is_killed_can_be_repeated(spark, tmp_path, monkeypatch):
     assert {r["phone"] for r in read(spark, f"{out}/providers").collect()} == {"(720) 555-0187"}  # the old version
     done = go()
     assert done["proposed_changes"].count() == 1 and done["providers_audit_log"].count() == 1
+    assert done["counts"] == {"applied": 1, "pending": 0, "skipped": 0, "conflicts": 0} and go()["counts"] == {}
     assert done["providers"].filter("phone = '(719) 555-0111'").count() == 1 and done["providers"].count() == 4
     assert not [p for p in (tmp_path / "out").iterdir() if p.name.startswith("_staging")]
 
