@@ -13,7 +13,7 @@ import argparse
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import intake, order
+from ..operators import intake, order, reconcile
 from ..sources import records, tables
 from . import moment, new_run, providers_table, session, staged, staging, table
 
@@ -48,7 +48,7 @@ def run(spark: SparkSession, raw: DataFrame, out: str, now: Column, run_id: str
             log.replace({run_id: intake.audit(judged, stored=first).withColumns(stamp)})
             new = first.select(*intake.PROVIDER, now.alias("created_at"), now.alias("updated_at"))
             records.write_csv(new, f"{out}/providers_csv")
-            directory.add(new, run_id)  # last: until then the run can be repeated
+            directory.add(reconcile.with_digests(new), run_id)  # last: until then the run can be repeated
     return {"providers": directory.read(), "providers_quarantine": bad.read(), "providers_audit_log": log.read(), "counts": counts}
 
 

@@ -36,8 +36,9 @@ def run(spark: SparkSession, sources: list[adapters.Source], out: str, now: Colu
             if not directory.exists():
                 if providers is None:
                     raise ValueError("no provider was loaded")
-                directory.add(intake.require_rows(providers))
+                directory.add(reconcile.with_digests(intake.require_rows(providers)))
             stored = intake.require_rows(directory.colocated())
+            stored = stored if "digests" in stored.columns else reconcile.with_digests(stored)
             pulled = adapters.pull(spark, sources, folder, now)
             verdict = quality.verdict(quality.checks(pulled.rows)).first()
             if verdict["score"] < least_score:
@@ -48,7 +49,12 @@ def run(spark: SparkSession, sources: list[adapters.Source], out: str, now: Colu
             known = external.read(*[k for k in external.manifest()["parts"] if k not in lost]) if set(external.manifest()["parts"]) - lost else pulled.rows
             table(spark, out, "pull_sketches").replace({run_id: quality.sketches(pulled.rows, "source_name").withColumns({"run_id": F.lit(run_id), "timestamp": now})})
             errors.replace({run_id: pulled.errors.withColumns({"run_id": F.lit(run_id), "timestamp": now})})
-            found = reconcile.proposed(reconcile.score(reconcile.candidates(stored, known)))
+            # Of both sides only digests are read, and values of rows that differ: of all rows, if that is most of them.
+            some = Observation()
+            rows = staged(reconcile.differing(stored, known).observe(some, F.count(F.lit(1)).alias("n")), folder, "differing")
+            most = 2 * some.get["n"] > known.count()
+            found = reconcile.candidates(stored, known) if most else reconcile.early_candidates(stored, known, found=rows)
+            found = reconcile.proposed(reconcile.score(found))
             # Written once: status, audit, queue and merge all start from the same decisions.
             seen = Observation()
             status = lambda s: F.count_if(F.col("status") == s)
@@ -58,7 +64,7 @@ def run(spark: SparkSession, sources: list[adapters.Source], out: str, now: Colu
             changes.replace({run_id: routed.withColumns({"created_at": now, "run_id": F.lit(run_id)})})
             log.replace({run_id: apply.audit(routed).withColumns({"run_id": F.lit(run_id), "timestamp": now})})
             # Last: until then the run can be repeated.
-            directory.rewrite(routed.filter("status = 'applied'"), lambda rows: apply.merge(rows, routed, now), run_id)
+            directory.rewrite(routed.filter("status = 'applied'"), lambda rows: reconcile.with_digests(apply.merge(rows.drop("digests"), routed, now)), run_id)
             records.write_json(apply.review_queue(changes.read(), directory.read()), f"{out}/review_queue")
     return {"external_data": external.read(), "proposed_changes": changes.read(), "source_errors": errors.read(), "providers": directory.read(), "providers_audit_log": log.read(), "counts": counts}
 

@@ -33,6 +33,56 @@ RULES = {
 }
 
 
+def _plain(field: str, c: Column) -> Column:
+    """What two values of a field agree by."""
+    return F.lower(N.strip(N.compare_form(field, c.cast("string"))))
+
+
+def with_digests(providers: DataFrame) -> DataFrame:
+    """Directory rows with digests: 64 bits of each field of RECORD as it is compared. To be kept with the directory."""
+    return N.derive(providers, {"digests": F.array(*[F.xxhash64(F.lit(f), _plain(f, F.col(f))) for f in RECORD])})
+
+
+def with_digest(external: DataFrame) -> DataFrame:
+    """Source rows with reported (a bit a field of RECORD that says something), digest (of what they say but for the name,
+    exclusive or) and name_digest. To be kept with the sources' rows, so that a run needn't read their values again."""
+    said = {f: F.when(F.coalesce(N.strip(F.col(f)), F.lit("")) != "", _plain(f, F.col(f))) if f in external.columns else F.lit(None).cast("string") for f in RECORD}
+    marks = F.array(*[F.when(F.col(f"_said.{f}") != "", F.xxhash64(F.lit(f), F.col(f"_said.{f}"))) for f in RECORD])
+    out = N.derive(external, {"_said": F.struct(*[c.alias(f) for f, c in said.items()])}).withColumn("_marks", marks)
+    bits = sum((F.when(F.get("_marks", F.lit(i)).isNotNull(), 1 << i).otherwise(0) for i in range(len(RECORD))), F.lit(0))
+    both = F.aggregate(F.slice("_marks", 2, len(RECORD) - 1), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.coalesce(x, F.lit(0))))
+    return out.withColumns({"reported": bits, "digest": both, "name_digest": F.get("_marks", F.lit(0))}).drop("_said", "_marks")
+
+
+def differing(providers: DataFrame, external: DataFrame, fields: list[str] = COMPARE) -> DataFrame:
+    """npi, source_name, ordinal of the source rows that say anything else than the directory; rows of identifiers that the
+    directory doesn't hold aren't among them.
+
+    providers: with digests; external: with reported, digest and name_digest. Only these narrow columns are read and
+    shuffled. A row agrees if its digest is that of the directory's digests of the fields it reports; a row that doesn't
+    agree is taken for one that does with a probability of 2^-64.
+    """
+    held = providers.select("npi", "digests")
+    told = external.select("npi", "source_name", "ordinal", "reported", "digest", "name_digest")
+    theirs = F.lit(0).cast("long")
+    for i, f in enumerate(RECORD):
+        if f != "name":
+            theirs = theirs.bitwiseXOR(F.when(F.col("reported").bitwiseAND(F.lit(1 << i)) != 0, F.get("digests", F.lit(i))).otherwise(0))
+    other = F.col("digest") != theirs
+    if "name" in fields:
+        other = other | F.coalesce(F.col("name_digest") != F.get("digests", F.lit(0)), F.lit(False))
+    return told.join(held, "npi").filter(other).select("npi", "source_name", "ordinal")
+
+
+def early_candidates(providers: DataFrame, external: DataFrame, fields: list[str] = COMPARE, found: DataFrame | None = None) -> DataFrame:
+    """candidates(), of rows that differ alone: those that agree leave before any value is shuffled.
+
+    providers and external as in differing(); found: its rows, if they are at hand. Pays where most rows agree.
+    """
+    found = differing(providers, external, fields) if found is None else found
+    return candidates(providers, external.join(found, ["npi", "source_name", "ordinal"], "left_semi"), fields)
+
+
 def candidates(providers: DataFrame, external: DataFrame, fields: list[str] = COMPARE) -> DataFrame:
     """npi, field, source_name, ordinal, value (compare form), display, old_value: what differs from the directory.
 

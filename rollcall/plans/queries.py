@@ -223,6 +223,23 @@ def _pulled(s, d) -> adapters.Pull:
     ], scratch.folder(s), as_of())
 
 
+def _digested(s, d):
+    return R.with_digests(providers(s, d)), R.with_digest(recipe.external(s, d))
+
+
+def differing_reports(s, d):
+    """By source: how many rows there are, and how many say anything else than the directory."""
+    p, x = _digested(s, d)
+    other = R.differing(p, x, R.RECORD).groupBy("source_name").agg(F.count(F.lit(1)).alias("differing"))
+    return x.groupBy("source_name").agg(F.count(F.lit(1)).alias("n")).join(other, "source_name", "left").select("source_name", "n", F.coalesce("differing", F.lit(0)).alias("differing"))
+
+
+def early_changes(s, d):
+    """proposed_changes from the rows alone whose digests differ."""
+    p, x = map(_kept, _digested(s, d))
+    return R.proposed(R.score(R.early_candidates(p, x)))
+
+
 def isolated_sources(s, d):
     p = _pulled(s, d)
     return _flat_changes(R.recommend(providers(s, d), p.rows, failed=p.failed))
@@ -395,7 +412,7 @@ def run_cost(s, d):
 NAMES = ["proposed_changes", "npi_validation", "luhn_check_digit", "normalize_name", "normalize_phone", "normalize_state", "normalize_specialty", "normalize_address",
          "clean_record", "field_compare_display", "nested_record_flatten", "cms_rows", "extraction_json", "page_field_extract", "source_union", "intake_accepted",
          "intake_quarantine", "intake_audit", "intake_counters", "insert_or_ignore", "table_constraint_violations", "change_candidates", "independent_support",
-         "record_recommendations", "isolated_sources", "source_errors", "source_ordinals", "requested_missing", "change_summary", "unchanged_records", "apply_directory", "apply_status", "apply_counts", "apply_audit",
+         "record_recommendations", "differing_reports", "early_changes", "isolated_sources", "source_errors", "source_ordinals", "requested_missing", "change_summary", "unchanged_records", "apply_directory", "apply_status", "apply_counts", "apply_audit",
          "review_queue", "review_tally", "duplicate_providers", "shared_locations", "moved_providers", "inactive_providers", "stale_records", "health_report", "health_leading", "run_summary", "intake_totals", "first_storable", "constraint_quarantine", "verify_requested",
          "pull_quality_checks", "pull_quality_score", "pull_distinct", "validity_confusion", "validity_by_error_type", "validity_misclassified", "decision_eval", "decision_metrics", "run_cost"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: globals()[n] for n in NAMES}

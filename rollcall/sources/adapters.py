@@ -16,7 +16,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import order
+from ..operators import order, reconcile
 from . import records, tables
 
 EXTERNAL = ["npi", "source_name", "ordinal", *records.FIELDS]
@@ -62,7 +62,7 @@ class Source:
 
 @dataclass(frozen=True)
 class Pull:
-    """rows: EXTERNAL and fetched_at; errors: source_name, error, record; failed: `name(error: KIND)` of the sources that gave
+    """rows: EXTERNAL, fetched_at and reconcile.with_digest()'s columns; errors: source_name, error, record; failed: `name(error: KIND)` of the sources that gave
     nothing because of an error; read: names of the others."""
 
     rows: DataFrame
@@ -100,7 +100,7 @@ def pull(spark: SparkSession, sources: list[Source], folder: str, now: Column) -
         df, _ = staged
         try:
             good = df.filter(F.col(BAD).isNull()).withColumn("ordinal", F.col("_place") + start).drop(BAD, "_file", "_start", "_row", "_place")
-            rows = _rows(sources[i].shape(good) if sources[i].shape else good, sources[i].name, now)
+            rows = reconcile.with_digest(_rows(sources[i].shape(good) if sources[i].shape else good, sources[i].name, now))
             rows.write.parquet(f"{folder}/rows-{i}")
             return spark.read.schema(rows.schema).parquet(f"{folder}/rows-{i}")
         except (PySparkException, Py4JJavaError) as e:
@@ -114,7 +114,7 @@ def pull(spark: SparkSession, sources: list[Source], folder: str, now: Column) -
             n += 0 if isinstance(s, Exception) else s[1]
         shaped = list(pool.map(lambda i: staged[i] if isinstance(staged[i], Exception) else shape(i, staged[i], starts[i]), range(len(sources))))
     none = ", ".join(f"{c} {'long' if c == 'ordinal' else 'int' if c == 'is_active' else 'string'}" for c in EXTERNAL)
-    rows, wrong, failed, read = [_rows(spark.createDataFrame([], none), "", now).filter("false")], [], [], []
+    rows, wrong, failed, read = [reconcile.with_digest(_rows(spark.createDataFrame([], none), "", now)).filter("false")], [], [], []
     said = "source_name string, error string, record string"
     for source, records_, result in zip(sources, staged, shaped, strict=True):
         if isinstance(result, Exception):

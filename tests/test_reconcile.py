@@ -85,6 +85,56 @@ def test_what_is_no_change(spark):
     assert [(r["npi"], r["value"], r["old_value"]) for r in got] == [("fill", "7205550187", "")]
 
 
+def _shuffled_bytes(spark, make):
+    """What an action writes to shuffles, and its rows."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def total():
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = total()
+    rows = make().collect()
+    return total() - before, sorted(rows)
+
+
+def test_rows_that_agree_leave_early(spark):
+    """The same candidates, and the fewer rows differ, the fewer bytes are shuffled."""
+    n, cut = 4000, {}
+    keys = [f"k{i:05}" for i in range(n)]
+    stored = reconcile.with_digests(directory(spark, keys)).persist()
+    spell = [STORED["street"], "77 QUARRY LN", " 77 Quarry Ln. "]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for every in (2, 200):
+            said = [(i, k, "cms", STORED["name"], ["3035550142", "", "+1 (303) 555-0142"][i % 3], spell[i % 3], "Golden" if i % every == 0 else "boulder", "Colorado", "80301-77", "x" * 200 if i % every == 1 else None, "1")
+                    for i, k in enumerate(keys)]
+            ext = reconcile.with_digest(spark.createDataFrame(said, "ordinal long, npi string, source_name string, name string, phone string, street string, city string, state string, zip string, specialty string, is_active string")).persist()
+            assert ext.count() == n and stored.count() == n
+            whole, want = _shuffled_bytes(spark, lambda ext=ext: reconcile.candidates(stored, ext, reconcile.RECORD))
+            early, got = _shuffled_bytes(spark, lambda ext=ext: reconcile.early_candidates(stored, ext, reconcile.RECORD, reconcile.differing(stored, ext, reconcile.RECORD)))
+            narrow, found = _shuffled_bytes(spark, lambda ext=ext: reconcile.differing(stored, ext, reconcile.RECORD))
+            assert got == want and {r["ordinal"] for r in found} == {r["ordinal"] for r in want} and len(found) == (n if every == 2 else n // 100)
+            cut[every] = (narrow, whole)
+            ext.unpersist()
+        assert cut[200][0] < 0.75 * cut[200][1]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        stored.unpersist()
+
+
+def test_digests_of_blank_unusable_and_missing_values(spark):
+    stored = reconcile.with_digests(directory(spark, "abcdef").withColumn("phone", F.when(F.col("npi") == "e", "").otherwise(F.col("phone"))))
+    said = [("a", "cms", "phone", "  "), ("b", "cms", "phone", "555"), ("c", "cms", "name", "INES OKAFOR, MD"), ("d", "cms", "name", "Ines Lund"), ("e", "cms", "phone", "7205550187"), ("f", "cms", "is_active", "0"), ("gone", "cms", "city", "Vail")]
+    ext = reconcile.with_digest(reports(spark, said))
+    ids = lambda fields: sorted(r["npi"] for r in reconcile.differing(stored, ext, fields).collect())
+    assert ids(reconcile.RECORD) == ["d", "e", "f"] and ids(reconcile.COMPARE) == ["e", "f"]
+    for fields in (reconcile.RECORD, reconcile.COMPARE):
+        assert sorted(reconcile.early_candidates(stored, ext, fields).collect()) == sorted(reconcile.candidates(stored, ext, fields).collect())
+
+
 def test_recommend_verify_and_apply(spark):
     providers = directory(spark, ["auto", "mixed", "same", "silent"])
     said = [("auto", "clinic_site", "phone", OTHER["phone"]), ("mixed", "clinic_site", "phone", OTHER["phone"]), ("mixed", "cms", "city", "Golden"), ("same", "cms", "city", "Boulder")]
