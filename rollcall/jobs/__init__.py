@@ -13,7 +13,9 @@ from ..sources import tables
 
 
 def session(name: str) -> SparkSession:
-    return SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    # Plans are built from many small calls; recording each one's place in the source takes longer than the call.
+    return (SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC")
+            .config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate())
 
 
 def moment(text: str | None) -> Column:

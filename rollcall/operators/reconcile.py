@@ -90,13 +90,14 @@ def candidates(providers: DataFrame, external: DataFrame, fields: list[str] = CO
     """
     text = lambda f: F.col(f).cast("string")
     plain = lambda c: F.lower(N.strip(c))
-    stored = N.derive(providers.select("npi", *fields), {f"_{f}": F.struct(text(f).alias("raw"), plain(N.compare_form(f, text(f))).alias("cmp")) for f in fields}).select(
+    forms = {f: N.compare_form(f, text(f)) for f in fields}  # by name, so the same for both sides
+    stored = N.derive(providers.select("npi", *fields), {f"_{f}": F.struct(text(f).alias("raw"), plain(forms[f]).alias("cmp")) for f in fields}).select(
         "npi", *[f"_{f}" for f in fields])
     both = external.select("npi", "source_name", "ordinal", *fields).join(stored, "npi")
 
     def said(f):
         raw, old = text(f), F.col(f"_{f}")
-        value = F.when((N.strip(raw) != "") & ~raw.eqNullSafe(old["raw"]), N.compare_form(f, raw))
+        value = F.when((N.strip(raw) != "") & ~raw.eqNullSafe(old["raw"]), forms[f])
         return F.struct(F.lit(f).alias("field"), raw.alias("raw"), value.alias("value"), old["raw"].alias("old_value"), old["cmp"].alias("cmp"))
 
     rows = both.select("npi", "source_name", "ordinal", F.inline(F.array(*[said(f) for f in fields]))).filter("value is not null")
