@@ -68,7 +68,7 @@ def differing(providers: DataFrame, external: DataFrame, fields: list[str] = COM
     for i, f in enumerate(RECORD):
         if f != "name":
             theirs = theirs.bitwiseXOR(F.when(F.col("reported").bitwiseAND(F.lit(1 << i)) != 0, F.get("digests", F.lit(i))).otherwise(0))
-    other = F.col("digest") != theirs
+    other = F.coalesce(F.col("digest") != theirs, F.lit(True))  # rows without digests are looked at whole
     if "name" in fields:
         other = other | F.coalesce(F.col("name_digest") != F.get("digests", F.lit(0)), F.lit(False))
     return told.join(held, "npi").filter(other).select("npi", "source_name", "ordinal")

@@ -131,6 +131,8 @@ def test_digests_of_blank_unusable_and_missing_values(spark):
     ext = reconcile.with_digest(reports(spark, said))
     ids = lambda fields: sorted(r["npi"] for r in reconcile.differing(stored, ext, fields).collect())
     assert ids(reconcile.RECORD) == ["d", "e", "f"] and ids(reconcile.COMPARE) == ["e", "f"]
+    old = ext.withColumns({c: F.lit(None).cast("long") for c in ("reported", "digest", "name_digest")})
+    assert reconcile.differing(stored, old).count() == 6  # nothing is known of any of them
     for fields in (reconcile.RECORD, reconcile.COMPARE):
         assert sorted(reconcile.early_candidates(stored, ext, fields).collect()) == sorted(reconcile.candidates(stored, ext, fields).collect())
 
