@@ -28,27 +28,26 @@ QUERIES = {
 _OP1 = r"""
 WITH RECURSIVE before AS (SELECT conv_id, turn, min(text) AS text FROM conversations WHERE text IS NOT NULL GROUP BY conv_id, turn),
 asked AS (
-  SELECT c.conv_id, c.turn, c.role, CASE WHEN p.text IS NULL OR (c.conv_id + c.turn) % 4 = 0 THEN c.text ELSE concat(
-    CASE WHEN (c.conv_id + c.turn) % 4 = 2 AND g.text IS NOT NULL THEN concat('> > ', replace(g.text, chr(10), concat(chr(10), '> > ')), chr(10)) ELSE '' END,
-    '> ', replace(CASE WHEN (c.conv_id + c.turn) % 4 = 3 THEN split_part(p.text, chr(10), 1) ELSE p.text END, chr(10), concat(chr(10), '> ')),
+  SELECT c.conv_id, c.turn, c.role, CASE WHEN p.text IS NULL OR (c.conv_id + c.turn) % 4 = 0 THEN c.text ELSE concat('On turn ', c.turn - 1, ' they wrote:', chr(10),
+    CASE WHEN (c.conv_id + c.turn) % 4 = 2 AND g.text IS NOT NULL THEN concat('> On turn ', c.turn - 2, ' they wrote:', chr(10), '> > ', replace(g.text, chr(10), concat(chr(10), '> > ')), chr(10)) ELSE '' END,
+    '> ', replace(CASE WHEN (c.conv_id + c.turn) % 4 = 3 THEN regexp_replace(split_part(p.text, chr(10), 1), '^[^ ]+ ', '') ELSE p.text END, chr(10), concat(chr(10), '> ')),
     chr(10), chr(10), coalesce(c.text, '')) END AS text
   FROM conversations c LEFT JOIN before p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1 LEFT JOIN before g ON g.conv_id = c.conv_id AND g.turn = c.turn - 2),
 numbered AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn, role, text) AS m FROM asked),
 split AS (SELECT m, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM numbered),
 marked AS (SELECT m, k, line, regexp_extract(line, '^([ \t]*>)*') AS mark FROM split),
-deep AS (SELECT m, k, length(mark) - length(replace(mark, '>', '')) AS depth, CASE WHEN mark = '' THEN line ELSE trim(substr(line, length(mark) + 1)) END AS rest FROM marked),
+lined AS (SELECT m, k, length(mark) - length(replace(mark, '>', '')) AS depth, CASE WHEN mark = '' THEN line ELSE trim(substr(line, length(mark) + 1)) END AS rest FROM marked),
+shown AS (SELECT m, k, depth, trim(rest) AS rest, lag(k) OVER w AS before, lag(depth) OVER w AS d0, lag(trim(rest)) OVER w AS r0, lead(depth) OVER w AS d2 FROM lined WHERE trim(rest) <> '' WINDOW w AS (PARTITION BY m ORDER BY k)),
+whose AS (SELECT m, k, before, regexp_full_match(rest, 'On\b.*\bwrote:') AS alone, depth = d0 AND regexp_full_match(concat(r0, ' ', rest), 'On\b.*\bwrote:') AS two FROM shown WHERE d2 > depth),
+gone AS (SELECT m, k FROM whose WHERE alone OR two UNION SELECT m, before FROM whose WHERE NOT alone AND two),
+deep AS (SELECT * FROM lined ANTI JOIN gone USING (m, k)),
 cut AS (SELECT *, CASE WHEN depth IS DISTINCT FROM lag(depth) OVER (PARTITION BY m ORDER BY k) OR (depth > 0 AND rest = '') THEN 1 ELSE 0 END AS brk FROM deep),
 runs AS (SELECT *, sum(brk) OVER (PARTITION BY m ORDER BY k) AS run FROM cut),
 bodies AS (SELECT m, trim(coalesce(string_agg(rest, chr(10) ORDER BY k) FILTER (depth = 0), ''), concat(' ', chr(9), chr(10), chr(13))) AS body FROM deep GROUP BY m),
 quoted AS (SELECT m, depth AS level, array_to_string(regexp_extract_all(lower(string_agg(rest, chr(10) ORDER BY k)), '[\p{L}\p{N}_]+'), ' ') AS norm FROM runs WHERE depth > 0 AND rest <> '' GROUP BY m, run, depth),
 said AS (SELECT m, norm, level FROM quoted WHERE norm <> ''),
-own AS (SELECT m, list(norm ORDER BY k) AS norms FROM (
-  SELECT m, k, array_to_string(regexp_extract_all(lower(line), '[\p{L}\p{N}_]+'), ' ') AS norm FROM (
-    SELECT m, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS k FROM bodies)) WHERE norm <> '' GROUP BY m),
-starts AS (SELECT m, norms, unnest(range(1, len(norms) + 1)) AS i FROM own),
-pieces AS (SELECT m, array_to_string(norms[i:j], ' ') AS norm FROM (SELECT m, norms, i, unnest(range(i, len(norms) + 1)) AS j FROM starts)),
-wrote AS (SELECT conv_id, norm, min(turn) AS original FROM pieces JOIN numbered USING (m) WHERE turn IS NOT NULL GROUP BY conv_id, norm),
-linked AS (SELECT DISTINCT n.conv_id, n.turn, s.level, s.norm, w.original FROM said s JOIN numbered n USING (m) JOIN wrote w ON w.conv_id = n.conv_id AND w.norm = s.norm WHERE w.original < n.turn),
+own AS (SELECT conv_id, turn, concat(' ', array_to_string(regexp_extract_all(lower(body), '[\p{L}\p{N}_]+'), ' '), ' ') AS words FROM bodies JOIN numbered USING (m) WHERE turn IS NOT NULL AND body <> ''),
+linked AS (SELECT n.conv_id, n.turn, s.level, s.norm, min(w.turn) AS original FROM said s JOIN numbered n USING (m) JOIN own w ON w.conv_id = n.conv_id AND w.turn < n.turn AND contains(w.words, concat(' ', s.norm, ' ')) GROUP BY ALL),
 parents AS (SELECT conv_id, turn, arg_min(original, level) AS parent, cast(sum(k) AS BIGINT) AS n_linked FROM (SELECT conv_id, turn, level, max(original) AS original, count(*) AS k FROM linked GROUP BY ALL) GROUP BY conv_id, turn),
 up AS (SELECT conv_id, turn, parent AS root, cast(1 AS BIGINT) AS depth FROM parents UNION ALL SELECT u.conv_id, u.turn, p.parent, u.depth + 1 FROM up u JOIN parents p ON p.conv_id = u.conv_id AND p.turn = u.root),
 roots AS (SELECT conv_id, turn, arg_max(root, depth) AS root, max(depth) AS depth FROM up GROUP BY conv_id, turn),

@@ -5,10 +5,11 @@ import random
 import struct
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rollcall.llm import bpe, common, langid, minhash, nndescent, packing, sharding, suffixes, tiff, toxicity
+from rollcall.llm import bpe, common, langid, minhash, nndescent, packing, quotes, sharding, suffixes, tiff, toxicity
 from tests.llm.test_llm import prose
 
 ODD = ["letters", "_letters", "copy", "lo", "hi", "score", "predicted", "held_out", "lang_pred", "tid", "_row", "component", "kept", "n_removed", "bin", "piece", "rank", "a b"]
@@ -242,3 +243,51 @@ def test_pipeline_stages(spark, tmp_path, shared_ids):
     assert top + 2 not in {d for d, _ in cut} and (top + 1, len(own[0])) in cut and passage not in "".join(t or "" for (d, _), t in cut.items() if d == top + 5)
     packed = stages["best_fit_packing"](spark, rows_of(spark, given), sf).collect()
     assert sorted(r["n_tokens"] for r in packed) == sorted(0 if t is None else len(t.encode()) + 1 for _, t in given)
+
+
+MAIL = "conv_id long, turn long, role string, text string"
+
+
+def test_quotes_of_a_sentence_and_attribution(spark):
+    first = "The meeting is on Monday. Please bring the budget figures. We start at nine."
+    rows = [(1, 0, "a", first), (1, 1, "b", "On Mon, Ann wrote:\n\n> Please bring the budget figures.\n\nWill do."),
+            (1, 2, "a", "Good.\n\nOn Tue, 3 Feb, Bob\n<b@x> wrote:\n> On Mon, Ann wrote:\n> > We start\n> > at nine.\n> Will do.\n\nSee you."),
+            (1, 3, "b", "> lease bring the budget figures\nHalf a word."), (1, 4, "b", "On Wed, nobody wrote:\nNo quote below."),
+            (1, 5, "a", "> monday\nOne word."), (1, 6, "a", ">\n> \n"), (1, 7, "c", "On Thu, Al wrote:\n> " + first + "\n> " + first)]
+    got = {r["turn"]: r for r in quotes.link(rows_of(spark, rows, MAIL)).collect()}
+    assert [got[t]["body"] for t in (1, 2, 4, 6)] == ["Will do.", "Good.\n\n\nSee you.", "On Wed, nobody wrote:\nNo quote below.", ""]
+    assert [(got[t]["n_quotes"], got[t]["n_linked"], got[t]["parent_turn"]) for t in range(1, 8)] == [
+        (1, 1, 0), (2, 2, 1), (1, 0, None), (0, 0, None), (1, 1, 0), (0, 0, None), (1, 0, None)]
+    assert quotes.parse("On Mon, Ann wrote:\n> x", attribution="")[0] == "On Mon, Ann wrote:"
+
+
+def test_quotes_against_every_stretch(spark):
+    """Few words, so that stretches repeat: a passage is linked to the first turn before that holds its words in a row."""
+    rng = np.random.default_rng(5)
+    said, rows = {}, []
+    for turn in range(400):
+        own = " ".join(rng.choice(["a", "b", "Ab", "c\u00e9", "d,"], rng.integers(1, 60)))
+        source = quotes.normal(said[int(rng.integers(0, turn))]).split() if turn else ["a"]
+        at = int(rng.integers(0, len(source)))
+        part = source[at: at + int(rng.integers(1, 40))] + (["zz"] if rng.random() < 0.1 else [])
+        rows.append((7, turn, "u", "> " + " ".join(part).upper() + "\n" + own))
+        said[turn] = own
+    got = {r["turn"]: r["parent_turn"] for r in quotes.link(rows_of(spark, rows, MAIL)).collect()}
+    norm = {t: f" {quotes.normal(x)} " for t, x in said.items()}
+    for _, turn, _, text in rows:
+        want = f" {quotes.normal(quotes.parse(text)[1][0][1])} "
+        assert got[turn] == next((t for t in range(turn) if want in norm[t]), None), (turn, text)
+
+
+def test_quotes_in_one_giant_conversation(spark):
+    """20,000 messages of one conversation, each quoting part of the one before, and one of a million words."""
+    n = 20000
+    text = lambda t: F.concat(F.lit("word "), t.cast("string"), F.lit(" of it. Said "), t.cast("string"), F.lit(" times, no more."))
+    rows = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("u").alias("role"),
+                                 F.concat(F.lit("> said "), (F.col("id") - 1).cast("string"), F.lit(" times\n"), text(F.col("id"))).alias("text"))
+    long = " ".join(f"w{i % 7919}" for i in range(1000000))
+    more = rows_of(spark, [(1, n, "u", long), (1, n + 1, "u", "> " + long[1000:2000000].split(" ", 1)[1].rsplit(" ", 1)[0] + "\nyes")], MAIL)
+    got = quotes.link(rows.union(more))
+    bad = got.filter((F.col("turn") > 0) & (F.col("turn") < n) & ~F.col("parent_turn").eqNullSafe(F.col("turn") - 1)).count()
+    assert bad == 0 and got.filter(f"turn = {n + 1} and parent_turn = {n}").count() == 1
+    assert got.agg(F.max("depth")).first()[0] == n - 1

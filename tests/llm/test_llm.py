@@ -289,11 +289,11 @@ def test_quotes(spark):
 def test_quotes_of_several_lines(spark):
     first = "A one two\nA three four\nA five\n\nB one\nB two three\n\nThanks"
     asks = ["> A one two\n> A three four\n> A five\nx", "> A three four\n> A five\nx", "> A one two A\n> three four A five\nx",
-            "> " + first.replace("\n", "\n> ") + "\nx", "> A five\n> B one\nx", "> B two three\nx", "> A one two\n> A five\nx", "> A one\nx"]
+            "> " + first.replace("\n", "\n> ") + "\nx", "> A five\n> B one\nx", "> B two three\nx", "> A one\nx", "> A one two\n> A five\nx"]
     rows = [(1, 0, "user", "Thanks"), (1, 1, "a", first)] + [(1, i + 2, "user", t) for i, t in enumerate(asks)]
     got = {r["turn"]: r for r in quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert [got[i + 2]["parent_turn"] for i in range(len(asks))] == [1] * 6 + [None] * 2
-    assert [got[i + 2]["n_linked"] for i in range(len(asks))] == [1, 1, 1, 3, 1, 1, 0, 0]
+    assert [got[i + 2]["parent_turn"] for i in range(len(asks))] == [1] * 7 + [None]
+    assert [got[i + 2]["n_linked"] for i in range(len(asks))] == [1, 1, 1, 3, 1, 1, 1, 0]
 
 
 def test_empty_tables(spark):
