@@ -2,9 +2,9 @@
 
 A term is a lower-cased word or the head of one, hashed into 2**DIM_BITS buckets; a text is the set of its terms. Besides additive
 weights the machine has a short vector per term, and the dot product of two terms' vectors is their interaction, so
-an insult next to a group mention can weigh more than both alone. Additive weights are kept sparse by FTRL with L1.
-Vectors exist for terms whose weights survived, and for both terms of every pair whose rows the additive weights get
-wrong by more than chance, neutral as each may be alone; so long texts do not collect noise from common words.
+an insult next to a group mention can weigh more than both alone. Both are learnt together for all terms, and both are
+sparse: a weight by L1, a vector as a group, where its gradients don't add up to more than chance; so long texts collect
+little noise from common words, and a pair of terms that are neutral alone can still be learnt.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ MAX_ROWS = 20000  # bound of the labelled sample that is fitted; toxic rows come
 RANK = 8
 HEADS = (4, 6)  # the first bytes of a longer word are terms too, so inflected forms share weight
 MIN_ROWS = 8  # terms of fewer sample rows are left out: they would only memorise them
-PAIR_Z = 6.0  # standard deviations from which rows that hold both terms are more than chance; there are up to 1e9 pairs
+FIRST = 0.05  # deviation of the vectors' first values
+SIGMAS = 1.25  # deviations from zero that the sum of a vector's gradients must pass; chosen on a fifth of the training fold
 THRESHOLD = 0.7
 
 
@@ -47,58 +48,15 @@ def _training_rows(batches):
                 names=["doc_id", "toxic", "idx"])
 
 
-def _paired(term: np.ndarray, row: np.ndarray, d: int, r: np.ndarray, block: int = 256) -> np.ndarray:
-    """Terms (of 0..d-1) of pairs that the additive weights miss; r: residuals y - p of the rows, (term, row): what they hold.
+def train(y: np.ndarray, rows: list[np.ndarray] | tuple[np.ndarray, np.ndarray], epochs: int = 6, again: int = 6, batch: int = 64, alpha: float = 0.5, l1: float = 8.0,
+          l2: float = 1e-4, rate: float = 0.1, sigmas: float = SIGMAS, seed: int = 11) -> dict:
+    """y: 0/1, rows: the distinct term buckets of each (or all of them and their numbers).
 
-    The residuals of the rows that hold both terms sum up to more than MIN_ROWS / 2 and PAIR_Z deviations, also beyond
-    what either term's own residuals explain. No pair that can pass is left out: a term whose residuals of one sign
-    don't reach the sum alone has none.
+    Weights and vectors of all terms are learnt together, each from the error of the whole machine: weights by FTRL with
+    L1, vectors by dual averaging of their gradients, shrunk to zero within `sigmas` deviations (times the root of the
+    epoch, as rows that come again are no new evidence) and started from small random values that don't stay. Terms that
+    keep a weight or a vector are the model's; `again` more epochs (AdaGrad, L2) undo the shrinking.
     """
-    var = np.abs(r) * (1 - np.abs(r))
-    up, down, spread = np.zeros(d), np.zeros(d), np.zeros(d)
-    for lo in range(0, len(term), 1 << 18):  # in parts, so that no copy of all entries is made
-        t, at = term[lo: lo + (1 << 18)], row[lo: lo + (1 << 18)]
-        up += np.bincount(t, np.maximum(r, 0)[at], d)
-        down += np.bincount(t, np.maximum(-r, 0)[at], d)
-        spread += np.bincount(t, var[at], d)
-    rate = (up - down) / np.maximum(spread, 1e-9)
-    able = np.flatnonzero(np.maximum(up, down) >= MIN_ROWS / 2)
-    at = np.full(d, -1, dtype=np.int32)
-    at[able] = np.arange(len(able))
-    mine = at[term] >= 0
-    term, row = at[term[mine]], row[mine]
-    order = np.argsort(term, kind="stable")
-    term, row, rate = term[order], row[order], rate[able]
-    ptr = np.searchsorted(term, np.arange(len(able) + 1))
-
-    def dense(lo):
-        hi = min(lo + block, len(able))
-        x = np.zeros((hi - lo, len(r)), dtype=np.float32)
-        x[term[ptr[lo]: ptr[hi]] - lo, row[ptr[lo]: ptr[hi]]] = 1
-        return x
-
-    found = np.zeros(len(able), dtype=bool)
-    r, var = r.astype(np.float32), var.astype(np.float32)
-    for i in range(0, len(able), block):
-        a = dense(i)
-        ar, av = a * r, a * var
-        for j in range(i, len(able), block):
-            b = dense(j) if j > i else a
-            s, v = ar @ b.T, av @ b.T
-            least = np.maximum(MIN_ROWS / 2, PAIR_Z * np.sqrt(v + 1))
-            sign = np.sign(s)
-            hit = (s * sign >= least)
-            for own in (rate[i: i + len(a), None], rate[None, j: j + len(b)]):
-                hit &= (s - v * own) * sign >= least
-            found[i: i + len(a)] |= hit.any(axis=1)
-            found[j: j + len(b)] |= hit.any(axis=0)
-    return able[found]
-
-
-def train(y: np.ndarray, rows: list[np.ndarray] | tuple[np.ndarray, np.ndarray], epochs: int = 6, batch: int = 64, alpha: float = 0.5, l1: float = 8.0,
-          l2: float = 1e-4, seed: int = 11) -> dict:
-    """y: 0/1, rows: the distinct term buckets of each (or all of them and their numbers). First FTRL on the additive part,
-    then AdaGrad on weights and vectors together."""
     if isinstance(rows, list):
         rows = np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int32), np.array([len(r) for r in rows], dtype=np.int64)
     flat, lens = rows
@@ -113,58 +71,73 @@ def train(y: np.ndarray, rows: list[np.ndarray] | tuple[np.ndarray, np.ndarray],
     compact = compact[keep]
     ptr = np.r_[0, np.cumsum(lens)]
     d = len(vocab)
+    local = np.zeros(d, dtype=np.int64)  # where a term is among those of a batch
     rng = np.random.default_rng(seed)
-    z, n, b = np.zeros(d), np.zeros(d), 0.0
     base = float(np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3))
     b, nb = np.log(base / (1 - base)), 1.0
+    z, n = np.zeros(d), np.zeros(d)
+    v0, gs, sv = rng.normal(0, FIRST, (d, RANK)), np.zeros((d, RANK)), np.ones((d, RANK))
     solve = lambda z, n: np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((1 + np.sqrt(n)) / alpha + l2))
-
     def some(ids):
-        idx = np.concatenate([compact[ptr[i]: ptr[i + 1]] for i in ids])
-        return idx, np.repeat(np.arange(len(ids)), lens[ids])
-
-    for _ in range(epochs):
+        row = np.repeat(np.arange(len(ids)), lens[ids])
+        held = np.concatenate([compact[ptr[i]: ptr[i + 1]] for i in ids])
+        terms = np.flatnonzero(np.bincount(held, minlength=d))
+        local[terms] = np.arange(len(terms))
+        return ids, row, local[held], terms
+
+    def errors(ids, row, at, w, x):
+        """Error of the whole machine on these rows, and the sum of the vectors of each."""
+        s = np.stack([np.bincount(row, x[at, f], len(ids)) for f in range(RANK)], axis=1)
+        q = np.bincount(row, (x * x).sum(axis=1)[at], len(ids))
+        return 1 / (1 + np.exp(-np.clip(b + np.bincount(row, w[at], len(ids)) + 0.5 * ((s * s).sum(axis=1) - q), -30, 30))) - y[ids], s
+
+    def slopes(row, at, g, s, x):
+        gw, pull = np.bincount(at, g[row], len(x)), g[:, None] * s
+        return gw, np.stack([np.bincount(at, pull[row, f], len(x)) for f in range(RANK)], axis=1) - gw[:, None] * x
+
+    def shrunk(total, square, c):
+        norm = np.sqrt((total * total).sum(axis=1))
+        kept = np.maximum(0.0, 1 - c * np.sqrt(square.sum(axis=1)) / np.maximum(norm, 1e-12))
+        return -rate * total / np.sqrt(square) * kept[:, None]
+
+    for epoch in range(epochs):
+        sure = sigmas * np.sqrt(epoch + 1)  # rows that come again are no new evidence
         order = rng.permutation(len(y))
         for lo in range(0, len(y), batch):
-            ids = order[lo: lo + batch]
-            idx, row = some(ids)
-            w = solve(z, n)
-            p = 1 / (1 + np.exp(-np.clip(b + np.bincount(row, w[idx], len(ids)), -30, 30)))
-            g = p - y[ids]
-            gw = np.bincount(idx, g[row], d)
-            z += gw - (np.sqrt(n + gw * gw) - np.sqrt(n)) / alpha * w
-            n += gw * gw
+            ids, row, at, terms = some(order[lo: lo + batch])
+            w, x = solve(z[terms], n[terms]), v0[terms] + shrunk(gs[terms], sv[terms], sure)
+            g, s = errors(ids, row, at, w, x)
+            gw, gv = slopes(row, at, g, s, x)
+            z[terms] += gw - (np.sqrt(n[terms] + gw * gw) - np.sqrt(n[terms])) / alpha * w
+            n[terms] += gw * gw
+            gs[terms] += gv
+            sv[terms] += gv * gv
             nb += g.sum() ** 2
             b -= 0.5 * g.sum() / np.sqrt(nb)
     w = solve(z, n)
-    row = np.repeat(np.arange(len(y), dtype=np.int32), lens)
-    p = 1 / (1 + np.exp(-np.clip(b + np.bincount(row, w[compact], len(y)), -30, 30)))
-    live = np.union1d(np.flatnonzero(w), _paired(compact, row, d, y - p))
-    del row
-    at = np.full(d, -1, dtype=np.int32)
-    at[live] = np.arange(len(live))
-    w, k = w[live].copy(), len(live)
-    v = rng.normal(0, 0.05, (k, RANK))
-    sw, sv = np.ones(k), np.ones((k, RANK))
-    keep = at[compact] >= 0
-    compact, lens = at[compact[keep]], np.add.reduceat(np.r_[keep, False], np.minimum(ptr[:-1], len(keep))).astype(np.int64) * (lens > 0) if len(keep) else lens
+    v = shrunk(gs, sv, sure) if epochs else v0 * 0
+    live = np.flatnonzero((w != 0) | v.any(axis=1))
+    place = np.full(d, -1, dtype=np.int32)
+    place[live] = np.arange(len(live))
+    compact = place[compact]
+    keep = compact >= 0
+    lens = np.diff(np.r_[0, np.cumsum(keep)][ptr])
+    compact, w, v = compact[keep], w[live], v[live]
     ptr = np.r_[0, np.cumsum(lens)]
-    for _ in range(epochs if k else 0):
+    sw, sv = np.ones(len(live)), np.ones(v.shape)
+    for _ in range(again if len(live) else 0):
         order = rng.permutation(len(y))
         for lo in range(0, len(y), batch):
-            ids = order[lo: lo + batch]
-            idx, row = some(ids)
-            vx = v[idx]
-            s = np.stack([np.bincount(row, vx[:, f], len(ids)) for f in range(RANK)], axis=1)
-            q = np.bincount(row, (vx * vx).sum(axis=1), len(ids))
-            p = 1 / (1 + np.exp(-np.clip(b + np.bincount(row, w[idx], len(ids)) + 0.5 * ((s * s).sum(axis=1) - q), -30, 30)))
-            g = p - y[ids]
-            gw = np.bincount(idx, g[row], k) + 1e-3 * w
-            sw += gw * gw
-            w -= 0.2 * gw / np.sqrt(sw)
-            gv = np.stack([np.bincount(idx, g[row] * (s[row, f] - vx[:, f]), k) for f in range(RANK)], axis=1) + 1e-2 * v
-            sv += gv * gv
-            v -= 0.05 * gv / np.sqrt(sv)
+            ids, row, at, terms = some(order[lo: lo + batch])
+            x, k = v[terms], len(terms)
+            g, s = errors(ids, row, at, w[terms], x)
+            gw, gv = slopes(row, at, g, s, x)
+            gw = gw + 1e-3 * w[terms]
+            gv = gv + 1e-2 * x
+            sw[terms] += gw * gw
+            sv[terms] += gv * gv
+            w[terms] -= 0.2 * gw / np.sqrt(sw[terms])
+            v[terms] -= 0.05 * gv / np.sqrt(sv[terms])
             nb += g.sum() ** 2
             b -= 0.1 * g.sum() / np.sqrt(nb)
     return {"bias": float(b), "bucket": vocab[live].astype(np.int64), "w": w, "v": v}

@@ -214,12 +214,27 @@ def test_toxicity_learns_neutral_pair():
     m = toxicity.train(y[:4000], rows[:4000])
     at = {int(k): i for i, k in enumerate(m["bucket"])}
     assert m["v"][at[1]] @ m["v"][at[2]] > 0.5
-    right = 0
+    right, additive = 0, 0
     for t, r in zip(y[4000:], rows[4000:], strict=True):
         i = [at[k] for k in r.tolist() if k in at]
         x, s = m["v"][i], m["v"][i].sum(axis=0)
         right += (m["bias"] + m["w"][i].sum() + 0.5 * (s @ s - (x * x).sum()) > 0) == (t > 0)
-    assert right / 2000 > 0.9
+        additive += (m["bias"] + m["w"][i].sum() > 0) == (t > 0)
+    assert right / 2000 > 0.9 and additive / 2000 < 0.8
+
+
+def test_toxicity_keeps_no_vectors_of_chance():
+    """Labels that no pair explains: most terms keep nothing, and every held-out row is told right."""
+    rng = np.random.default_rng(9)
+    rows = [np.unique(np.r_[rng.integers(10, 2000, 60), [1] * int(i % 4 == 0)].astype(np.int64)) for i in range(6000)]
+    y = np.array([float(i % 4 == 0) for i in range(6000)])
+    m = toxicity.train(y[:4000], rows[:4000])
+    at = {int(k): i for i, k in enumerate(m["bucket"])}
+    assert len(at) < 500
+    for t, r in zip(y[4000:], rows[4000:], strict=True):
+        i = [at[k] for k in r.tolist() if k in at]
+        x, s = m["v"][i], m["v"][i].sum(axis=0)
+        assert (m["bias"] + m["w"][i].sum() + 0.5 * (s @ s - (x * x).sum()) > 0) == (t > 0)
 
 
 def test_toxicity_sample_takes_toxic_rows_first(spark, monkeypatch):
