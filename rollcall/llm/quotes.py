@@ -26,6 +26,8 @@ _WORD = re.compile(r"\w+")
 # The line, or two lines, over a quote that say whose it is; the last one ends with the word and a colon.
 ATTRIBUTION = r"On\b.*\bwrote:"
 
+SLOTS = 1024  # remainders of grams that tell which ones a conversation looks up; past that many passages all are indexed
+
 
 def normal(text: str) -> str:
     """Letters and digits in lower case, one space between words: layout, wrapping and punctuation don't count."""
@@ -110,15 +112,17 @@ def anchor(norm: str) -> dict:
     return {"class": c, "gram": int(g[least[0]].view(np.int64)), "lead": int(at[least[0]]), "size": len(data), "hash": _digest(data)}
 
 
-def anchors(norm: str, classes: list[int]) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """The chosen grams of a message's words: (class, grams, bytes before each). One word is listed once."""
+def anchors(norm: str, classes: list[int], wanted: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """The chosen grams of a message's words with a wanted remainder: (class, grams, bytes before each). One word is listed once."""
     _, at, h = _words(norm)
     out = []
     for c in classes:
         if len(h) >> c:
             g, least = _grams(h, c)
             least = np.unique(least) if c else np.unique(g, return_index=True)[1]
-            out.append((c, g[least].view(np.int64), at[least]))
+            gram = g[least].view(np.int64)
+            mine = wanted[gram % SLOTS]
+            out.append((c, gram[mine], at[least[mine]]))
     return out
 
 
@@ -149,7 +153,11 @@ def _indexed(classes):
     def run(batches):
         for batch in batches:
             for part in common.pieces(batch, "norm", 1 << 17):
-                found = [(i, *a) for i, x in enumerate(part.column("norm").to_pylist()) for a in anchors(x[1:-1].decode("utf-8", "surrogatepass"), classes)]
+                found = []
+                for i, (x, slots) in enumerate(zip(part.column("norm").to_pylist(), part.column("wanted"), strict=True)):
+                    wanted = np.zeros(SLOTS, dtype=bool)
+                    wanted[slots.values.to_numpy()] = True
+                    found += [(i, *a) for a in anchors(x[1:-1].decode("utf-8", "surrogatepass"), classes, wanted)]
                 if found:
                     many = [len(f[2]) for f in found]
                     row = pa.array(np.repeat([f[0] for f in found], many))
@@ -182,7 +190,9 @@ def link(messages: DataFrame, attribution: str = ATTRIBUTION) -> DataFrame:
     classes = sorted(r[0] for r in asks.select("class").distinct().collect())
     sought = asks.groupBy("conv_id", "class", "gram", "lead", "size", "hash").agg(F.max("turn").alias("until"))
     bodies = read.filter((F.col("body") != "") & F.col("turn").isNotNull()).select("conv_id", "turn", "norm")
-    index = (bodies.join(asks.select("conv_id").distinct(), "conv_id", "left_semi")
+    # What is looked up in a conversation, as SLOTS remainders at most, so that a message gives few grams that nobody asks for.
+    wanted = asks.groupBy("conv_id").agg(F.collect_set(F.pmod("gram", F.lit(SLOTS)).cast("int")).alias("wanted"))
+    index = (bodies.join(wanted, "conv_id")
              .mapInArrow(_indexed(classes), "conv_id long, turn long, class int, gram long, at long"))
     places = (index.join(sought, ["conv_id", "class", "gram"]).filter("turn < until and at >= lead")
               .select("conv_id", "turn", (F.col("at") - F.col("lead") + 1).cast("int").alias("start"), F.col("size").cast("int").alias("size"), "hash"))
