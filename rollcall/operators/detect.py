@@ -1,7 +1,7 @@
 """Directory health: duplicates, shared locations, moves, inactive and stale records.
 
 Identifiers of a cluster are listed in parts of about BLOCK, so that a name or address that very many records share is
-never gathered in one task; ordinary clusters are one part.
+never gathered in one task; ordinary clusters are one part. whole=True lists each in one part, whatever its size.
 """
 
 from __future__ import annotations
@@ -26,14 +26,14 @@ def keyed(providers: DataFrame, with_unit: bool = False) -> DataFrame:
     return N.derive(providers, {"name_cmp": N.name_compare(c("name")), "phone_cmp": N.phone_compare(c("phone")), "location": N.location_key(street, c("city"), c("state"), c("zip"))})
 
 
-def _listed(rows: DataFrame, clusters: DataFrame, keys: list[str], size: str) -> DataFrame:
-    """clusters with part and npis: the distinct identifiers of their rows, sorted, in parts of about BLOCK."""
+def _listed(rows: DataFrame, clusters: DataFrame, keys: list[str], size: str, whole: bool) -> DataFrame:
+    """clusters with part and npis: the distinct identifiers of their rows, sorted, in parts of about BLOCK or in one."""
     sized = rows.select("npi", *keys).join(clusters, keys)
-    part = F.pmod(F.xxhash64("npi"), F.ceil(F.col(size) / BLOCK)).cast("int")
+    part = F.lit(0) if whole else F.pmod(F.xxhash64("npi"), F.ceil(F.col(size) / BLOCK)).cast("int")
     return sized.groupBy(*clusters.columns, part.alias("part")).agg(F.sort_array(F.collect_set("npi")).alias("npis"))
 
 
-def duplicates(keys: DataFrame, lists: bool = True) -> DataFrame:
+def duplicates(keys: DataFrame, lists: bool = True, whole: bool = False) -> DataFrame:
     """reason, name, n_records, part, npis: same name and phone; then same name and address, unless the same set was
     found by phone. lists=False leaves the identifiers out.
 
@@ -51,10 +51,10 @@ def duplicates(keys: DataFrame, lists: bool = True) -> DataFrame:
     kept = found.withColumn("_phone", F.max(F.col("reason") == "same name + same phone").over(same)).filter("reason = 'same name + same phone' or not _phone")
     if not lists:
         return kept.select("reason", "name", "n_records", "least")
-    return _listed(rows.drop("name"), kept.select(*by, "n_records", "name"), by, "n_records").select("reason", "name", "n_records", "part", "npis")
+    return _listed(rows.drop("name"), kept.select(*by, "n_records", "name"), by, "n_records", whole).select("reason", "name", "n_records", "part", "npis")
 
 
-def shared_locations(keys: DataFrame, min_providers: int = 2, lists: bool = True) -> DataFrame:
+def shared_locations(keys: DataFrame, min_providers: int = 2, lists: bool = True, whole: bool = False) -> DataFrame:
     """location_label, n_providers, part, npis: addresses of several records, most records first, then by label.
 
     lists=False leaves the identifiers out.
@@ -64,7 +64,7 @@ def shared_locations(keys: DataFrame, min_providers: int = 2, lists: bool = True
     found = rows.groupBy("location").agg(F.btrim(F.min_by(label, F.col("npi")), F.lit(", ")).alias("location_label"), F.count(F.lit(1)).alias("n_providers")).filter(
         F.col("n_providers") >= min_providers)
     if lists:
-        found = _listed(rows, found, ["location"], "n_providers").select("location_label", "n_providers", "part", "npis", "location")
+        found = _listed(rows, found, ["location"], "n_providers", whole).select("location_label", "n_providers", "part", "npis", "location")
     return found.orderBy(F.desc("n_providers"), "location_label", "location", *(["part"] if lists else [])).drop("location")
 
 
