@@ -3,6 +3,7 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
+from rollcall.functions import normalize
 from rollcall.functions.policy import DEFAULT
 from rollcall.operators import apply, detect, evaluate, intake, quality, reconcile
 
@@ -264,3 +265,27 @@ def test_clusters(spark, block, monkeypatch):
     assert {n for r in places for n in r["npis"]} == {f"n{i}" for i in range(6)} and all(len(r["npis"]) <= 4 for r in places)
     apart = detect.shared_locations(detect.keyed(spark.createDataFrame(rows, PROVIDER), with_unit=True), lists=False).collect()
     assert sorted(r["n_providers"] for r in apart) == [2, 2]
+
+
+def test_forms_of_odd_spaces(spark):
+    """The short way of squish() is taken by plain text only and gives what the long way gives."""
+    given = ["", " ", "a b", " a b ", "a  b", "a\tb", "\ta", "a\n", "a\u00a0 b", "\u3000x", "caf\u00e9 x", "a\x1cb", "~ !"]
+    want = ["", "", "a b", "a b", "a b", "a b", "a", "a", "a b", "x", "caf\u00e9 x", "a b", "~ !"]
+    df = spark.createDataFrame(list(enumerate(given)), "i int, x string").orderBy("i")
+    assert [r[0] for r in df.select(normalize.squish(F.col("x"))).collect()] == want
+
+
+def test_rows_are_dealt_by_identifier_once(spark):
+    """Early candidates are found in the join that they leave, so source rows are shuffled by npi alone, and by nothing else."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stored = spark.createDataFrame([("n1", "Ada Moss", "Surgery", "3035550142", "1 Elm Rd", "Boulder", "CO", "80301", 1)], "npi string, name string, specialty string, phone string, street string, city string, state string, zip string, is_active int")
+        said = spark.createDataFrame([("n1", "cms", 1, "Ada Moss", "Surgery", "303 555 0142", "1 Elm Road", "Boulder", "CO", "80302", 1), ("n1", "nppes", 2, "Ada Moss", "Surgery", "303 555 0142", "1 Elm Road", "Boulder", "CO", "80301", 1),
+                                      ("n2", "cms", 3, "Ada Moss", "Surgery", "303 555 0142", "1 Elm Road", "Boulder", "CO", "80301", 1)], "npi string, source_name string, ordinal long, name string, specialty string, phone string, street string, city string, state string, zip string, is_active int")
+        p, x = reconcile.with_digests(stored), reconcile.with_digest(said)
+        early = reconcile.early_candidates(p, x)
+        assert [(r["npi"], r["field"], r["value"]) for r in early.collect()] == [("n1", "zip", "80302")]
+        assert "ordinal" not in "".join(line for line in early._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line)
+        assert sorted((r["ordinal"], r["differs"]) for r in reconcile.compared(p, x).collect()) == [(1, True), (2, False), (3, False)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
