@@ -243,8 +243,8 @@ def spans_of(n: int, lo: list, hi: list) -> list[tuple[int, int]]:
 
 
 def known(docs: DataFrame, text: str = "text", doc: str = "doc_id", tid: str = "tid") -> DataFrame:
-    """docs with tid, 64 bits of the text's SHA-256: (doc, tid) stands for the rows of an id that have one text."""
-    return docs.withColumn(tid, F.xxhash64(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)))
+    """docs with tid, a 64-bit hash of the text: (doc, tid) stands for the rows of an id that have one text."""
+    return docs.withColumn(tid, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
 
 
 def intervals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -259,7 +259,7 @@ def intervals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     once = docs.dropDuplicates(["doc_id", "tid"]) if repeated else docs
     samples = docs.filter(F.octet_length("text") >= LENGTH).mapInArrow(_sampled, _SAMPLES)
     laid = samples.repartitionByRange(common.partitions(spark) * 2, "name", "tid", "pos", "doc_id").sortWithinPartitions("name", "tid", "pos", "doc_id")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16000")
     found = common.save(laid.mapInArrow(_repeated, _SAMPLES + ", edge byte"), free=True)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     inner = found.filter("edge < 2").drop("edge")
