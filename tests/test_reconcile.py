@@ -289,3 +289,14 @@ def test_rows_are_dealt_by_identifier_once(spark):
         assert sorted((r["ordinal"], r["differs"]) for r in reconcile.compared(p, x).collect()) == [(1, True), (2, False), (3, False)]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_reports_that_agree_leave_in_the_join(spark):
+    """Only reports with a difference are dealt out by field, and what they say is told apart as before."""
+    stored = directory(spark, ["a", "b"]).withColumn("phone", F.when(F.col("npi") == "b", "").otherwise(F.col("phone")))
+    said = [("a", "cms", "phone", "303.555.0142"), ("a", "cms", "street", "77 QUARRY LN"), ("a", "cms", "phone", "555"), ("a", "cms", "city", " \u3000"),
+            ("b", "cms", "phone", "555"), ("b", "cms", "phone", "7205550187"), ("a", "cms", "name", "'- Ines Okafor"), ("a", "cms", "zip", "80302"), ("gone", "cms", "city", "Vail")]
+    found = reconcile.candidates(stored, reports(spark, said), reconcile.RECORD)
+    assert sorted((r["npi"], r["field"], r["value"], r["old_value"]) for r in found.collect()) == [("a", "zip", "80302", "80301"), ("b", "phone", "7205550187", "")]
+    joins = found._jdf.queryExecution().optimizedPlan().toString().split("Join Inner,")[1:]
+    assert len(joins) == 1 and all(f"_cmp_{f}#" in joins[0].split(":- ")[0] for f in reconcile.RECORD)
