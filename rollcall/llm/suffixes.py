@@ -6,20 +6,24 @@ chosen by content, which is far sparser and keeps its defining property: two equ
 position at the same offset. A position is sampled if the hash of its GRAM-byte tuple is the least of some
 LENGTH - GRAM + 1 consecutive ones.
 
-1. The sampled tuples are sorted globally by name (the tuple's hash); names that occur in one text only are discarded.
+1. The sampled tuples are dealt out by name (the tuple's hash), packed by the thousand, and sorted; names that occur in
+   one document only are discarded.
 2. Names are refined once: by the whole context that a LENGTH-byte string around the sample can reach, so equal refined
    names mean equal context. Within such a class all but the earliest document lose the context.
 3. The remaining suffixes, those starting up to LENGTH - GRAM bytes before a sample, are merged in by their offset to it:
    where a name has several classes, the prefixes of each class's suffixes are sorted and compared with their neighbours.
 
-Long runs of one name spread over tasks by range partitioning; what a task holds of a run is bounded by one document.
-Equal contexts are told by 128 bits (name and context), whole copies by 128 bits of their SHA-256, prefixes by 64 bits
-among the contexts of one name.
+Names are independent of each other, so a large input is worked on in slices of the names, one after the other: what is on
+disk at once is a slice's share. Of a class a task sends only its earliest document, the others have lost already, so no
+class is hot; the classes of a hot name are dealt out by their contexts. What a task holds besides is bounded by a document.
+Equal contexts are told by 128 bits (name and context), whole copies by 128 bits of their SHA-256 (those within a task by
+the 64 bits of tid), prefixes by 64 bits among the contexts of one name.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +36,14 @@ LENGTH = 50
 GRAM = 20
 SPAN = LENGTH - GRAM + 1  # consecutive tuples of which one is sampled; also the suffixes that share a sample
 BACK = LENGTH - GRAM  # bytes before a sample that its context holds
-BLOCK = 1 << 17  # sorted rows handled at once in a task
-HOT = 1 << 10  # classes of one name beyond which its suffixes are compared by a grouped job instead of within a task
+BLOCK = 1 << 17  # rows of a batch that leaves a task
+CHUNK = 1 << 20  # samples that a task packs at once
+SLICES = 2  # of the names, for texts of LARGE bytes in all
+LARGE = 1 << 26
+BUCKET = 1 << 23  # bytes of text whose samples a task sorts at once, at most
+SHARE = 32  # one of so many texts tells which names are hot
+LIGHT = 1 << 12  # samples of a name that never make it hot
+HOT = 1 << 15  # classes of one name beyond which its suffixes are compared by a grouped job instead of within a task
 
 
 def _slide(a: np.ndarray, w: int, f) -> np.ndarray:
@@ -63,79 +73,179 @@ def sample(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return row, at - off[row], h[at], context
 
 
-_SAMPLES = "name long, context long, tid long, doc_id long, pos int"
+_SAMPLES = "kind int, name long, context long, tid long, doc_id long, pos int"
+LATER, FIRST, SHOWN = 0, 1, 2  # kinds of samples: of a later document than the first of its class; of the first; the one whose bytes are looked at
 
 
-def _sampled(batches):
+def _slices(n_bytes: int) -> int:
+    return SLICES if n_bytes >= LARGE else 1
+
+
+def _texts(batches):
+    """(tid, doc_id, samples) of pieces of the rows. Of copies in a task those after an earlier doc_id are left out."""
+    seen: dict[int, int] = {}
     for batch in batches:
         for part in common.pieces(batch, most=1 << 19):
-            data, off = common.utf8(part.column("text"))
-            row, pos, name, context = sample(data, off)
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(name.view(np.int64)), pa.array(context.view(np.int64)), part.column("tid").take(take), part.column("doc_id").take(take), pa.array(pos.astype(np.int32))],
-                names=["name", "context", "tid", "doc_id", "pos"])
+            tid, doc = np.asarray(part.column("tid")), np.asarray(part.column("doc_id"))
+            new = np.zeros(len(tid), dtype=bool)
+            for i, (t, d) in enumerate(zip(tid.tolist(), doc.tolist(), strict=True)):
+                if d < seen.get(t, d + 1):
+                    seen[t], new[i] = d, True
+            if len(seen) > CHUNK:
+                seen.clear()
+            if not new.all():
+                part, tid, doc = part.filter(pa.array(new)), tid[new], doc[new]
+            yield tid, doc, sample(*common.utf8(part.column("text")))
+
+
+def _planes(a: np.ndarray) -> bytes:
+    """The entries' first bytes, then their second ones, and so on, which compress well."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
+
+
+_PACKED = (("name", np.uint64), ("context", np.uint64), ("tid", np.int64), ("doc_id", np.int64), ("pos", np.int32))
+_WIDTH = sum(np.dtype(t).itemsize for _, t in _PACKED)
+
+
+def _pack(cols) -> bytes:
+    return b"".join([c.tobytes() for c in cols[:3]] + [_planes(c) for c in cols[3:]])
+
+
+def _unpack(blob: bytes) -> list[np.ndarray]:
+    n, at, out = len(blob) // _WIDTH, 0, []
+    for i, (_, kind) in enumerate(_PACKED):
+        w = np.dtype(kind).itemsize
+        raw = np.frombuffer(blob, np.uint8, n * w, at)
+        out.append((raw if i < 3 else np.ascontiguousarray(raw.reshape(w, n).T)).reshape(-1).view(kind))
+        at += n * w
+    return out
+
+
+def _among(a: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
+    if not len(sorted_):
+        return np.zeros(len(a), dtype=bool)
+    return sorted_[np.minimum(np.searchsorted(sorted_, a), len(sorted_) - 1)] == a
+
+
+def _starts(*cols: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows start."""
+    new = np.ones(len(cols[0]), dtype=bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
+    return np.flatnonzero(new)
+
+
+def _spread(per_run: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
+    return np.repeat(per_run, np.diff(np.r_[start, n]))
+
+
+def _sampled(k: int, slices: int, parts: int, hot: np.ndarray):
+    """Samples of the k-th slice of the names, packed by the part that sorts them. later: they belong to a later document
+    than another one of their class in this task."""
+    def packed(held):
+        cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+        name, context, tid, doc, _ = cols
+        order = np.argsort(name * np.uint64(0x9E3779B97F4A7C15) + context)
+        start = _starts(name[order], context[order])
+        later = np.zeros(len(name), dtype=bool)
+        later[order] = doc[order] > _spread(np.minimum.reduceat(doc[order], start), start, len(name))
+        part = name // np.uint64(slices) % np.uint64(parts)
+        spread = _among(name, hot)
+        part[spread] = common.mix(name[spread] + context[spread] * np.uint64(0x5851F42D4C957F2D)) % np.uint64(parts)
+        part[later] = tid[later].view(np.uint64) % np.uint64(parts)
+        part = part.astype(np.int64) * 2 + later
+        order = np.argsort(part, kind="stable")
+        cols = [c[order] for c in cols]
+        start = _starts(part[order])
+        made, n = [], 0
+        for p, lo, hi in zip(part[order][start].tolist(), start.tolist(), [*start[1:].tolist(), len(order)], strict=True):
+            made.append((p // 2, bool(p % 2), _pack([c[lo:hi] for c in cols])))
+            n += hi - lo
+            if n >= BLOCK or hi == len(order):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), (pa.int32(), pa.bool_(), pa.binary()), strict=True)],
+                                                 names=["part", "later", "samples"])
+                made, n = [], 0
 
+    def run(batches):
+        held, n = [], 0
+        for tid, doc, (row, pos, name, context) in _texts(batches):
+            mine = name % np.uint64(slices) == k
+            row = row[mine]
+            if len(row):
+                held.append((name[mine], context[mine], tid[row], doc[row], pos[mine].astype(np.int32)))
+                n += len(row)
+            if n >= CHUNK:
+                yield from packed(held)
+                held, n = [], 0
+        if held:
+            yield from packed(held)
 
-def _repeated(batches):
-    """Rows sorted by (name, tid, pos, doc_id) -> those of names with two texts; copies of a text count once.
+    return run
 
-    edge 0: such a row. 1: such a row in the first or last run of the partition. 2: a row of a run there that has one
-    text in this partition, so that the neighbouring partitions decide.
-    """
-    keys = ("name", "context", "tid", "doc_id", "pos")
-    pending = None  # rows of the last run, while it has one text and may go on
-    decided = None  # the name of the last run, once it has two texts
-    last_row = None
-    first_open = True  # no run has ended yet
-
-    def block(cols, final):
-        nonlocal pending, decided, last_row, first_open
-        if pending is not None:
-            cols = [np.concatenate([a, b]) for a, b in zip(pending, cols, strict=True)]
-        g, _, t, _, p = cols
-        if not len(g):
-            return None
-        same = np.zeros(len(g), dtype=bool)
-        same[1:] = (g[1:] == g[:-1]) & (t[1:] == t[:-1]) & (p[1:] == p[:-1])
-        same[0] = pending is None and last_row == (g[0], t[0], p[0])
-        last_row, pending = (g[-1], t[-1], p[-1]), None
-        start = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-        end = np.r_[start[1:], len(g)]
-        multi = t[start] != t[end - 1]
-        multi[0] |= decided is not None and g[0] == decided
-        edge = np.where(multi, 0, 3)
-        if first_open:
-            edge[0] = 1 if multi[0] else 2
-        elif g[0] == decided:
-            edge[0] = 1
-        stop = len(g)
-        if multi[-1]:  # the run may be the partition's last
-            edge[-1] = 1
-        elif final:
-            edge[-1] = 2
-        else:
-            stop = start[-1]
-            pending = [c[stop:][~same[stop:]] for c in cols]
-        decided = g[-1] if multi[-1] else None
-        first_open &= len(start) == 1
-        each = np.repeat(edge, end - start)[:stop]
-        keep = (each < 3) & ~same[:stop]
-        return pa.RecordBatch.from_arrays([pa.array(c[:stop][keep]) for c in cols] + [pa.array(each[keep].astype(np.int8))], names=[*keys, "edge"])
 
-    held, n = [], 0
-    for batch in batches:
-        held.append([np.asarray(batch.column(k)) for k in keys])
-        n += batch.num_rows
-        if n >= BLOCK:
-            out = block([np.concatenate(c) for c in zip(*held, strict=True)], False)
-            held, n = [], 0
-            if out is not None:
-                yield out
-    if held or pending is not None:
-        out = block([np.concatenate(c) for c in zip(*held, strict=True)] if held else [c[:0] for c in pending], True)
-        if out is not None:
-            yield out
+def _counted(batches):
+    """How often each name occurs in each text."""
+    for tid, _, (row, _, name, _) in _texts(batches):
+        order = np.lexsort((name, row))
+        row, name = row[order], name[order]
+        start = _starts(row, name)
+        yield pa.RecordBatch.from_arrays([pa.array(name[start].view(np.int64)), pa.array(tid[row[start]]), pa.array(np.diff(np.r_[start, len(row)]).astype(np.int64))],
+                                         names=["name", "tid", "n"])
+
+
+def _repeated(hot: np.ndarray):
+    """Packed samples of whole names (of hot ones, of whole classes) -> those of classes with a later document, and, where
+    classes of one name have different first documents, those of the first documents; one of each class is shown."""
+    def batches_of(kind, cols):
+        for lo in range(0, len(kind), BLOCK):
+            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(c[lo: lo + BLOCK]).view(t)) for c, t in zip([kind, *cols], (np.int32, *[np.int64] * 4, np.int32), strict=True)],
+                                             names=["kind", *(n for n, _ in _PACKED)])
+
+    def lost(cols):
+        """A text's samples lie together; what they were named doesn't matter any more."""
+        order = np.argsort(cols[2], kind="stable")
+        none = np.zeros(len(order), np.uint64)
+        return batches_of(np.full(len(order), LATER, np.int32), [none, none, *(c[order] for c in cols[2:])])
+
+    def run(batches):
+        held, gone, n = [], [], 0
+        for batch in batches:
+            for later, samples in zip(batch.column("later").to_pylist(), batch.column("samples").to_pylist(), strict=True):
+                cols = _unpack(samples)
+                if not later:
+                    held.append(cols)
+                    continue
+                gone.append(cols)
+                n += len(cols[0])
+                if n >= CHUNK:
+                    yield from lost([np.concatenate(c) for c in zip(*gone, strict=True)])
+                    gone, n = [], 0
+        if held:
+            cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+            held = None
+            order = np.argsort(cols[0])
+            name, doc = cols[0][order], cols[3][order]
+            start = _starts(name)
+            wanted = (np.minimum.reduceat(doc, start) < np.maximum.reduceat(doc, start)) | _among(name[start], hot)
+            order = order[_spread(wanted, start, len(order))]
+            cols = [c[order] for c in cols]
+            order = np.lexsort((cols[2], cols[4], cols[3], cols[1], cols[0]))
+            cols = [c[order] for c in cols]
+            name, context, tid, doc, _ = cols
+            n = len(name)
+            if n:
+                start = _starts(name, context)  # of classes, each led by its first document
+                first, text = _spread(doc[start], start, n), _spread(tid[start], start, n)
+                run_of = _starts(name)
+                several = _spread((np.minimum.reduceat(first, run_of) < np.maximum.reduceat(first, run_of)) | _among(name[run_of], hot), run_of, n)
+                kind = np.full(n, FIRST, np.int32)
+                kind[start] = SHOWN
+                later, stays = (doc > first) & (tid != text), (doc == first) & several  # copies of the first's text go as a whole
+                yield from batches_of(kind[stays], [c[stays] for c in cols])
+                gone.append([c[later] for c in cols])
+        if gone:
+            yield from lost([np.concatenate(c) for c in zip(*gone, strict=True)])
+
+    return run
 
 
 _CONTEXT = ("name", "context", "doc_id", "before", "after", "body")
@@ -209,7 +319,7 @@ def _merge(batches):
     for batch in batches:
         held.append(_columns(batch))
         n += batch.num_rows
-        if n >= 1 << 15:
+        if n >= 1 << 14:
             cols = [np.concatenate(c) for c in zip(*held, strict=True)]
             cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))
             if cut:
@@ -247,47 +357,69 @@ def known(docs: DataFrame, text: str = "text", doc: str = "doc_id", tid: str = "
     return docs.withColumn(tid, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
 
 
+def _hot_names(docs: DataFrame, limit: int) -> np.ndarray:
+    """Names of several texts that, going by one of SHARE texts, have more samples than the limit. They are few: together
+    they can't have more than all samples. Only where samples are sorted hangs on them."""
+    counts = docs.filter(F.pmod("tid", F.lit(SHARE)) == 0).mapInArrow(_counted, "name long, tid long, n long")
+    names = (counts.groupBy("name", "tid").agg(F.max("n").alias("n")).groupBy("name").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"))
+             .filter((F.col("n") * SHARE > limit) & (F.col("texts") > 1)).select("name").collect())
+    return np.sort(np.array([r["name"] for r in names], np.int64).view(np.uint64))
+
+
+def _slice(docs: DataFrame, once: DataFrame, k: int, slices: int, parts: int, hot: np.ndarray) -> tuple[DataFrame, list[DataFrame]]:
+    """(doc_id, tid, lo, hi) that texts lose by the k-th slice of the names, and the scratch tables that it reads."""
+    spark = docs.sparkSession
+    packed = docs.mapInArrow(_sampled(k, slices, parts, hot), "part int, later boolean, samples binary")
+    found = common.save(packed.repartitionById(parts, "part").mapInArrow(_repeated(hot), _SAMPLES), free=True)
+    asked = found.filter(F.col("kind") == SHOWN).groupBy("doc_id", "tid").agg(F.collect_list(F.struct("name", "context", "pos")).alias("at"))  # bounded by the document
+    around = common.save(once.join(asked, ["doc_id", "tid"]).select("doc_id", "text", "at").mapInArrow(
+        _contexts, "name long, context long, doc_id long, before int, after int, body binary"), free=True)
+    # Written, so that joins with it are plain joins of shuffles, which Spark can split where a name is hot.
+    many = common.save(around.groupBy("name").agg(F.count(F.lit(1)).alias("classes")).filter(F.col("classes") > HOT).select("name"))
+    cold = around.join(many, "name", "left_anti").select(*_CONTEXT)
+    by_prefix = cold.repartition(common.partitions(spark) * 2, "name").sortWithinPartitions("name").mapInArrow(_merge, "name long, context long, lo int, hi int")
+    keyed = around.join(many, "name", "left_semi").select(*_CONTEXT).mapInArrow(_explode, "key long, doc_id long, name long, context long, at int")
+    least = keyed.groupBy("name", "key").agg(F.min("doc_id").alias("least"))
+    by_hot = keyed.join(least, ["name", "key"]).filter("least < doc_id").groupBy("name", "context").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
+    shared = common.save(by_prefix.unionByName(by_hot), free=True)
+    common.drop(around)
+    common.drop(many)
+    back = F.col("pos") - BACK
+    firsts = common.save(found.filter(F.col("kind") != LATER).join(shared, ["name", "context"]).select(
+        "doc_id", "tid", (back + F.col("lo")).alias("lo"), (back + LENGTH + F.col("hi")).alias("hi")), free=True)
+    common.drop(shared)
+    lost = found.filter(F.col("kind") == LATER).select("doc_id", "tid", back.alias("lo"), (back + LENGTH + BACK).alias("hi")).unionByName(firsts)
+    return lost, [found, firsts]
+
+
+def _merged(batches):
+    """Intervals of each text -> their maximal runs. Within their text they have LENGTH bytes and more, so its end doesn't matter yet."""
+    for batch in batches:
+        runs = [spans_of(1 << 40, lo, hi) for lo, hi in zip(batch.column("lo").to_pylist(), batch.column("hi").to_pylist(), strict=True)]
+        ends = [pa.array([[r[i] for r in x] for x in runs], pa.list_(pa.int64())) for i in range(2)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tid"), *ends], names=["doc_id", "tid", "lo", "hi"])
+
+
 def intervals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs: doc_id (not null), text, tid -> (doc_id, tid, lo, hi) that texts lose, lo and hi not yet cut to the text; and
-    the (doc_id, tid) whose text an earlier document has as a whole."""
+    """docs: doc_id (not null), text, tid -> (doc_id, tid, lo, hi) with the ends of the runs that texts lose, not yet cut to
+    the text; and the (doc_id, tid) whose text an earlier document has as a whole."""
     spark = docs.sparkSession
-    slim = common.save(docs.select("doc_id", "tid", F.substring(F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)), 1, 16).alias("sha")))
+    slim = common.save(docs.select("doc_id", "tid", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n"),
+                                   F.substring(F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)), 1, 16).alias("sha")))
     firsts = slim.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
     copies = slim.join(firsts, "sha").filter("doc_id > first").select("doc_id", "tid").distinct()
     # Where rows are repeated as a whole, one of them shows the bytes around samples.
     repeated = slim.groupBy("doc_id", "tid").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
+    docs = docs.filter(F.octet_length("text") >= LENGTH)
     once = docs.dropDuplicates(["doc_id", "tid"]) if repeated else docs
-    samples = docs.filter(F.octet_length("text") >= LENGTH).mapInArrow(_sampled, _SAMPLES)
-    laid = samples.repartitionByRange(common.partitions(spark) * 2, "name", "tid", "pos", "doc_id").sortWithinPartitions("name", "tid", "pos", "doc_id")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16000")
-    found = common.save(laid.mapInArrow(_repeated, _SAMPLES + ", edge byte"), free=True)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-    inner = found.filter("edge < 2").drop("edge")
-    seam = found.filter("edge > 0").groupBy("name").agg(F.min("tid").alias("a"), F.max("tid").alias("b")).filter("a < b").select("name")
-    outer = found.filter("edge = 2").drop("edge").join(seam, "name", "left_semi").select(*inner.columns)
-    rows = inner.unionByName(outer)
-    classes = common.save(rows.groupBy("name", "context").agg(F.min(F.struct("doc_id", "pos", "tid")).alias("f"))
-                          .select("name", "context", F.col("f.doc_id").alias("first"), F.col("f.pos").alias("pos"), F.col("f.tid").alias("tid")), free=True)
-    # Written, as below, so that joins with it are plain joins of shuffles, which Spark can split where a name is hot.
-    several = common.save(classes.groupBy("name").agg(F.count(F.lit(1)).alias("classes"), F.min("first").alias("a"), F.max("first").alias("b")).filter("a < b").select("name", "classes"))
-    wanted = classes.join(several, "name").select("name", "context", F.col("first").alias("doc_id"), "tid", "pos")
-    asked = wanted.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("name", "context", "pos")).alias("at"))  # bounded by the document
-    around = common.save(once.join(asked, ["doc_id", "tid"]).select("doc_id", "text", "at").mapInArrow(
-        _contexts, "name long, context long, doc_id long, before int, after int, body binary"), free=True)
-    hot = several.filter(F.col("classes") > HOT).select("name")
-    cold = around.join(hot, "name", "left_anti").select(*_CONTEXT)
-    by_prefix = cold.repartition(common.partitions(spark) * 2, "name").sortWithinPartitions("name").mapInArrow(_merge, "name long, context long, lo int, hi int")
-    keyed = around.join(hot, "name", "left_semi").select(*_CONTEXT).mapInArrow(_explode, "key long, doc_id long, name long, context long, at int")
-    least = keyed.groupBy("name", "key").agg(F.min("doc_id").alias("least"))
-    by_hot = keyed.join(least, ["name", "key"]).filter("least < doc_id").groupBy("name", "context").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
-    shared = by_prefix.unionByName(by_hot).groupBy("name", "context").agg(F.min("lo").alias("s_lo"), F.max("hi").alias("s_hi"))
-    # Written, so that the join below has plain shuffles on both sides and Spark can split those of a hot class.
-    lost = common.save(classes.select("name", "context", "first").join(shared, ["name", "context"], "left"), free=True)
-    later = F.col("doc_id") > F.col("first")
-    out = common.save(rows.select("name", "context", "doc_id", "tid", "pos").join(lost, ["name", "context"]).filter(later | F.col("s_lo").isNotNull()).select(
-        "doc_id", "tid", (F.col("pos") - BACK + F.when(later, 0).otherwise(F.col("s_lo"))).alias("lo"),
-        (F.col("pos") - BACK + LENGTH + F.when(later, BACK).otherwise(F.col("s_hi"))).alias("hi")), free=True)
-    for t in (found, classes, several, around, lost):
+    n = slim.agg(F.sum("n")).first()[0] or 0
+    slices = _slices(n)
+    parts = max(common.partitions(spark), -(-n // (slices * BUCKET)))
+    hot = _hot_names(docs, max(LIGHT, n // (64 * slices * parts))) if n >= LARGE else np.zeros(0, np.uint64)
+    lost, tables = zip(*[_slice(docs, once, k, slices, parts, hot) for k in range(slices)], strict=True)
+    lists = reduce(DataFrame.unionByName, lost).groupBy("doc_id", "tid").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))  # bounded by the document
+    out = common.save(lists.mapInArrow(_merged, "doc_id long, tid long, lo array<long>, hi array<long>"), free=True)
+    for t in sum(tables, []):
         common.drop(t)
     return out, copies
 
@@ -335,8 +467,7 @@ def remove_repeats(docs: DataFrame, what: str = "text") -> DataFrame:
     doc, tid, lo, hi, copy = (common.free_name(docs, f"_{c}") for c in ("doc", "tid", "lo", "hi", "copy"))
     keyed = known(docs.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))), tid=tid)
     lost, copies = intervals(keyed.select(F.col(doc).alias("doc_id"), "text", F.col(tid).alias("tid")))
-    lists = lost.groupBy("doc_id", "tid").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))  # bounded by the document
-    found = lists.join(copies.withColumn("copy", F.lit(True)), ["doc_id", "tid"], "full_outer").select(
+    found = lost.join(copies.withColumn("copy", F.lit(True)), ["doc_id", "tid"], "full_outer").select(
         F.col("doc_id").alias(doc), F.col("tid").alias(tid), F.col("lo").alias(lo), F.col("hi").alias(hi), F.col("copy").alias(copy))
     kept = [c for c in docs.columns if c != "text" or what != "digest"]
     last = "kept_sha256" if what == "digest" else "kept_text"

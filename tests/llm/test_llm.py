@@ -96,6 +96,47 @@ def test_repeated_substrings(spark, texts, hot, monkeypatch):
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows} == brute_repeats(texts)
 
 
+def lines_with_neighbours(n, seed=5):
+    """Texts of words of their own around a line that all have; every ninth repeats an earlier one, whole or but for its end."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(4, 9)))
+    out = []
+    for i in range(n):
+        own = [" ".join(word() for _ in range(60)) for _ in range(2)]
+        out.append(out[rng.randrange(i)][: rng.choice([None, -70])] if i % 9 == 8 else f"{own[0]} a line that is in every text {own[1]}" + " x" * 60 * (i % 7 == 3))
+    return out
+
+
+@pytest.mark.parametrize(("hot", "light"), [(1 << 15, 1 << 12), (2, 0)])
+def test_repeated_substrings_in_slices_of_names(spark, texts, hot, light, monkeypatch):
+    for name, value in (("HOT", hot), ("LIGHT", light), ("LARGE", 0), ("SLICES", 3), ("SHARE", 1)):
+        monkeypatch.setattr(suffixes, name, value)
+    texts = texts + lines_with_neighbours(120)
+    rows = suffixes.remove_repeats(docs_of(spark, texts).repartition(5), "digest").collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows} == brute_repeats(texts)
+    docs = suffixes.known(docs_of(spark, texts))
+    names = suffixes._hot_names(docs.filter(F.octet_length("text") >= 50), 60)
+    assert 0 < len(names) < 100  # those of the line, and of its words
+
+
+def test_repeats_shuffle_less_than_their_text(spark, monkeypatch):
+    """No stage writes shuffle of 1.3 bytes a byte of text: sorting samples of all names at once, a row each, took more."""
+    monkeypatch.setattr(suffixes, "LARGE", 0, raising=False)
+    texts = lines_with_neighbours(4000)
+    docs = docs_of(spark, texts)
+    store, jvm = spark._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def seen():
+        stages = store.stageList(None, False, False, jvm.new_array(jvm.jvm.double, 0), None)
+        return {x.stageId(): x.shuffleWriteBytes() for x in (stages.apply(i) for i in range(stages.size()))}
+
+    before = seen()
+    assert suffixes.remove_repeats(docs, "digest").filter("n_removed > 0").count() > 400
+    spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    most = max(v for k, v in seen().items() if k not in before)
+    assert 0 < most < 1.3 * sum(map(len, texts))
+
+
 def test_sharding(spark, texts):
     docs = docs_of(spark, texts).unionByName(docs_of(spark, ["same text"] * 40).withColumn("doc_id", F.col("doc_id") + 1000))
     rows = sharding.shard(docs, 4).collect()
