@@ -44,8 +44,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     repeated rows one stays. Texts without words are no one's duplicate."""
     row = common.free_name(docs, "_row")
     docs = common.with_row(docs, row)
-    near = common.save(minhash.near_duplicates(docs.select("doc_id", "text", row), carry=(row,)).filter("component is not null").select(
-        F.col(row).alias("r"), "component", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d")))
+    found = minhash.near_duplicates(docs.select("doc_id", "text", row), carry=(row,))
+    near = common.save(found.filter("component is not null").select(
+        F.col(row).alias("r"), "component", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d")), free=True)
+    for t in found._reads:
+        common.drop(t)
     keeper = near.groupBy("component").agg(F.min(F.struct("d", "r")).alias("k")).select("component", F.col("k.r").alias("k"))
     gone = near.join(keeper, "component").filter("r <> k").select("r")
     return docs.join(gone, docs[row] == gone.r, "left_anti").drop(row)

@@ -233,6 +233,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, carry: t
     old, comp = comp, common.components(links.union(second.filter("linked").select("a", "b")))
     for t in (rest, live, items, first, second, old):
         common.drop(t)
+    read = [made, reps, comp]
     comp = comp.withColumnRenamed("node", "cid")
     least = reps.select("cid", "doc_id").join(comp, "cid").groupBy("comp").agg(F.min("doc_id").alias("least"))
     linked = comp.join(least, "comp").select("cid", "comp", "least")
@@ -241,8 +242,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, carry: t
     m, f = made.select(*ids, "n", "k1", "k2").alias("m"), final.alias("f")
     both = m.join(f, (F.col("m.k1") == F.col("f.k1")) & (F.col("m.k2") == F.col("f.k2")) & (F.col("m.n") == F.col("f.rn")), "left")
     both = both.withColumn("_least", F.when(F.col("f.component").isNull(), F.col("m.doc_id")).otherwise(F.col("f.least")))
-    return both.select(*[F.col(f"m.`{c}`") for c in ids], F.col("m.n").alias("n_shingles"), F.col("_least").alias("component_id"),
-                       F.col("_least").eqNullSafe(F.col("m.doc_id")).alias("kept"), F.col("f.component").alias("component"))
+    out = both.select(*[F.col(f"m.`{c}`") for c in ids], F.col("m.n").alias("n_shingles"), F.col("_least").alias("component_id"),
+                      F.col("_least").eqNullSafe(F.col("m.doc_id")).alias("kept"), F.col("f.component").alias("component"))
+    out._reads = read  # for a caller that saves the result, and can drop them then
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

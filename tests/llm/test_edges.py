@@ -1,6 +1,7 @@
 """Rows that share ids, null ids, odd extra columns, broken files: what each operator and pipeline stage makes of them."""
 
 import hashlib
+import os
 import random
 import struct
 import zlib
@@ -245,6 +246,21 @@ def test_pipeline_stages(spark, tmp_path, shared_ids):
     assert sorted(r["n_tokens"] for r in packed) == sorted(0 if t is None else len(t.encode()) + 1 for _, t in given)
 
 
+def test_stages_leave_few_tables(spark, tmp_path, monkeypatch):
+    """What a stage leaves in the shared folder is on disk while the next ones run: only what its lazy result reads."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    monkeypatch.setattr(suffixes, "LARGE", 0, raising=False)
+    rng = random.Random(8)
+    texts = [prose(rng, 60) for _ in range(40)]
+    rows_of(spark, [(i, t) for i, t in enumerate(texts + [t + " end" for t in texts[:20]])]).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    root = common.scratch_root(spark).removeprefix("file://")
+    for stage, most in ((pipeline.drop_near_duplicates, 1), (pipeline.drop_repeats, 2)):
+        before = set(os.listdir(root))
+        assert stage(spark, docs, str(tmp_path)).count() > 0
+        assert len(set(os.listdir(root)) - before) <= most
+
+
 MAIL = "conv_id long, turn long, role string, text string"
 
 
